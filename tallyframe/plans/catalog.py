@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("record",)
+MODULES = ("record", "rules", "texts")
 
 
 def load() -> None:

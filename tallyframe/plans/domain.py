@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyframe.operators import votes as V
 
@@ -46,14 +47,17 @@ SHARED = {
                seq % 3 <> 0 AS is_final, seq % 11 = 0 AS is_confidence, seq % 7 = 0 AS is_secret,
                concat('v', cast(seq as string)) AS ext_id,
                CASE WHEN seq % 9 <> 0 THEN concat('C.', cast(1000 + seq as string)) END AS act_ref,
-               CASE WHEN seq % 9 <> 0 THEN concat('Misure n. ', cast(law as string), ' in materia di &quot;lavoro&quot;',
+               CASE WHEN seq % 9 = 0 THEN NULL WHEN seq % 13 = 0 THEN
+                    concat('Conversione in legge, con modificazioni, del decreto-legge ', cast(law % 28 + 1 as string),
+                           ' marzo 1999, n. ', cast(law as string), ', recante &quot;misure urgenti&quot;')
+                    ELSE concat('Misure n. ', cast(law as string), ' in materia di &quot;lavoro&quot;',
                     CASE WHEN chamber = 'upper' THEN concat(' (approvato dal Senato) (', cast(seq as string), ')')
                     ELSE '' END) END AS act_title,
                CASE WHEN seq % 5 = 0 THEN NULL ELSE seq % 2 = 0 END AS approved
         FROM (SELECT ballot_id, ballot_id AS ballot_date,
-                     extract(year from ballot_id) * 54 + extract(week from ballot_id) AS seq,
-                     cast(floor((extract(year from ballot_id) * 54 + extract(week from ballot_id)) / 2) as int) % 97
-                       AS law,
+                     cast(extract(year from ballot_id) * 53 + floor((extract(doy from ballot_id) - 1) / 7) as int) AS seq,
+                     cast(floor((extract(year from ballot_id) * 53 + floor((extract(doy from ballot_id) - 1) / 7)) / 2)
+                       as int) % 97 AS law,
                      CASE WHEN extract(week from ballot_id) % 2 = 0 THEN 'lower' ELSE 'upper' END AS chamber,
                      CASE WHEN ballot_id < date '1998-01-01' THEN 18 ELSE 19 END AS term
               FROM ballot_days) days""",
@@ -169,6 +173,9 @@ ORACLE = {
 }
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def plain(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
@@ -181,7 +188,11 @@ class Domain:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A base table. Its schema is read once per process and then given, so no query waits for inference."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def shared(self, name: str) -> DataFrame:
         """A shared view, with the views it names inlined as a WITH list."""
