@@ -49,8 +49,8 @@ def content_groups(d):
     SELECT page_id, regexp_extract(url, '^([a-zA-Z]+)://', 1) || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) ||
            regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ||
            CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS domain
-    FROM (SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
-            x -> x <> '' AND NOT starts_with(x, 'utm_')), '&') AS kept FROM pages)""")
+    FROM (SELECT page_id, url, array_to_string([x FOR x IN string_split(regexp_extract(url, '\?([^#]*)', 1), '&')
+            IF x <> '' AND NOT starts_with(x, 'utm_')], '&') AS kept FROM pages)""")
 def url_normal(d):
     pages = d.table("pages")
     return pages.select("page_id", U.normal_url(F.col("url")).alias("url"), U.host(F.col("url")).alias("domain"))
@@ -58,11 +58,12 @@ def url_normal(d):
 
 @query("links", r"""
     WITH found AS (
-      SELECT page_id, url AS base, unnest(list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1),
-               (x, i) -> struct_pack(i := i, h := x))) AS e FROM pages),
+      SELECT page_id, base, unnest(generate_series(1, len(hs))) AS i, unnest(hs) AS h
+      FROM (SELECT page_id, url AS base, regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS hs FROM pages)
+      WHERE len(hs) > 0),
     absolute AS (
-      SELECT page_id, e.i AS i, CASE WHEN e.h LIKE 'http%' THEN e.h
-               WHEN starts_with(e.h, '/') THEN regexp_extract(base, '^[a-z]+://[^/?#]*') || e.h END AS link FROM found),
+      SELECT page_id, i, CASE WHEN h LIKE 'http%' THEN h
+               WHEN starts_with(h, '/') THEN regexp_extract(base, '^[a-z]+://[^/?#]*') || h END AS link FROM found),
     normal AS (SELECT page_id, i, regexp_replace(link, '[?#].*$', '') AS link FROM absolute)
     SELECT page_id, link, (min(i) - 1)::int AS pos FROM normal
     WHERE regexp_matches(link, '/[A-Z]') GROUP BY 1, 2""")
@@ -87,7 +88,7 @@ def _mentions_sql(column: str) -> str:
         f"CASE WHEN {_HIT.format(column, '|'.join(f.replace(chr(39), chr(39) * 2) for f in fs))} THEN '{k}' END"
         for k, fs in sorted(FORMS.items())
     ]
-    return f"list_filter([{', '.join(parts)}], x -> x IS NOT NULL)"
+    return f"[x FOR x IN [{', '.join(parts)}] IF x IS NOT NULL]"
 
 
 _SURNAME = r"regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_])(From|Thon)([^\p{{L}}\p{{N}}_]|$)')"
@@ -278,14 +279,14 @@ runs AS (SELECT DISTINCT sha, array_to_string(w[i:i + 5], ' ') AS run
          FROM (SELECT sha, w, unnest(generate_series(1, len(w) - 5)) AS i FROM tokens WHERE len(w) >= 6)),
 sizes AS (SELECT sha, count(*) AS size FROM runs GROUP BY 1),
 pairs AS (SELECT x.sha AS a, y.sha AS b, count(*) AS common FROM runs x JOIN runs y ON x.run = y.run AND x.sha <> y.sha GROUP BY 1, 2),
-similar AS (SELECT a, b FROM pairs JOIN sizes s ON s.sha = a JOIN sizes t ON t.sha = b WHERE 2 * common > least(s.size, t.size))
+alike AS (SELECT a, b FROM pairs JOIN sizes s ON s.sha = a JOIN sizes t ON t.sha = b WHERE 2 * common > least(s.size, t.size))
 """
 
 
 @query("shingle_overlap", f"""
     WITH {SHARED_TEXT_SQL}
     SELECT DISTINCT d.doc_id AS document_id, d.source AS party_id, e.source AS partner
-    FROM documents d JOIN similar ON a = sha256(d.text) JOIN documents e ON sha256(e.text) = b AND e.source <> d.source""")
+    FROM documents d JOIN alike ON a = sha256(d.text) JOIN documents e ON sha256(e.text) = b AND e.source <> d.source""")
 def shingle_overlap(d):
     named = documents(d).select(F.col("doc_id").alias("document_id"), F.col("source").alias("party_id"), "text")
     return D.shared_text(named)
@@ -293,7 +294,7 @@ def shingle_overlap(d):
 
 # Claims: a stretch of the document itself with other dashes and spacing, a benchmark passage, a short one, an empty
 # measure, and a repeat of the first.
-FOLD = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({0}, '–—‘’“”«»', '--''''""""'),
+FOLD = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({0}, '–—‘’“”«»', '--' || repeat(chr(39), 2) || repeat(chr(34), 4)),
   '\s*-\s*', '-', 'g'), '\s+([,.;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '\s+', ' ', 'g')))"""
 
 CLAIMS_SQL = """
@@ -351,7 +352,7 @@ def quotes_found(d):
 
 WORDS_SQL = r"""
 raw_words AS (
-  SELECT doc_id, list_filter(regexp_extract_all(text, '\p{L}+'), x -> length(x) >= 3) AS ws FROM documents),
+  SELECT doc_id, [x FOR x IN regexp_extract_all(text, '\p{L}+') IF length(x) >= 3] AS ws FROM documents),
 words AS (SELECT doc_id, unnest(generate_series(0, len(ws) - 1))::int AS pos, strip_accents(lower(unnest(ws))) AS word
           FROM raw_words WHERE len(ws) > 0),
 dictionary AS (SELECT word FROM (SELECT DISTINCT doc_id, word FROM words) GROUP BY word HAVING count(*) >= 20)
@@ -373,25 +374,25 @@ def readability_worst_window(d):
 # A conversation is a document and each of its turns a page.
 PARAGRAPH_SQL = r"""
 page_lines AS (
-  SELECT conv_id, turn, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS at,
+  SELECT conv_id, turn, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS row_no,
          rtrim(unnest(string_split(text, chr(10)))) AS line FROM conversations),
 full_lines AS (
-  SELECT *, lag(line) OVER w AS prev, lag(at) OVER w AS prev_at,
+  SELECT *, lag(line) OVER w AS prev, lag(row_no) OVER w AS prev_row,
          row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(line)) AS by_width,
          count(*) OVER (PARTITION BY conv_id, turn) AS total
-  FROM page_lines WHERE trim(line) <> '' WINDOW w AS (PARTITION BY conv_id, turn ORDER BY at)),
+  FROM page_lines WHERE trim(line) <> '' WINDOW w AS (PARTITION BY conv_id, turn ORDER BY row_no)),
 widths AS (SELECT conv_id, turn, length(line) AS wide FROM full_lines WHERE by_width = floor(total * 3 / 4) + 1),
 breaks AS (
-  SELECT conv_id, turn, at, trim(line) AS line, coalesce(
-           at > prev_at + 1 OR (length(prev) * 100 < 85 * wide AND regexp_matches(prev, '[.!?:;]\s*$'))
+  SELECT conv_id, turn, row_no, trim(line) AS line, coalesce(
+           row_no > prev_row + 1 OR (length(prev) * 100 < 85 * wide AND regexp_matches(prev, '[.!?:;]\s*$'))
            OR regexp_matches(line, '^\s*(?:[•●▪■◦\-–—*o]\s+|[0-9]{1,2}[.)]\s+|[a-z][.)]\s+)')
            OR (length(prev) * 10 < 7 * wide AND NOT regexp_matches(prev, '[,.;:!?\-]\s*$') AND regexp_matches(trim(line), '^\p{Lu}')),
            true) AS starts,
          coalesce(ends_with(prev, '-') AND NOT ends_with(prev, ' -') AND regexp_matches(trim(line), '^\p{Ll}'), false) AS glued
   FROM full_lines JOIN widths USING (conv_id, turn)),
-numbered AS (SELECT *, sum(starts::int) OVER (PARTITION BY conv_id, turn ORDER BY at) AS k FROM breaks),
+numbered AS (SELECT *, sum(starts::int) OVER (PARTITION BY conv_id, turn ORDER BY row_no) AS k FROM breaks),
 joined AS (
-  SELECT conv_id, turn, k, replace(string_agg(CASE WHEN starts THEN '' WHEN glued THEN chr(2) ELSE ' ' END || line, '' ORDER BY at),
+  SELECT conv_id, turn, k, replace(string_agg(CASE WHEN starts THEN '' WHEN glued THEN chr(2) ELSE ' ' END || line, '' ORDER BY row_no),
            '-' || chr(2), '') AS text FROM numbered GROUP BY 1, 2, 3),
 page_paragraphs AS (
   SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS n, text
@@ -434,7 +435,8 @@ def paragraph_merge(d):
                      ELSE '' END AS sign FROM lines))
     SELECT doc_id AS document_id, n, text FROM stripped
     WHERE length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 3
-      AND len(list_filter(regexp_extract_all(text, '\\p{{L}}{{3,}}'), w -> list_contains((SELECT list(word) FROM dictionary), strip_accents(lower(w))))) > 0""")
+      AND EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}{{3,}}')) AS w) t
+                  JOIN dictionary ON word = strip_accents(lower(w)))""")
 def reading_noise(d):
     rows = lines(d).select(
         F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "n", F.col("line").alias("text"),
@@ -526,8 +528,8 @@ STEMS = ["adult", "worthless", "ther", "que"]
 
 
 @query("forbidden_stems", r"""
-    SELECT doc_id, array_to_string(list_filter(['adult', 'que', 'ther', 'worthless'],
-             s -> regexp_matches(lower(text), '(^|[^\p{L}])' || s)), ',') AS stems FROM documents""")
+    SELECT doc_id, array_to_string([s FOR s IN ['adult', 'que', 'ther', 'worthless']
+             IF regexp_matches(lower(text), '(^|[^\p{L}])' || s)], ',') AS stems FROM documents""")
 def forbidden_stems(d):
     return documents(d).select("doc_id", F.array_join(X.forbidden_stems(F.col("text"), STEMS), ",").alias("stems"))
 
