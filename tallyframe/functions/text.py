@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,14 @@ from pyspark.sql.types import StringType
 
 from tallyframe.params import DEFAULT, Params
 
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` with `value` computed once per row. An expression captured by a lambda is otherwise computed again for
+    every element the lambda visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
@@ -148,9 +157,13 @@ def words(text: Column) -> Column:
 def shingles(text: Column, p: Params = DEFAULT) -> Column:
     """Distinct runs of consecutive words; empty when the text is shorter than one run."""
     k = p.shingle_words
-    tokens = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(F.size(tokens) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(tokens: Column) -> Column:
+        last = F.size(tokens) - (k - 1)
+        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(tokens, i, k), " "))
+        return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return let(words(text), runs)
 
 
 # Phrases that address a language model rather than a reader, tried in this order.

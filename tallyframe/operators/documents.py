@@ -46,23 +46,27 @@ def paragraph_texts(text: Column) -> Column:
         F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"),
         lambda r, i: F.struct(i.alias("at"), F.regexp_replace(r, r"\s+$", "").alias("line")),
     )
-    full = F.filter(lines, lambda e: F.trim(e["line"]) != "")
-    widths = F.array_sort(F.transform(full, lambda e: F.length(e["line"])))
-    # Carry the page width and the previous line next to each line.
-    wide = F.get(widths, F.floor(F.size(full) * 3 / 4).cast("int"))
-
-    def piece(e: Column, i: Column) -> Column:
-        before = F.get(full, i - 1)
-        prev, line = before["line"], e["line"]
-        width = F.length(prev)
-        closed = (e["at"] > before["at"] + 1) | ((width * 100 < 85 * wide) & prev.rlike(SENTENCE_END))
-        heading = (width * 10 < 7 * wide) & ~prev.rlike(NOT_HEADING)
-        new = closed | line.rlike(BULLET) | (heading & _starts_upper(line))
-        hyphen = prev.endswith("-") & ~prev.endswith(" -") & _starts_lower(line)
-        glue = F.when(i == 0, "").when(new, _BREAK).when(hyphen, _GLUE).otherwise(" ")
-        return F.concat(glue, F.trim(line))
-
-    joined = F.array_join(F.transform(full, piece), "")
+
+    def join(full: Column, wide: Column) -> Column:
+        def piece(e: Column, i: Column) -> Column:
+            before = F.get(full, i - 1)
+            prev, line = before["line"], e["line"]
+            width = F.length(prev)
+            closed = (e["at"] > before["at"] + 1) | ((width * 100 < 85 * wide) & prev.rlike(SENTENCE_END))
+            heading = (width * 10 < 7 * wide) & ~prev.rlike(NOT_HEADING)
+            new = closed | line.rlike(BULLET) | (heading & _starts_upper(line))
+            hyphen = prev.endswith("-") & ~prev.endswith(" -") & _starts_lower(line)
+            glue = F.when(i == 0, "").when(new, _BREAK).when(hyphen, _GLUE).otherwise(" ")
+            return F.concat(glue, F.trim(line))
+
+        return F.array_join(F.transform(full, piece), "")
+
+    def width(full: Column) -> Column:
+        widths = F.array_sort(F.transform(full, lambda e: F.length(e["line"])))
+        return F.get(widths, F.floor(F.size(full) * 3 / 4).cast("int"))
+
+    filled = F.filter(lines, lambda e: F.trim(e["line"]) != "")
+    joined = X.let(filled, lambda full: X.let(width(full), lambda wide: join(full, wide)))
     texts = F.split(F.replace(joined, F.lit("-" + _GLUE), F.lit("")), _BREAK)
     clean = F.transform(texts, lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
     return F.filter(clean, lambda t: F.length(t) > 1)
@@ -177,18 +181,17 @@ def verify_quotes(claims: DataFrame, paragraphs: DataFrame, p: Params = DEFAULT)
     Outcome: 'kept'; 'measure_empty'; 'quote_not_found' (too short, or not verbatim in the document on the normal form);
     'repeated' for the same quote and measure again. A quotation may run over several paragraphs.
     """
-    texts = F.transform("_paras", lambda e: e["text"])
+    sorted_paras = F.array_sort(F.collect_list(F.struct("n", F.col("_t").alias("text"))))
     documents = (
-        paragraphs.withColumn("_t", X.nfkc(F.col("text"))).groupBy("document_id")
-        .agg(F.array_sort(F.collect_list(F.struct("n", F.col("_t").alias("text")))).alias("_paras"))
-        .withColumn("_whole", X.folded(F.array_join(texts, " ")))
+        paragraphs.withColumn("_t", X.nfkc(F.col("text"))).groupBy("document_id").agg(sorted_paras.alias("_paras"))
+        .withColumn("_pieces", _folded_pieces(F.col("_paras")))
+        .select(
+            "document_id", F.transform("_pieces", lambda e: e["n"]).alias("_ns"), _piece_starts(F.col("_pieces")).alias("_starts"),
+            F.array_join(F.transform("_pieces", lambda e: F.concat(e["gap"], e["text"])), "").alias("_whole"),
+        )
     )
     measure = F.trim(F.coalesce("measure", F.lit("")))
     at = F.position(F.col("_quote"), F.col("_whole"))
-    # Where each paragraph starts in the normal form; read only for quotations that were found.
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size("_paras") - 1), lambda k: F.length(X.folded(F.array_join(F.slice(texts, F.lit(1), k), " ")))
-    )
     begin = F.col("_at") - 1
     end = begin + F.length("_quote")
     searched = (
@@ -197,11 +200,10 @@ def verify_quotes(claims: DataFrame, paragraphs: DataFrame, p: Params = DEFAULT)
         .join(documents, "document_id", "left")
         .withColumn("_at", F.when((F.length("_quote") >= p.min_quote) & (F.col("_measure") != ""), at).otherwise(0))
         .withColumn("_found", F.coalesce(F.col("_at") > 0, F.lit(False)))
-        .withColumn("_starts", F.when(F.col("_found"), starts))
         .select(
             *claims.columns, "_quote", "_measure", "_found",
-            F.get("_paras", F.size(F.filter("_starts", lambda s: s <= begin)) - 1)["n"].alias("para_from"),
-            F.get("_paras", F.size(F.filter("_starts", lambda s: s < end)) - 1)["n"].alias("para_to"),
+            F.get("_ns", F.size(F.filter("_starts", lambda s: s <= begin)) - 1).alias("para_from"),
+            F.get("_ns", F.size(F.filter("_starts", lambda s: s < end)) - 1).alias("para_to"),
         )
     )
     again = F.row_number().over(
@@ -217,6 +219,36 @@ def verify_quotes(claims: DataFrame, paragraphs: DataFrame, p: Params = DEFAULT)
     )
 
 
+def _folded_pieces(paras: Column) -> Column:
+    """Folded paragraphs (n, text, gap) that concatenate to the folded document; empty ones are left out.
+
+    Folding a joined text equals joining folded texts, except for the space between two of them: it goes when the first
+    ends with a dash or an opening bracket, or the second starts with a dash or closing punctuation.
+    """
+    folded = F.transform(paras, lambda e: F.struct(e["n"].alias("n"), X.folded(e["text"]).alias("text")))
+
+    def spaced(ps: Column) -> Column:
+        def one(e: Column, i: Column) -> Column:
+            tight = F.get(ps, i - 1)["text"].rlike(r"[-(\[]$") | e["text"].rlike(r"^[-,.;:!?)\]]")
+            gap = F.when((i == 0) | tight, "").otherwise(" ")
+            return F.struct(e["n"].alias("n"), e["text"].alias("text"), gap.alias("gap"))
+
+        return F.transform(ps, one)
+
+    return X.let(F.filter(folded, lambda e: e["text"] != ""), spaced)
+
+
+def _piece_starts(pieces: Column) -> Column:
+    """Length of the folded document before each piece."""
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("starts"))
+
+    def add(done: Column, e: Column) -> Column:
+        total = done["total"] + F.length(e["gap"]) + F.length(e["text"])
+        return F.struct(total.alias("total"), F.array_append(done["starts"], done["total"]).alias("starts"))
+
+    return F.aggregate(pieces, start, add, lambda done: done["starts"])
+
+
 # ---- dictionary and readability -------------------------------------------------------------------------------------
 
 
