@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("record", "rules", "texts", "checks", "streams")
+MODULES = ("record", "rules", "texts", "checks", "streams", "published")
 
 
 def load() -> None:

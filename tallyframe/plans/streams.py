@@ -11,7 +11,8 @@ from tallyframe.streaming import reports as RP
 
 
 def events(d):
-    return I.landed(d.spark, d.folder, d.table("events").schema, "events.parquet")
+    landed = I.landed(d.spark, d.folder, d.table("events").schema, "events.parquet")
+    return landed.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def finish(q):
@@ -50,7 +51,11 @@ def stream_resume(d):
 @query("stream_rate_limit")
 def stream_rate_limit(d):
     """Events as reports of their users; one in eleven fills the decoy field, one in thirteen is too short."""
-    RP.state_store(d.spark)
+    with RP.state_store(d.spark):
+        return _limited_reports(d)
+
+
+def _limited_reports(d):
     target = fresh_folder(d.spark, "stream-reports")
     key = F.col("event_id")
     reports = events(d).select(

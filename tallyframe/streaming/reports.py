@@ -12,10 +12,11 @@ times. While the daily limit is exhausted, a report it refuses still counts for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -94,6 +95,17 @@ def by_day(accepted: DataFrame) -> DataFrame:
     return limited(accepted, F.lit("all"), PER_DAY, DAY_SPAN)
 
 
-def state_store(spark) -> None:
-    """Keyed state with several values lives in RocksDB, on disk, with its changes in the checkpoint."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Keyed state with several values lives in RocksDB, on disk, with its changes in the checkpoint. The session's own
+    provider is put back afterwards."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
