@@ -114,8 +114,13 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, BASE = _accent_table()
 
 
+def base_letters(text: Column) -> Column:
+    """Lower case, accented letters replaced one by one: every character keeps its place."""
+    return F.translate(F.lower(F.translate(text, "İ", "I")), ACCENTED, BASE)
+
+
 def accentless(text: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, BASE), r"\p{Mn}", "")
+    return F.regexp_replace(base_letters(text), r"\p{Mn}", "")
 
 
 def clean_title(text: Column) -> Column:

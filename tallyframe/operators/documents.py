@@ -99,8 +99,8 @@ def without_reading_noise(paragraphs: DataFrame, dictionary: DataFrame) -> DataF
         F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= 3
     )
     keys = ["document_id", "page", "n"]
-    spoken = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}{3,})"), F.lit(1)))
-    words_ = reread.select(*keys, F.explode(F.transform(spoken, X.accentless)).alias("word"))
+    spoken = F.array_distinct(F.regexp_extract_all(X.base_letters(F.col("text")), F.lit(LONG_WORD), F.lit(1)))
+    words_ = reread.select(*keys, F.explode(spoken).alias("word"))
     known = words_.join(dictionary.select("word"), "word", "left_semi").select(*keys).distinct()
     return paragraphs.filter("NOT reread").unionByName(reread.join(known, keys, "left_semi"))
 
@@ -252,22 +252,27 @@ def _piece_starts(pieces: Column) -> Column:
 # ---- dictionary and readability -------------------------------------------------------------------------------------
 
 
+LONG_WORD = r"(\p{L}{3,})"
+
+
 def document_words(documents: DataFrame, key: str) -> DataFrame:
-    """(key, pos, word): words of three letters or more in order, lower case without accents."""
-    spoken = F.filter(
-        F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: F.length(w) >= 3
-    )
-    return documents.select(key, F.posexplode(spoken).alias("pos", "_w")).select(
-        key, "pos", X.accentless(F.col("_w")).alias("word")
-    )
+    """(key, pos, word): words of three letters or more in order, lower case without accents.
+
+    Letters are folded once per text, not once per word. Runs of letters are maximal, so a pattern of three letters or
+    more finds exactly the words that are long enough.
+    """
+    spoken = F.regexp_extract_all(X.base_letters(F.col("text")), F.lit(LONG_WORD), F.lit(1))
+    return documents.select(key, F.posexplode(spoken).alias("pos", "word"))
 
 
-def dictionary_of(words_: DataFrame, key: str, min_documents: int) -> DataFrame:
-    """Words found in at least `min_documents` texts."""
-    return (
-        words_.select(key, "word").distinct().groupBy("word").agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") >= min_documents).select("word")
-    )
+def dictionary_of(documents: DataFrame, min_documents: int) -> DataFrame:
+    """Words found in at least `min_documents` texts.
+
+    A text's words are made distinct inside its row, so the only shuffle carries one partial count per word and task.
+    """
+    spoken = F.array_distinct(F.regexp_extract_all(X.base_letters(F.col("text")), F.lit(LONG_WORD), F.lit(1)))
+    counts = documents.select(F.explode(spoken).alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") >= min_documents).select("word")
 
 
 def readability(words_: DataFrame, key: str, dictionary: DataFrame, p: Params = DEFAULT) -> DataFrame:

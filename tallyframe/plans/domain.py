@@ -173,7 +173,9 @@ ORACLE = {
 }
 
 
+SPREAD = {"documents": "doc_id", "pages": "page_id"}
 _SCHEMAS: dict[str, StructType] = {}
+_PIECES: dict[str, int] = {}
 
 
 def plain(sql: str) -> str:
@@ -188,11 +190,22 @@ class Domain:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        """A base table. Its schema is read once per process and then given, so no query waits for inference."""
+        """A base table. Its schema is read once per process and then given, so no query waits for inference.
+
+        Texts are costly per row. A folder whose text files split into fewer pieces than there are cores is spread by key
+        first; a folder of many files is read as it lies.
+        """
         path = f"{self.folder}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        key, cores = SPREAD.get(name), self.spark.sparkContext.defaultParallelism
+        if key and cores > 1:
+            if path not in _PIECES:
+                _PIECES[path] = df.rdd.getNumPartitions()
+            if _PIECES[path] < cores:
+                df = df.repartition(cores, key)
+        return df
 
     def shared(self, name: str) -> DataFrame:
         """A shared view, with the views it names inlined as a WITH list."""

@@ -368,7 +368,7 @@ dictionary AS (SELECT word FROM (SELECT DISTINCT doc_id, word FROM words) GROUP
     SELECT doc_id, words, worst, 10 * worst >= 8 * least(words, 20) AS readable FROM per_text""")
 def readability_worst_window(d):
     spoken = D.document_words(documents(d), "doc_id")
-    return D.readability(spoken, "doc_id", D.dictionary_of(spoken, "doc_id", 20))
+    return D.readability(spoken, "doc_id", D.dictionary_of(documents(d), 20))
 
 
 # A conversation is a document and each of its turns a page.
@@ -442,8 +442,7 @@ def reading_noise(d):
         F.col("doc_id").alias("document_id"), F.lit(1).alias("page"), "n", F.col("line").alias("text"),
         F.lit(True).alias("reread"),
     )
-    spoken = D.document_words(documents(d), "doc_id")
-    return D.without_reading_noise(rows, D.dictionary_of(spoken, "doc_id", 20)).select("document_id", "n", "text")
+    return D.without_reading_noise(rows, D.dictionary_of(documents(d), 20)).select("document_id", "n", "text")
 
 
 @query("batches_greedy", f"""
