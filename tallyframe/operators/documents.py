@@ -377,11 +377,14 @@ def _rare_first(grams: DataFrame, p: Params) -> DataFrame:
         "content", "size", F.xxhash64("_g").alias("gram")
     )
     common = exploded.groupBy("gram").agg(F.count("*").alias("_df")).filter(F.col("_df") > 1)
-    # A run of one content can never meet a partner: it takes a rare place but needs no join.
-    place = F.row_number().over(Window.partitionBy("content").orderBy(F.coalesce("_df", F.lit(1)), "gram"))
-    placed = exploded.join(common, "gram", "left").withColumn("_place", place)
+    # A run of one content can never meet a partner. Such runs are the rarest, so they fill the first places and only
+    # their number matters: size minus the shared ones.
+    mine = Window.partitionBy("content")
+    alone = F.col("size") - F.count("*").over(mine)
+    place = alone + F.row_number().over(mine.orderBy("_df", "gram"))
+    placed = exploded.join(common, "gram").withColumn("_place", place)
     seed = F.col("_place") <= F.col("size") - F.floor(F.col("size") * num / den)
-    return placed.filter(F.col("_df").isNotNull()).select("content", "size", "gram", seed.alias("seed"))
+    return placed.select("content", "size", "gram", seed.alias("seed"))
 
 
 def _similar(pairs: DataFrame, grams: DataFrame, p: Params) -> DataFrame:
