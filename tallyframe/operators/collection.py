@@ -11,6 +11,7 @@ from tallyframe.functions import text as X
 from tallyframe.functions import urls as U
 from tallyframe.operators.temporal import newest
 from tallyframe.params import DEFAULT, Params
+from tallyframe.storage import written
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,8 @@ def judge_documents(
     """One row per listed element with its outcome and, for 'stored', the stored columns.
 
     elements: source, level, channel, ord, url, title, summary, text, published_at, reserved (page opposes mining).
+    The texts are judged once and written; the rest starts from that table.
+
     Outcomes: 'seen' (address known), 'outside' (level C naming nobody tracked), 'over_limit' (beyond the pages read per
     source and pass, in discovery order), 'duplicate' (address or content repeated), 'stored'.
     """
@@ -69,6 +72,14 @@ def judge_documents(
         "_step",
         F.coalesce("_step", F.when(filtered & ~X.names_anyone(F.col("_all"), names.forms, names.surnames), "outside")),
     ).withColumn("sha256", F.when(F.col("_step").isNull(), X.fingerprint(F.col("title"), F.coalesce("body", "url"))))
+    # Reading and matching the texts is the costly part and is used twice below: once to find repeats, once for the rows.
+    read = written(
+        read.select(
+            "source", "level", "channel", "ord", "url", "title", "published_at", "reserved", "body", "sha256", "_step",
+            F.when(F.col("_step").isNull(), X.mentions(F.col("_all"), names.forms)).alias("_subjects"),
+        ),
+        "read",
+    )
     open_rows = read.filter(F.col("_step").isNull())
     first_url = newest(open_rows, ["url"], order)
     stored = newest(first_url, ["sha256"], order).select("source", "ord", F.lit(True).alias("_stored"))
@@ -88,7 +99,7 @@ def judge_documents(
             "text_expires_at"
         ),
         F.lit(None).cast("timestamp").alias("text_cleared_at"),
-        only(X.mentions(F.col("_all"), names.forms)).alias("subjects"),
+        only(F.col("_subjects")).alias("subjects"),
         only(X.suspicious_phrase(phrase_source)).alias("suspicious"),
     )
 

@@ -89,6 +89,12 @@ def selected_votes(votes: DataFrame, people: DataFrame, groups: DataFrame) -> Da
     return flagged.filter(wanted).dropDuplicates(["vote_uri"]).select(*votes.columns)
 
 
+def votes_of_ballots(votes: DataFrame, ballots: DataFrame, first_day, last_day) -> DataFrame:
+    """Votes of the given ballots. On a table laid out by day the two dates prune its folders before anything is read."""
+    days = F.col("ballot_date").between(F.lit(first_day), F.lit(last_day))
+    return votes.filter(days).join(ballots.select("ballot_ext_id").distinct(), "ballot_ext_id", "left_semi")
+
+
 def approved(outcome: Column) -> Column:
     """TRUE / FALSE / NULL. The negative is read first, so that 'non approvato' is a rejection."""
     text = F.lower(F.coalesce(outcome, F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import sinks
 from tallyframe.operators import quality as Q
+from tallyframe.operators import release as R
 from tallyframe.operators import temporal as T
 from tallyframe.operators import votes as V
 from tallyframe.sources import bindings as B
@@ -109,6 +110,24 @@ def test_selected_votes_once(spark, rows):
     assert [r[0] for r in rows(CH.selected_votes(votes, people, groups))] == ["u1", "u2", "u4"]
 
 
+def test_votes_of_ballots(spark, rows):
+    votes = spark.createDataFrame([("a", "p", d("2024-01-01")), ("a", "p", d("2024-02-01")), ("b", "p", d("2024-01-01"))], "ballot_ext_id string, person_ext_id string, ballot_date date")
+    wanted = spark.createDataFrame([("a",), ("a",)], "ballot_ext_id string")
+    assert rows(CH.votes_of_ballots(votes, wanted, d("2024-01-01"), d("2024-01-31"))) == [("a", "p", d("2024-01-01"))]
+
+
+def test_rotation_depends_on_the_seed_only(spark, rows):
+    items = spark.createDataFrame([(b, f"i{k}") for b in ("x", "y") for k in range(8)], "batch string, item string")
+    one = rows(R.rotated(items, ["batch"], "item", "v1"))
+    assert one == rows(R.rotated(items.orderBy(F.col("item").desc()), ["batch"], "item", "v1"))
+    assert one != rows(R.rotated(items, ["batch"], "item", "v2"))
+
+
+def test_names_sort_as_readers_expect(spark):
+    df = spark.createDataFrame([("Zeta",), ("èlite",), ("Dado",), ("Fico",)], "name string")
+    assert [r.name for r in R.alphabetical(df, "name").collect()] == ["Dado", "èlite", "Fico", "Zeta"]
+
+
 def test_components_report_the_unknown(spark, rows):
     got = spark.createDataFrame([("c1", "p", d("2024-01-01"), None), ("c1", "p", d("2024-01-01"), d("2024-02-01")), ("c2", "q", d("2024-01-01"), None), ("c9", "r", d("2024-01-01"), None)],
                                 "component string, person_ext_id string, valid_from date, valid_to date")
