@@ -26,7 +26,7 @@ class Mix:
     seed: str = "mix"
 
 
-ROWS_A_BUCKET = 100_000
+ROWS_A_BUCKET = 10_000
 
 
 def source_targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("host_rules", "sharding", "mixing", "decontamination")
+MODULES = ("host_rules", "jaccard", "decontamination", "mixing", "sharding")
 
 
 def query(name: str, oracle: str | None = None):
