@@ -35,7 +35,7 @@ from tallyframe.llm.registry import query
 SHINGLE = 5
 PERCENT = 75  # 100 * intersection >= PERCENT * union
 FREQUENT = 32  # sets in a list from which a token is indexed in pairs
-TOKENS_A_RANGE = 1 << 21  # extended-prefix tokens looked at by one task
+TOKENS_A_RANGE = 1 << 19  # extended-prefix tokens looked at by one task
 
 
 def token_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +61,23 @@ def _need(n):
     return -(-n * PERCENT // 100)
 
 
+def _shared_of_first(n):
+    """k: of the first n - t + k tokens a set with a partner shares k; about half of the plain prefix."""
+    return np.minimum((n - _need(n) + 2) // 2, _need(n))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 # ---- 1: which sets can have a partner ------------------------------------------------------------------------------
 
-PACKED = "doc_id long, set_key long, n long, `range` int, tokens binary, counts binary, sets binary, needs binary"
+PACKED = "doc_id long, set_key long, n long, `range` int, tokens binary, counts binary, sets binary"
 
 
 def _pack(ranges: int, text: str, row: str):
     """One row per document, and for each range of hashes the extended prefixes' tokens in it: their low 4 bytes, how many
-    each set has, the sets' names and how many shared tokens each needs. A set met before in the same task is not sent again."""
+    each set has, and the sets' names. A set met before in the same task is not sent again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,15 +90,14 @@ def _pack(ranges: int, text: str, row: str):
                     seen.add(k)
                     new[i] = True
             short = n - _need(n) + 1
-            k = np.minimum((short + 1) // 2, _need(n))
-            take = np.where(new, short - 1 + k, 0)  # in hash order: the sets are sorted
+            take = np.where(new, short - 1 + _shared_of_first(n), 0)  # in hash order: the sets are sorted
             at = np.repeat(first[:-1] - np.cumsum(take) + take, take) + np.arange(int(take.sum()))
             doc, value = np.repeat(np.arange(len(n)), take), tokens[at]
             part = (((value >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             doc, value, part = doc[order], value[order], part[order]
             edges = np.searchsorted(part, np.arange(ranges + 1))
-            rows = {"range": [], "tokens": [], "counts": [], "sets": [], "needs": []}
+            rows = {"range": [], "tokens": [], "counts": [], "sets": []}
             for r in np.flatnonzero(np.diff(edges)).tolist():
                 own = slice(edges[r], edges[r + 1])
                 docs, counts = np.unique(doc[own], return_counts=True)
@@ -101,7 +105,6 @@ def _pack(ranges: int, text: str, row: str):
                 rows["tokens"].append((value[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
                 rows["counts"].append(counts.astype(np.uint32).tobytes())
                 rows["sets"].append(keys[docs].tobytes())
-                rows["needs"].append(k[docs].astype(np.uint32).tobytes())
             m, d = len(rows["range"]), len(n)
             none = lambda size, kind: pa.nulls(size, kind)
             columns = [
@@ -109,9 +112,9 @@ def _pack(ranges: int, text: str, row: str):
                 pa.concat_arrays([pa.array(keys, pa.int64()), none(m, pa.int64())]),
                 pa.concat_arrays([pa.array(n, pa.int64()), none(m, pa.int64())]),
                 pa.concat_arrays([none(d, pa.int32()), pa.array(rows["range"], pa.int32())]),
-                *[pa.concat_arrays([none(d, pa.binary()), pa.array(rows[c], pa.binary())]) for c in ("tokens", "counts", "sets", "needs")],
+                *[pa.concat_arrays([none(d, pa.binary()), pa.array(rows[c], pa.binary())]) for c in ("tokens", "counts", "sets")],
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_key", "n", "range", "tokens", "counts", "sets", "needs"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_key", "n", "range", "tokens", "counts", "sets"])
 
     return run
 
@@ -122,10 +125,9 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in group["tokens"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]]).astype(np.int64)
     sets = np.concatenate([np.frombuffer(x, np.int64) for x in group["sets"]])
-    needs = np.concatenate([np.frombuffer(x, np.uint32) for x in group["needs"]])
     first = np.zeros(len(sets), bool)
     first[np.unique(sets, return_index=True)[1]] = True  # other tasks may have sent the same set
-    tokens, sets, needs, counts = tokens[np.repeat(first, counts)], sets[first], needs[first], counts[first]
+    tokens, sets, counts = tokens[np.repeat(first, counts)], sets[first], counts[first]
     order = np.argsort(tokens, kind="stable")
     same = np.diff(tokens[order].astype(np.int64)) == 0
     shared = np.zeros(len(tokens), bool)
@@ -133,7 +135,7 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
     shared[order[:-1]] |= same
     hits = np.add.reduceat(shared, np.cumsum(counts) - counts, dtype=np.int64)
     some = hits > 0
-    return pd.DataFrame({"set_key": sets[some], "hits": hits[some], "need": needs[some].astype(np.int64)})
+    return pd.DataFrame({"set_key": sets[some], "hits": hits[some]})
 
 
 def classes_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,11 +145,12 @@ def classes_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = max(1, math.ceil(size / 16 / TOKENS_A_RANGE))
     packed = written(docs.mapInArrow(_pack(ranges, "text", "doc_id"), PACKED), "packed")
     rows = packed.filter(F.col("range").isNull()).select("doc_id", "set_key", "n")
-    blobs = packed.filter(F.col("range").isNotNull()).select("range", "tokens", "counts", "sets", "needs")
-    hits = blobs.groupBy("range").applyInPandas(_repeated, "set_key long, hits long, need long")
-    able = hits.groupBy("set_key").agg(F.sum("hits").alias("hits"), F.max("need").alias("need")).filter("hits >= need").select("set_key")
+    blobs = packed.filter(F.col("range").isNotNull()).select("range", "tokens", "counts", "sets")
+    hits = blobs.groupBy("range").applyInPandas(_repeated, "set_key long, hits long").groupBy("set_key").agg(F.sum("hits").alias("hits"))
     names = rows.groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    return rows, able.join(names, "set_key")
+    need = F.ceil(F.col("n") * PERCENT / 100)
+    enough = F.col("hits") >= F.least(F.floor((F.col("n") - need + 2) / 2), need)
+    return rows, hits.join(names, "set_key").filter(enough).select("set_key", "n", "doc_id")
 
 
 # ---- 2: the index --------------------------------------------------------------------------------------------------
@@ -164,7 +167,9 @@ def counted_sets(docs: DataFrame, able: DataFrame) -> DataFrame:
     """(set_key, n, tokens): the sets that may have a partner, with the (count, token) of their tokens that several of them
     have, rarest first. A set most of whose tokens no other set has is left out."""
     # repeated ids may bring texts beyond those asked for, or one set twice: more to count, the same links in the end
-    texts = docs.join(able.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "doc_id").select("text")
+    # both sides grow with the input: merged, never broadcast
+    wanted = able.select("doc_id").filter("doc_id IS NOT NULL").distinct().hint("merge")
+    texts = docs.join(wanted, "doc_id").select("text")
     texts = texts.unionByName(docs.filter("doc_id IS NULL").select("text"))
     tokens = written(texts.mapInArrow(_tokens, "set_key long, token long"), "tokens")
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("count")).filter("count > 1")
@@ -186,64 +191,82 @@ def _classes(n: Column) -> Column:
 
 
 def index_lists(sets: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(list, set_key, n): a list for each rare token of a plain prefix, and for each two frequent tokens of one class in an
-    extended prefix. Tokens that no other set has come first in the order and only shorten the prefix of the stored ones."""
-    n = F.col("n")
-    rows = sets.withColumn("left", _short(n) - (n.cast("int") - F.size("tokens"))).filter("left > 0")
+    """(list, set_key, n, stored, rarity): a list for each rare token of a plain prefix, and for each two frequent tokens of
+    one class in an extended prefix. Tokens that no other set has come first in the order and only shorten the prefix of the
+    stored ones. rarity is the share of a set's tokens that are not frequent."""
+    n, own = F.col("n"), ["set_key", "n", "stored", "rarity"]
+    often = F.size(F.filter("tokens", lambda t: t["count"] > frequent))
+    rows = sets.withColumn("stored", F.size("tokens")).withColumn("rarity", (n - often) / n)
+    rows = rows.withColumn("left", _short(n) - (n.cast("int") - F.col("stored"))).filter("left > 0")
     plain = F.slice("tokens", F.lit(1), F.col("left"))
-    rare = rows.select("set_key", "n", F.explode(F.filter(plain, lambda t: t["count"] <= frequent)).alias("t"))
-    rare = rare.select(F.xxhash64(F.lit(0), "t.token").alias("list"), "set_key", "n")
+    rare = rows.select(*own, F.explode(F.filter(plain, lambda t: t["count"] <= frequent)).alias("t"))
+    rare = rare.select(F.xxhash64(F.lit(0), "t.token").alias("list"), *own)
     # partners may belong to the next size: both sides use the classes of either
     choices = F.array_distinct(F.array(_classes(F.ceil(n * PERCENT / 100)), _classes(n), _classes(F.floor(n * 100 / PERCENT))))
     dominated = rows.filter(F.exists(plain, lambda t: t["count"] > frequent))
-    dealt = dominated.select("set_key", "n", "tokens", "left", F.explode(choices).alias("classes"))
+    dealt = dominated.select(*own, "tokens", "left", F.explode(choices).alias("classes"))
     extended = F.slice("tokens", F.lit(1), F.col("left") + F.col("classes"))
     tokens = dealt.select(
-        "set_key", "n", "classes", F.explode(F.filter(extended, lambda t: t["count"] > frequent)).alias("t")
-    ).select("set_key", "n", "classes", F.col("t.token").alias("token"), F.pmod(F.xxhash64("t.token"), F.col("classes")).alias("class"))
-    together = tokens.groupBy("set_key", "n", "classes", "class").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    pairs = together.select("set_key", "n", "classes", "tokens", F.posexplode("tokens").alias("i", "one")).select(
-        "set_key", "n", "classes", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("other")
+        *own, "classes", F.explode(F.filter(extended, lambda t: t["count"] > frequent)).alias("t")
+    ).select(*own, "classes", F.col("t.token").alias("token"), F.pmod(F.xxhash64("t.token"), F.col("classes")).alias("class"))
+    together = tokens.groupBy(*own, "classes", "class").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    pairs = together.select(*own, "classes", "tokens", F.posexplode("tokens").alias("i", "one")).select(
+        *own, "classes", "one", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("other")
     )
-    return rare.unionByName(pairs.select(F.xxhash64("classes", "one", "other").alias("list"), "set_key", "n"))
+    return rare.unionByName(pairs.select(F.xxhash64("classes", "one", "other").alias("list"), *own))
 
 
 # ---- 3: links ------------------------------------------------------------------------------------------------------
 
 
-def _alike(a: str, b: str) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _enough(common: Column, na: Column, nb: Column) -> Column:
+    return common * (100 + PERCENT) >= (na + nb) * PERCENT
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets and of the intersection."""
     own = sets.select("set_key", "n", F.col("tokens.token").alias("tokens"))
     left = own.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = own.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(F.col("common") * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
 
 
 def set_components(sets: DataFrame, lists: DataFrame) -> DataFrame:
-    """(node, label) of every set that has a link."""
+    """(node, label) of every set that has a link.
+
+    The head of a list is its most common set: of near-copies the one most like the others. Let o be a set's overlap with
+    the head and r its other tokens that several sets have; two sets of the list share min(o, o') + min(r, r') tokens at
+    most, so of those in different components only few have to be compared.
+    """
     lists = written(lists, "lists")
-    heads = lists.groupBy("list").agg(F.min(F.struct("set_key", "n")).alias("head"), F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    met = lists.join(heads, "list").select(F.col("head.set_key").alias("a"), F.col("head.n").alias("na"), F.col("set_key").alias("b"), F.col("n").alias("nb"))
-    met = written(met.filter((F.col("a") != F.col("b")) & _alike("na", "nb")).select("a", "b").distinct(), "met")
-    links = written(verified(met, sets), "links")
+    heads = lists.groupBy("list").agg(F.min_by("set_key", F.struct("rarity", "set_key")).alias("head"), F.count(F.lit(1)).alias("sets"))
+    heads = written(heads.filter("sets > 1").select("list", "head"), "heads")
+    met = lists.join(heads, "list").filter("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
+    met = written(overlaps(written(met, "met"), sets), "overlaps")
+    links = met.filter(_enough(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
     labels = components(links)
 
-    named = lists.join(heads.select("list"), "list").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
+    named = lists.join(heads, "list").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
     named = named.withColumn("label", F.coalesce("label", "set_key"))
     sizes = named.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("list").agg(F.max_by("label", "k").alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("list", "main")
-    named = written(named.join(mixed, "list"), "mixed-lists")
+    mixed = sizes.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("list", "main")
+    smallest = named.groupBy("list").agg(F.min("n").alias("least"))
+    known = met.select(F.col("a").alias("head"), F.col("b").alias("set_key"), "common")
+    rows = named.join(mixed, "list").join(smallest, "list").filter(_enough(F.col("stored"), F.col("n"), F.col("least")))
+    rows = rows.join(known, ["head", "set_key"], "left").withColumn("o", F.coalesce("common", "stored"))
+    rows = written(rows.select("list", "main", "label", "set_key", "n", "o", (F.col("stored") - F.col("o")).alias("r")), "mixed-lists")
     # of two components in a list one is not the main one
-    few = named.filter("label != main").select("list", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    all_ = named.select("list", "main", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    across = few.join(all_, "list").filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("la") < F.col("lb"))) & _alike("na", "nb"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    more = written(verified(written(across, "across"), sets), "links")
+    side = lambda x: [F.col(c).alias(c + x) for c in ("set_key", "label", "n", "o", "r")]
+    few, all_ = rows.filter("label != main").select("list", *side("1")), rows.select("list", "main", *side("2"))
+    most = F.least("o1", "o2") + F.least("r1", "r2")
+    across = few.join(all_, "list").filter(
+        (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("label1") < F.col("label2")))
+        & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT) & _enough(most, F.col("n1"), F.col("n2"))
+    )
+    pair = across.select(F.least("set_key1", "set_key2").alias("a"), F.greatest("set_key1", "set_key2").alias("b")).distinct()
+    done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = overlaps(written(pair.join(done, ["a", "b"], "left_anti"), "across"), sets)
+    more = written(more.filter(_enough(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more))
