@@ -218,7 +218,8 @@ class Told:
     """The sums told to a chunk: of its words and, in the same order as its pairs, of its pairs."""
 
     def __init__(self, replies: pd.DataFrame):
-        ordered = replies.sort_values("part")
+        # chunks of one content have one name and are told the same
+        ordered = replies.drop_duplicates(["pairs", "part"]).sort_values("part")
         words, pairs = ordered[~ordered["pairs"]], ordered[ordered["pairs"]]
         join = lambda rows, c: np.concatenate([unpacked(x, np.int64) for x in rows[c]])
         self.word = join(words, "base"), join(words, "learn")
@@ -249,7 +250,9 @@ def _observe(totals: Totals):
         rows = pd.DataFrame({
             "bucket": bucket(context), "pair": _bins(both / np.maximum(context, 1)), "word": _bins(own / max(1, totals.base_tokens)),
         })
-        return rows.groupby(["bucket", "pair", "word"], dropna=False).size().rename("n").reset_index()
+        found = rows.groupby(["bucket", "pair", "word"], dropna=False).size().rename("n").reset_index()
+        found["n"] *= len(chunks)
+        return found
 
     return run
 
