@@ -224,48 +224,58 @@ def _enough(common: Column, na: Column, nb: Column) -> Column:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets and of the intersection."""
+    """The pairs (a, b) with the sizes of their sets and of the intersection, and b's other tokens, rarest first."""
     own = sets.select("set_key", "n", F.col("tokens.token").alias("tokens"))
     left = own.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = own.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("rest", F.array_except("tb", "ta"))
+    return both.select("a", "b", "na", "nb", (F.size("tb") - F.size("rest")).alias("common"), "rest")
+
+
+def _across(rows: DataFrame, keys: list[str], also: Column) -> DataFrame:
+    """Pairs of sets of different components among rows with equal keys, if the bound on their overlap allows a link."""
+    sizes = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("k")).groupBy(*keys)
+    mixed = sizes.agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    rows = rows.join(mixed.drop("labels"), keys)
+    # of two components one is not the main one
+    side = lambda x: [F.col(c).alias(c + x) for c in ("set_key", "label", "n", "o", "r")]
+    few, all_ = rows.filter("label != main").select(*keys, *side("1")), rows.select(*keys, "main", *side("2"))
+    most = F.least("o1", "o2") + F.least("r1", "r2")
+    met = few.join(all_, keys).filter(
+        (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("label1") < F.col("label2")))
+        & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT) & _enough(most, F.col("n1"), F.col("n2")) & also
+    )
+    return met.select(F.least("set_key1", "set_key2").alias("a"), F.greatest("set_key1", "set_key2").alias("b"))
 
 
 def set_components(sets: DataFrame, lists: DataFrame) -> DataFrame:
     """(node, label) of every set that has a link.
 
-    The head of a list is its most common set: of near-copies the one most like the others. Let o be a set's overlap with
-    the head and r its other tokens that several sets have; two sets of the list share min(o, o') + min(r, r') tokens at
-    most, so of those in different components only few have to be compared.
+    The head of a list is its most common set: of near-copies the one most like the others. Every set of the list meets it.
+    Let o be a set's overlap with the head and r its other tokens that several sets have. Two sets of the list share
+    min(o, o') + min(r, r') tokens at most; if min(o, o') is not enough for a link, they share some of their other tokens,
+    and one of the first r - (need - o) + 1 in particular. So sets of different components meet at such a token, or where
+    both have enough in common with the head: few do, however many have the head.
     """
     lists = written(lists, "lists")
     heads = lists.groupBy("list").agg(F.min_by("set_key", F.struct("rarity", "set_key")).alias("head"), F.count(F.lit(1)).alias("sets"))
-    heads = written(heads.filter("sets > 1").select("list", "head"), "heads")
-    met = lists.join(heads, "list").filter("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
-    met = written(overlaps(written(met, "met"), sets), "overlaps")
+    met = lists.join(heads.filter("sets > 1"), "list").filter("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
+    n, r = F.col("nb").cast("int"), F.size("rest")
+    first = r - F.greatest(F.lit(1), F.ceil(n * PERCENT / 100).cast("int") - F.col("common")) + 1
+    met = overlaps(written(met, "met"), sets).withColumn("first", F.slice("rest", F.lit(1), F.greatest(F.lit(0), first)))
+    met = written(met.withColumn("r", r).drop("rest"), "overlaps")
     links = met.filter(_enough(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
     labels = components(links)
 
-    named = lists.join(heads, "list").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-    named = named.withColumn("label", F.coalesce("label", "set_key"))
-    sizes = named.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("list").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("list", "main")
-    smallest = named.groupBy("list").agg(F.min("n").alias("least"))
-    known = met.select(F.col("a").alias("head"), F.col("b").alias("set_key"), "common")
-    rows = named.join(mixed, "list").join(smallest, "list").filter(_enough(F.col("stored"), F.col("n"), F.col("least")))
-    rows = rows.join(known, ["head", "set_key"], "left").withColumn("o", F.coalesce("common", "stored"))
-    rows = written(rows.select("list", "main", "label", "set_key", "n", "o", (F.col("stored") - F.col("o")).alias("r")), "mixed-lists")
-    # of two components in a list one is not the main one
-    side = lambda x: [F.col(c).alias(c + x) for c in ("set_key", "label", "n", "o", "r")]
-    few, all_ = rows.filter("label != main").select("list", *side("1")), rows.select("list", "main", *side("2"))
-    most = F.least("o1", "o2") + F.least("r1", "r2")
-    across = few.join(all_, "list").filter(
-        (F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("main")) | (F.col("label1") < F.col("label2")))
-        & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * PERCENT) & _enough(most, F.col("n1"), F.col("n2"))
-    )
-    pair = across.select(F.least("set_key1", "set_key2").alias("a"), F.greatest("set_key1", "set_key2").alias("b")).distinct()
+    rows = met.select(F.col("a").alias("head"), F.col("b").alias("set_key"), F.col("nb").alias("n"), F.col("common").alias("o"), "r", "first")
+    rows = rows.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    tokens = rows.select("head", "set_key", "label", "n", "o", "r", F.explode("first").alias("token"))
+    by_token = _across(tokens, ["head", "token"], F.lit(True))
+    close = rows.filter(F.col("o") * 100 >= F.col("n") * PERCENT)
+    by_head = _across(close, ["head"], _enough(F.least("o1", "o2"), F.col("n1"), F.col("n2")))
     done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = overlaps(written(pair.join(done, ["a", "b"], "left_anti"), "across"), sets)
+    pairs = by_token.unionByName(by_head).distinct().join(done, ["a", "b"], "left_anti")
+    more = overlaps(written(pairs, "across"), sets)
     more = written(more.filter(_enough(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b"), "links")
     if more.isEmpty():
         return labels
@@ -294,10 +304,10 @@ def near_classes(docs: DataFrame, text: str = "text", row: str = "doc_id") -> Da
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the document with the smallest id. Texts without words all stay; rows
     with one id and one set of tokens are one document."""
-    name = free_name(docs, "set_key")
+    name, chosen = free_name(docs, "set_key"), free_name(docs, "chosen")
     kept = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.groupBy("component_id", (F.col("n") == 0).alias("bare")).agg(F.min("set_key").alias("set_key"))
-    kept = written(kept.select(F.struct("component_id", "set_key").alias("kept")), "kept")
+    kept = written(kept.select(F.struct("component_id", "set_key").alias(chosen)), "kept")
     first = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +317,7 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     rows = docs.mapInArrow(keyed, first)
     return (
-        rows.join(kept, rows["doc_id"].eqNullSafe(F.col("kept.component_id")) & (rows[name] == F.col("kept.set_key")), "left_semi")
+        rows.join(kept, rows["doc_id"].eqNullSafe(F.col(f"{chosen}.component_id")) & (rows[name] == F.col(f"{chosen}.set_key")), "left_semi")
         .dropDuplicates(["doc_id", name]).select(*docs.columns)
     )
 

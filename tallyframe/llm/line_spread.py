@@ -69,7 +69,7 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
 
 
 @query("op7_line_spread", rf"""
-WITH ln AS (SELECT r, doc_id, site, i, l, trim(l, e' \t\n\v\f\r') AS k FROM (
+WITH ln AS (SELECT r, doc_id, site, i, l, trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM (
               SELECT r, doc_id, site, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (
                 SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'none') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 wide AS (SELECT k FROM ln WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= {Spread().sites})

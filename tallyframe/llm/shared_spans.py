@@ -211,7 +211,8 @@ def merged_intervals(runs: Runs, shards: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.empty(len(shard), np.int64)
     for k, order in enumerate(orders):
         rows[shard == k] = order
-    return rows, common
+    # ends are alike to the rounds, but no bytes
+    return rows, np.minimum(common, (runs.end[rows] - rows) // STEP * STEP)
 
 
 def repeated_rows(strings: list[bytes], times: np.ndarray, shards: int = SHARDS) -> tuple[Runs, np.ndarray]:
