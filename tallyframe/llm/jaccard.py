@@ -323,8 +323,7 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 NEAR_SQL = r"""
-sw AS (SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS ws
+sw AS (SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
        FROM (SELECT row_number() OVER () AS r, doc_id, text FROM {docs})),
 sh AS (SELECT DISTINCT r, array_to_string(ws[i : i + 4], ' ') AS k FROM (SELECT r, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM sw WHERE len(ws) > 0)),
 ns AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
