@@ -22,9 +22,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,28 +89,37 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
         runs = pa.StructArray.from_arrays([pa.array(key), pa.array(start * 1024 + (end - start))], ["key", "at"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("rid"), pa.ListArray.from_arrays(first, runs)], ["id", "rid", "runs"]
+            [batch.column("id"), batch.column("rid"), batch.column("crc"), pa.ListArray.from_arrays(first, runs)], ["id", "rid", "crc", "runs"]
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs picked in each text: a row per occurrence, and a row with the bytes of each different run of a chunk."""
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, to be moved."""
     for batch in W.chunks(batches, "text"):
         data, offsets = W.text_bytes(batch.column("text"))
         whole, bounds = data.tobytes(), offsets.tolist()
+        zipped = pa.array([zstandard.compress(whole[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], zipped], [*names, "text"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs picked in each text: a row per occurrence, and a row with the bytes of each different run of a batch."""
+    for batch in batches:
         picks = batch.column("picks")
-        edges = picks.offsets.to_pylist()
-        keys = picks.values.field("key").to_pylist()
-        places = picks.values.field("at").to_pylist()
-        ids, rids = batch.column("id").to_pylist(), batch.column("rid").to_pylist()
+        edges = (picks.offsets.to_numpy() - picks.offsets[0].as_py()).tolist()
+        values = picks.flatten()
+        keys, places = values.field("key").to_pylist(), values.field("at").to_pylist()
+        rids, crcs = batch.column("rid").to_pylist(), batch.column("crc").to_pylist()
         occurrences: list[tuple] = []
         runs: dict[tuple[int, int], list] = {}
-        for d in range(batch.num_rows):
+        for d, zipped in enumerate(batch.column("text")):
+            text = zstandard.decompress(zipped.as_py())
             for i in range(edges[d], edges[d + 1]):
                 start, more = divmod(places[i], 1024)
-                run = whole[bounds[d] + start : bounds[d] + start + more + SPAN]
+                run = text[start : start + more + SPAN]
                 name = (keys[i], xxhash.xxh3_64_intdigest(run) - (1 << 63))
-                occurrences.append((*name, ids[d], rids[d], start))
+                occurrences.append((*name, rids[d], crcs[d], start))
                 held = runs.get(name)
                 if held:
                     held[1] += 1
@@ -125,7 +134,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column([r[0] for r in runs.values()] + [None] * n, pa.binary()), column([r[1] for r in runs.values()] + [None] * n, pa.int64()),
                 *[column([None] * m + [o[c] for o in occurrences], pa.int64()) for c in (2, 3, 4)],
             ],
-            ["key", "run", "bytes", "times", "id", "rid", "start"],
+            ["key", "run", "bytes", "times", "rid", "crc", "start"],
         )
 
 
@@ -241,18 +250,69 @@ def _covered(place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[heads], place[heads], place[tails] + SPAN
 
 
-COVER = "key long, run long, starts array<long>, ends array<long>"
+COVER = "key long, run long, starts array<long>, ends array<long>, bytes binary, times long"
+_COVER = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("bytes", pa.binary()), ("times", pa.int64())])
 
 
-def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
-    counts = group.groupby(["key", "run"], sort=True).agg(bytes=("bytes", "first"), times=("times", "sum")).reset_index()
-    runs, found = repeated_rows(counts["bytes"].tolist(), counts["times"].to_numpy())
+def _merge_group(held: dict[tuple[int, int], list]) -> pa.RecordBatch:
+    """The covers of the runs of some anchors."""
+    names = list(held)
+    runs, found = repeated_rows([held[k][0] for k in names], np.array([held[k][1] for k in names]))
     rows = np.flatnonzero(found)
     owner, start, end = _covered(rows - runs.first[runs.string[rows]], runs.string[rows])
     edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
-    own = counts.iloc[owner[edges]]
-    return pd.DataFrame({"key": own["key"].to_numpy(), "run": own["run"].to_numpy(), "starts": np.split(start, edges[1:]) if len(owner) else [],
-                         "ends": np.split(end, edges[1:]) if len(owner) else []})
+    own, split = [names[i] for i in owner[edges].tolist()], pa.array(np.append(edges, len(owner)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in own], pa.int64()), pa.array([r for _, r in own], pa.int64()), pa.ListArray.from_arrays(split, pa.array(start)),
+         pa.ListArray.from_arrays(split, pa.array(end)), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.int64())], schema=_COVER,
+    )
+
+
+def _merge_sorted(group_bytes: int, hot_bytes: int):
+    """Covers of runs that come in the order of key and run. Whole anchors are gathered up to `group_bytes`; the runs of an
+    anchor that passes `hot_bytes` are given back as they are, the first ones when that is seen and the others at once."""
+
+    def back(held: dict) -> pa.RecordBatch:
+        n = len(held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in held], pa.int64()), pa.array([r for _, r in held], pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+             pa.nulls(n, pa.list_(pa.int64())), pa.array([v[0] for v in held.values()], pa.binary()), pa.array([v[1] for v in held.values()], pa.int64())], schema=_COVER,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[tuple[int, int], list] = {}  # runs of anchors that have ended
+        own: dict[tuple[int, int], list] = {}  # of the anchor being read
+        size, own_size, key, hot = 0, 0, None, False
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "run", "bytes", "times")]
+            for k, r, text, times in zip(*columns, strict=True):
+                if k != key:
+                    if hot and own:
+                        yield back(own)
+                    elif len(own) > 1 or any(v[1] > 1 for v in own.values()):
+                        whole.update(own)
+                        size += own_size
+                    if size >= group_bytes:
+                        yield _merge_group(whole)
+                        whole, size = {}, 0
+                    own, own_size, key, hot = {}, 0, k, False
+                if (k, r) in own:
+                    own[k, r][1] += times
+                    continue
+                if hot and len(own) >= 1000:  # sorted: the earlier runs are complete
+                    yield back(own)
+                    own = {}
+                own[k, r] = [text, times]
+                own_size += len(text)
+                hot = hot or own_size > hot_bytes
+        if hot and own:
+            yield back(own)
+        else:
+            whole.update(own)
+        if whole:
+            yield _merge_group(whole)
+
+    return run
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +337,6 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot_covers(runs: DataFrame) -> DataFrame:
     """The covers of runs whose anchor has too many of them for one task."""
-    runs = runs.groupBy("key", "run").agg(F.first("bytes").alias("bytes"), F.sum("times").alias("times"))
     strings = written(runs.mapInArrow(_strings, "h1 long, h2 long, key long, run long, times long, place long"), "strings")
     often = strings.groupBy("h1", "h2").agg(F.sum("times").alias("places")).filter("places > 1").select("h1", "h2")
     found = strings.join(often, ["h1", "h2"]).groupBy("key", "run").agg(F.sort_array(F.collect_list("place")).alias("starts"))
@@ -290,13 +349,14 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<lo
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.chunks(batches, "text"):
-        data, offsets = W.text_bytes(batch.column("text"))
-        whole, bounds = data.tobytes(), offsets.tolist()
-        rows = {"n_removed": [], "starts": [], "ends": [], "kept": []}
-        for d, spans in enumerate(batch.column("spans").to_pylist()):
-            text = whole[bounds[d] : bounds[d + 1]]
+    for batch in batches:
+        rows = {"n_bytes": [], "n_removed": [], "starts": [], "ends": [], "kept": []}
+        for zipped, copies, spans in zip(batch.column("text"), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            text = zstandard.decompress(zipped.as_py())
+            rows["n_bytes"].append(len(text))
             starts, ends = [], []
+            if (copies or 0) > 1 and len(text) >= SPAN:
+                spans = [{"start": 0, "end": len(text)}]
             for s in sorted((x["start"], x["end"]) for x in spans or ()):
                 if starts and s[0] <= ends[-1]:
                     ends[-1] = max(ends[-1], s[1])
@@ -310,7 +370,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["ends"].append(ends)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(rows["n_removed"], pa.int64()),
+            [batch.column("doc_id"), pa.array(rows["n_bytes"], pa.int64()), pa.array(rows["n_removed"], pa.int64()),
              pa.array([len(s) for s in rows["starts"]], pa.int64()), pa.array(rows["starts"], longs), pa.array(rows["ends"], longs), pa.array(rows["kept"], pa.binary())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "starts", "ends", "kept"],
         )
@@ -322,32 +382,30 @@ def without_shared_spans(docs: DataFrame, text: str = "text", row: str = "doc_id
     judged on the input. Repeated rows are copies of each other; NULL is the empty text; bytes that stay may split a
     character, so they are binary."""
     docs = docs.select(F.col(row).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("bigint"))).withColumn("rid", F.xxhash64("text"))
-    texts = docs.filter(F.octet_length("text") >= SPAN).select("id", "rid", "text")
-    found = written(texts.mapInArrow(_anchored, "id long, rid long, runs array<struct<key:long,at:long>>"), "anchors")
-    places = found.select("id", "rid", F.explode("runs").alias("r")).select("id", "rid", "r.key", "r.at")
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("bigint"))).withColumn("rid", F.xxhash64("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
+    zipped = docs.mapInArrow(_zipped, "doc_id long, id long, rid long, crc long, text binary")
+    found = written(docs.drop("doc_id").mapInArrow(_anchored, "id long, rid long, crc long, runs array<struct<key:long,at:long>>"), "anchors")
+    # texts are compared once, and by the row with the smallest id; those with copies go as a whole
+    once = found.groupBy("rid", "crc").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    places = found.join(once, ["rid", "crc", "id"]).select("id", "rid", "crc", F.explode("runs").alias("r")).select("id", "rid", "crc", "r.key", "r.at").distinct()
     often = places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    # rows with one id and one text give the same runs: their places are listed once, and counted for each
-    picked = places.join(often, "key").groupBy("id", "rid").agg(F.collect_set(F.struct("key", "at")).alias("picks"))
-    cut = texts.join(picked, ["id", "rid"]).mapInArrow(_cut, "key long, run long, bytes binary, times long, id long, rid long, start long")
-    cut = written(cut, "runs")
+    picked = places.join(often, "key").groupBy("id", "rid", "crc").agg(F.collect_list(F.struct("key", "at")).alias("picks"))
+    # both sides grow with the input: merged, never broadcast
+    cut = zipped.join(picked.hint("merge"), ["id", "rid", "crc"]).select("rid", "crc", "text", "picks")
+    cut = written(cut.mapInArrow(_cut, "key long, run long, bytes binary, times long, rid long, crc long, start long"), "runs")
     runs = cut.filter("bytes IS NOT NULL").select("key", "run", "bytes", "times")
-    weights = runs.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size"))
-    weights = written(weights, "weights")
-    size = total(weights, F.sum("size").alias("n"))["n"] or 0
-    hot = weights.filter(F.col("size") > hot_bytes).select("key")
-    groups = max(1, math.ceil(size / group_bytes))
-    covers = (
-        runs.join(hot, "key", "left_anti").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-        .groupBy("group").applyInPandas(_merge_group, COVER)
-    )
-    covers = covers.unionByName(_hot_covers(runs.join(hot, "key", "left_semi")))
-    places = cut.filter("bytes IS NULL").select("key", "run", "id", "rid", "start").distinct()
+    size = total(runs, F.sum(F.octet_length("bytes")).alias("n"))["n"] or 0
+    merged = runs.repartition(max(1, math.ceil(size / (4 * group_bytes))), "key").sortWithinPartitions("key", "run")
+    merged = written(merged.mapInArrow(_merge_sorted(group_bytes, hot_bytes), COVER), "covers")
+    covers = merged.filter("bytes IS NULL").select("key", "run", "starts", "ends")
+    covers = covers.unionByName(_hot_covers(merged.filter("bytes IS NOT NULL").select("key", "run", "bytes", "times")))
     spans = (
-        places.join(covers, ["key", "run"]).select("id", "rid", "start", F.explode(F.arrays_zip("starts", "ends")).alias("s"))
-        .groupBy("id", "rid").agg(F.collect_list(F.struct((F.col("start") + F.col("s.starts")).alias("start"), (F.col("start") + F.col("s.ends")).alias("end"))).alias("spans"))
+        cut.filter("bytes IS NULL").select("key", "run", "rid", "crc", "start").join(covers, ["key", "run"])
+        .select("rid", "crc", "start", F.explode(F.arrays_zip("starts", "ends")).alias("s"))
+        .groupBy("rid", "crc").agg(F.collect_set(F.struct((F.col("start") + F.col("s.starts")).alias("start"), (F.col("start") + F.col("s.ends")).alias("end"))).alias("spans"))
     )
-    return docs.join(spans, ["id", "rid"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, KEPT)
+    spans = once.select("rid", "crc", "copies").join(spans, ["rid", "crc"], "left").filter("copies > 1 OR spans IS NOT NULL")
+    return zipped.join(spans.hint("merge"), ["rid", "crc"], "left").select("doc_id", "text", "copies", "spans").mapInArrow(_kept, KEPT)
 
 
 # Texts as hexadecimal digits; places of repeated strings, joined to spans; the pieces between spans
