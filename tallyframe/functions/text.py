@@ -136,7 +136,7 @@ DECREE = rf"decreto-legge ([0-9]{{1,2}}°? {WORD}+ [0-9]{{4}}), n\. ?([0-9]+)"
 
 
 def law_key(clean: Column) -> Column:
-    """The same law in two chambers: the decree's number for conversions, else the bare title up to 160 characters."""
+    """The same law in two chambers: the decree's number for conversions, else the whole bare title."""
     title = F.coalesce(clean, F.lit(""))
     decree = F.lower(
         F.concat(
@@ -147,7 +147,7 @@ def law_key(clean: Column) -> Column:
     bare = F.regexp_replace(title, r"^S\. ?[0-9]+\. ?- ?", "")
     bare = F.regexp_replace(bare, r"(\s*\([^()]*\))+\s*$", "")
     bare = F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}_]+", " "))
-    return F.when(title.rlike(DECREE), decree).otherwise(F.substring(bare, 1, 160))
+    return F.when(title.rlike(DECREE), decree).otherwise(bare)
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -183,9 +183,9 @@ ADDRESSED = (
 
 
 def suspicious_phrase(text: Column) -> Column:
-    """First phrase found, by pattern order, up to 80 characters; NULL when none is."""
+    """First phrase found, by pattern order, whole; NULL when none is."""
     found = [F.nullif(F.regexp_extract(text, f"(?i){p}", 0), F.lit("")) for p in ADDRESSED]
-    return F.substring(F.coalesce(*found), 1, 80)
+    return F.coalesce(*found)
 
 
 # What counts as a deadline and as a year.

@@ -39,8 +39,8 @@ def judge_documents(
     elements: source, level, channel, ord, url, title, summary, text, published_at, reserved (page opposes mining).
     The texts are judged once and written; the rest starts from that table.
 
-    Outcomes: 'seen' (address known), 'outside' (level C naming nobody tracked), 'over_limit' (beyond the pages read per
-    source and pass, in discovery order), 'duplicate' (address or content repeated), 'stored'.
+    Outcomes: 'seen' (address known), 'outside' (level C naming nobody tracked), 'duplicate' (address or content repeated),
+    'stored'. Every listed element is judged; how many pages a crawler may fetch is not this operator's business.
     """
     order = [F.col("source"), F.col("ord")]
     listed = elements.withColumn("url", U.normal_url(F.col("url")))
@@ -49,19 +49,13 @@ def judge_documents(
     filtered = F.col("level") == "C"
     title_first = filtered & (F.col("channel") == "rss")
     early = _all_texts(F.col("title"), F.col("summary"))
-    cheap = listed.withColumn(
+    read = listed.withColumn(
         "_step",
         F.when(F.col("_seen"), "seen").when(
             title_first & ~X.names_anyone(early, names.forms, names.surnames), "outside"
         ),
     )
-    # Pages are read, and their text looked at, only for what the address and the title let through.
-    waiting = newest(
-        cheap.filter(F.col("_step").isNull()), ["source"], [F.col("ord")], rank=p.new_per_source
-    ).select("source", "ord", F.lit(True).alias("_read"))
-    read = cheap.join(waiting, ["source", "ord"], "left").withColumn(
-        "_step", F.coalesce("_step", F.when(F.col("_read").isNull(), "over_limit"))
-    )
+    # Texts are looked at only for what the address and the title let through.
     closed = F.col("reserved") & filtered
     kept = F.nullif(F.coalesce("text", X.clean_text(F.col("summary"))), F.lit(""))
     body = F.when(F.col("_step").isNull() & ~closed, kept)

@@ -40,15 +40,16 @@ def decode_expression(kind: Column, description: Column) -> Column:
 
 
 def one_vote_per_person(vote_rows: DataFrame) -> DataFrame:
-    """(ballot_id, person_id, group_id, expression): highest priority per person; the known group when one row has it.
+    """(ballot_id, person_id, group_id, expression): the vote of highest priority per person, with a group of a row that has
+    that vote (the last by name; none if no such row has one).
 
-    Both picks are maxima of primitive columns, so the aggregation stays in the code-generated hash path.
+    One maximum per vote, of primitive columns, keeps the aggregation in the code-generated hash path.
     """
-    picked = vote_rows.withColumn("_rank", _choose(F.col("expression"), PRIORITY)).groupBy("ballot_id", "person_id").agg(
-        F.max("group_id").alias("group_id"), F.max("_rank").alias("_rank")
-    )
+    rank = _choose(F.col("expression"), PRIORITY)
+    groups = [F.max(F.when(rank == r, F.col("group_id"))).alias(f"_g{r}") for r in PRIORITY.values()]
+    picked = vote_rows.groupBy("ballot_id", "person_id").agg(F.max(rank).alias("_rank"), *groups)
     return picked.select(
-        "ballot_id", "person_id", "group_id",
+        "ballot_id", "person_id", _choose(F.col("_rank"), {r: F.col(f"_g{r}") for r in PRIORITY.values()}).alias("group_id"),
         _choose(F.col("_rank"), {rank: value for value, rank in PRIORITY.items()}).alias("expression"),
     )
 

@@ -28,7 +28,6 @@ class Params:
     readable_known: tuple[int, int] = (8, 10)
     batch_chars: int = 12_000
     batch_items: int = 100
-    new_per_source: int = 30
     text_days: int = 7
 
 

@@ -116,7 +116,7 @@ def monthly_windows(d):
 
 
 @query("source_profile", """
-    SELECT event_type, count(*) AS n, min(props) AS sample FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 60""")
+    SELECT event_type, count(*) AS n, min(props) AS sample FROM events GROUP BY 1""")
 def source_profile(d):
     return B.class_profile(d.table("events"), "event_type", "props")
 
@@ -333,11 +333,11 @@ def import_gate(d):
 
 @query("insert_if_absent", """
     WITH fresh AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2)
-    SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 5 = 0 AND e.user_id = f.user_id
-      AND e.event_type = f.event_type AND e.event_id < 5000)""")
+    SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 97 = 0 AND e.user_id = f.user_id
+      AND e.event_type = f.event_type)""")
 def insert_if_absent(d):
     events = d.table("events").select("user_id", "event_type", "event_id")
-    stored = events.filter("event_id % 5 = 0 AND event_id < 5000")
+    stored = events.filter("event_id % 97 = 0")
     return sinks.absent_rows(events, stored, ["user_id", "event_type"], [F.col("event_id")])
 
 

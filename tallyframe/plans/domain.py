@@ -109,12 +109,12 @@ SHARED = {
         SELECT ballot_id, cast(NULL as string), CASE WHEN seq % 8 = 0 THEN NULL ELSE concat('Testo unificato n. ',
                cast(seq as string)) END, timestamp '2001-02-01 00:00:00'
         FROM ballot_facts WHERE seq % 10 = 1""",
-    # The statements come from the 40 latest eligible ballots, as a catalogue is a fixed short list.
+    # Every eligible ballot gives a statement, the latest first.
     "statements": """
         SELECT ballot_id, concat('s', cast(row_number() OVER (ORDER BY ballot_id DESC) - 1 as string)) AS statement_id,
                concat('t', cast(extract(doy from ballot_id) % 6 as string)) AS theme,
                CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END AS direction, chamber, term, ballot_date
-        FROM (SELECT * FROM ballot_facts WHERE is_final AND NOT is_secret ORDER BY ballot_id DESC LIMIT 40) latest""",
+        FROM (SELECT * FROM ballot_facts WHERE is_final AND NOT is_secret) eligible""",
     # Earlier ballots on the same matter anchor some statements too, so that means of several votes occur.
     "anchors": """
         SELECT statement_id, ballot_id, direction FROM statements
@@ -132,10 +132,11 @@ SHARED = {
 
 ORACLE = {
     "votes": """
-        SELECT ballot_id, on_date, person_id, max(group_id) AS group_id,
-               arg_max(expression, list_position(['absent', 'on_mission', 'not_voting', 'president', 'secret_voter',
-                                                  'abstain', 'against', 'for'], expression)) AS expression
-        FROM vote_rows GROUP BY ballot_id, on_date, person_id""",
+        SELECT ballot_id, on_date, person_id, max(group_id) FILTER (best) AS group_id, max(expression) FILTER (best) AS expression
+        FROM (SELECT *, expression = first_value(expression) OVER (PARTITION BY ballot_id, person_id ORDER BY
+                list_position(['absent', 'on_mission', 'not_voting', 'president', 'secret_voter', 'abstain', 'against', 'for'], expression) DESC) AS best
+              FROM vote_rows)
+        GROUP BY ballot_id, on_date, person_id""",
     "group_periods": "SELECT person_id, group_id, valid_from, valid_to FROM memberships WHERE kind = 'group'",
     "grouped_votes": """
         SELECT v.ballot_id, v.on_date, v.person_id, v.expression,
@@ -173,9 +174,7 @@ ORACLE = {
 }
 
 
-SPREAD = {"documents": "doc_id", "pages": "page_id"}
 _SCHEMAS: dict[str, StructType] = {}
-_PIECES: dict[str, int] = {}
 
 
 def plain(sql: str) -> str:
@@ -190,22 +189,12 @@ class Domain:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        """A base table. Its schema is read once per process and then given, so no query waits for inference.
-
-        Texts are costly per row. A folder whose text files split into fewer pieces than there are cores is spread by key
-        first; a folder of many files is read as it lies.
-        """
+        """A base table. Its schema is read once per process and then given, so no query waits for inference. Files are read
+        as they lie: how they split is a matter of spark.sql.files.maxPartitionBytes."""
         path = f"{self.folder}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
-        key, cores = SPREAD.get(name), self.spark.sparkContext.defaultParallelism
-        if key and cores > 1:
-            if path not in _PIECES:
-                _PIECES[path] = df.rdd.getNumPartitions()
-            if _PIECES[path] < cores:
-                df = df.repartition(cores, key)
-        return df
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def shared(self, name: str) -> DataFrame:
         """A shared view, with the views it names inlined as a WITH list."""

@@ -12,6 +12,7 @@ from tallyframe.operators import release as R
 from tallyframe.plans import rules as RU
 from tallyframe.plans import texts as TX
 from tallyframe.plans.registry import query
+from tallyframe.sources import feeds as FE
 from tallyframe.sources import pages as PG
 
 
@@ -127,9 +128,9 @@ def path_reservation(d):
     return PG.path_reservation(d.table("pages").select("page_id", "url"), made.select("host", "_r.*").distinct())
 
 
-@query("act_references", """
+@query("outcome_approved", """
     SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS approved FROM orders""")
-def act_references(d):
+def outcome_approved(d):
     """Outcome texts of the upper chamber: the negative is read before the positive it contains."""
     from tallyframe.sources.chambers import approved
 
@@ -171,3 +172,65 @@ def same_document(d):
     named = TX.documents(d).select(F.col("doc_id").alias("document_id"), F.col("source").alias("party_id"), "text")
     groups = D.content_groups(named)
     return groups.select("document_id", "party_id", F.array_join(F.array_remove("parties", F.col("party_id")), ",").alias("partners"))
+
+
+# ---- landed sources -------------------------------------------------------------------------------------------------
+
+# Pages as sitemap entries, grouped by ten; every third entry has no date.
+_DAY = "date_add(date '2024-01-01', cast(page_id % 28 as int))"
+
+
+@query("sitemap", """
+    WITH entries AS (
+      SELECT page_id // 10 AS map_id, page_id % 10 AS pos, 'https://site' || (page_id // 10)::varchar || '.example.com/news/' || page_id::varchar AS link,
+             CASE WHEN page_id % 3 <> 0 THEN timestamp '2024-01-01' + to_days((page_id % 28)::int) END AS published_at FROM pages)
+    SELECT map_id, link, published_at, row_number() OVER (PARTITION BY map_id ORDER BY published_at DESC NULLS LAST, pos) AS rank FROM entries""")
+def sitemap(d):
+    link = F.concat(F.lit("https://site"), F.expr("cast(page_id div 10 as string)"), F.lit(".example.com/news/"), F.col("page_id").cast("string"))
+    day = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), F.expr(f"cast({_DAY} as string)"), F.lit("</lastmod>"))).otherwise("")
+    entry = F.concat(F.lit("<url><loc>"), link, F.lit("</loc>"), day, F.lit("</url>"))
+    rows = d.table("pages").select(F.expr("page_id div 10").alias("map_id"), "page_id", entry.alias("e"))
+    maps = rows.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("page_id", "e"))).alias("es")).select(
+        "map_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join("es.e", ""), F.lit("</urlset>")).alias("xml")
+    )
+    return PG.sitemap_links(maps, "map_id", "/news/").select("map_id", "link", "published_at", "rank")
+
+
+@query("feed_items", """
+    SELECT page_id % 3 AS kind, 'https://feed.example.com/' || page_id::varchar AS url, 'Item ' || page_id::varchar AS title, 'Short ' || page_id::varchar AS summary,
+           timestamp '2024-01-01 10:00:00' + to_days((page_id % 28)::int) AS published_at FROM pages""")
+def feed_items(d):
+    """Each page as a feed of one item: RSS 2, RSS 1 and Atom in turn."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
+    day = F.concat(F.expr(f"cast({_DAY} as string)"), F.lit("T10:00:00Z"))
+    url, title, short = F.concat(F.lit("https://feed.example.com/"), n), F.concat(F.lit("Item "), n), F.concat(F.lit("Short "), n)
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    item = F.concat(F.lit("<item>"), tag("title", title), tag("link", url), tag("description", short), tag("dc:date", day), F.lit("</item>"))
+    entry = F.concat(F.lit("<entry>"), tag("title", title), F.lit('<link rel="self" href="https://x.example.com/self"/><link href="'), url, F.lit('"/>'),
+                     tag("summary", short), tag("updated", day), F.lit("</entry>"))
+    dc = 'xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    xml = (
+        F.when(kind == 0, F.concat(F.lit(f'<rss version="2.0" {dc}><channel><title>t</title>'), item, F.lit("</channel></rss>")))
+        .when(kind == 1, F.concat(F.lit(f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" {dc}><channel><title>t</title></channel>'), item, F.lit("</rdf:RDF>")))
+        .otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'), entry, F.lit("</feed>")))
+    )
+    feeds = d.table("pages").select(kind.alias("source"), xml.alias("xml"))
+    return FE.feed_elements(feeds).select(F.col("source").alias("kind"), "url", "title", "summary", "published_at")
+
+
+@query("decoded_pages", """
+    SELECT doc_id, text FROM documents""")
+def decoded_pages(d):
+    """Every text as a page's bytes, in a charset it declares, an unknown one, or none; decoded and its head taken off again."""
+    kind = F.col("doc_id") % 3
+    head = F.when(kind == 0, '<html><head><meta charset="utf-8"></head>').when(kind == 1, '<html><head><meta charset="x-nobody"></head>').otherwise("<html><head></head>")
+    body = F.encode(F.concat(head, "text"), "UTF-8")
+    text = PG.decode(body)
+    return d.table("documents").select("doc_id", F.regexp_replace(text, "(?s)^<html><head>.*?</head>", "").alias("text"))
+
+
+@query("law_key_long", """
+    SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_]+', ' ', 'g'), '^ | $', '', 'g')) AS law FROM documents""")
+def law_key_long(d):
+    """Whole texts as titles: the key has no limit of length."""
+    return d.table("documents").select("doc_id", X.law_key(F.col("text")).alias("law"))

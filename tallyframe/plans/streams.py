@@ -11,7 +11,8 @@ from tallyframe.streaming import reports as RP
 
 
 def events(d):
-    landed = I.landed(d.spark, d.folder, d.table("events").schema, "events.parquet")
+    # the table is a file or a folder of part files; a pattern reads either
+    landed = I.landed(d.spark, f"{d.folder}/events.parque[t]", d.table("events").schema)
     return landed.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

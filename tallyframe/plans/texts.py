@@ -116,13 +116,13 @@ planted AS (
 
 @query("suspicious", f"""
     WITH {PLANTED_SQL}
-    SELECT doc_id, substr(coalesce(
+    SELECT doc_id, coalesce(
       nullif(regexp_extract(text, '(?i)ignora\\s+(tutte\\s+)?(le\\s+)?istruzioni'), ''),
       nullif(regexp_extract(text, '(?i)ignore\\s+(all\\s+)?(the\\s+)?(previous|prior|above)\\s+instructions'), ''),
       nullif(regexp_extract(text, '(?i)system\\s+prompt'), ''),
       nullif(regexp_extract(text, '(?i)(sei|you\\s+are)\\s+(ora\\s+|now\\s+)?(un|an?)\\s+(modello\\s+linguistico|assistente|ai\\b|language\\s+model|assistant)'), ''),
       nullif(regexp_extract(text, '(?i)(classifica|valuta|considera)\\s+quest[oa]\\s+(dichiarazione|testo|documento)\\s+come'), ''),
-      nullif(regexp_extract(text, '<\\|im_start\\|>|\\[/?INST\\]|<<SYS>>'), '')), 1, 80) AS phrase FROM planted""")
+      nullif(regexp_extract(text, '<\\|im_start\\|>|\\[/?INST\\]|<<SYS>>'), '')) AS phrase FROM planted""")
 def suspicious(d):
     n = F.col("doc_id") % 9
     planted = (
@@ -514,12 +514,11 @@ def json_in_words(d):
 
 
 @query("slugs", """
-    SELECT DISTINCT word, trim(regexp_replace(strip_accents(lower(word)), '[^a-z0-9]+', '-', 'g'), '-') AS slug
-    FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE lang IN ('fr', 'es', 'en'))
-    WHERE NOT contains(word, 'ß')""")
+    SELECT DISTINCT word, trim(regexp_replace(replace(strip_accents(lower(word)), 'ß', '-'), '[^a-z0-9]+', '-', 'g'), '-') AS slug
+    FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)""")
 def slugs(d):
-    tokens = documents(d).filter(F.col("lang").isin("fr", "es", "en")).select(F.explode(F.split("text", " ")).alias("word"))
-    return tokens.filter(~F.contains("word", F.lit("ß"))).distinct().select("word", X.slug(F.col("word")).alias("slug"))
+    tokens = documents(d).select(F.explode(F.split("text", " ")).alias("word"))
+    return tokens.distinct().select("word", X.slug(F.col("word")).alias("slug"))
 
 
 # Stems a neutral text avoids, on the test corpus.
@@ -551,7 +550,7 @@ def elements(d):
         U.host(F.col("url")).alias("source"), F.when(F.col("page_id") % 3 == 0, "A").otherwise("C").alias("level"),
         F.when(F.col("page_id") % 2 == 0, "rss").otherwise("sito").alias("channel"), F.col("page_id").alias("ord"), "url",
         F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"),
-        F.substring(flat, 1, 200).alias("summary"), flat.alias("text"), F.lit(None).cast("timestamp").alias("published_at"),
+        flat.alias("summary"), flat.alias("text"), F.lit(None).cast("timestamp").alias("published_at"),
         (F.col("page_id") % 10 == 4).alias("reserved"),
     )
 
@@ -563,15 +562,14 @@ COLLECT_SQL = rf"""
 normal AS (
   SELECT e.* EXCLUDE (url), regexp_extract(url, '^([a-zA-Z]+://[^?#]*)', 1) || CASE WHEN regexp_extract(url, '\?([^#]*)', 1) = ''
       OR starts_with(regexp_extract(url, '\?([^#]*)', 1), 'utm_') THEN '' ELSE '?' || regexp_extract(url, '\?([^#]*)', 1) END AS url,
-    coalesce(title, '') || chr(10) || substr(text, 1, 200) AS early, coalesce(title, '') || chr(10) ||
+    coalesce(title, '') || chr(10) || text AS early, coalesce(title, '') || chr(10) ||
       CASE WHEN reserved AND level = 'C' THEN '' ELSE text END AS late FROM elements e),
 step1 AS (
   SELECT *, CASE WHEN ord % 8 = 3 THEN 'seen'
       WHEN level = 'C' AND channel = 'rss' AND NOT (len({_mentions_sql('early')}) > 0 OR {_SURNAME.format('early')}) THEN 'outside' END AS s1
   FROM normal),
 step2 AS (
-  SELECT *, coalesce(s1, CASE WHEN row_number() OVER (PARTITION BY source, s1 IS NULL ORDER BY ord) > 30 THEN 'over_limit'
-      WHEN level = 'C' AND NOT (len({_mentions_sql('late')}) > 0 OR {_SURNAME.format('late')}) THEN 'outside' END) AS s2
+  SELECT *, coalesce(s1, CASE WHEN level = 'C' AND NOT (len({_mentions_sql('late')}) > 0 OR {_SURNAME.format('late')}) THEN 'outside' END) AS s2
   FROM step1),
 hashed AS (
   SELECT *, CASE WHEN reserved AND level = 'C' THEN NULL ELSE text END AS body,

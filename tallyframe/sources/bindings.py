@@ -31,10 +31,10 @@ def distinct_rows(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return newest(rows.withColumn("_key", F.col("row")[key]), ["_key"], order).drop("_key")
 
 
-def class_profile(rows: DataFrame, kind: str, value: str, top: int = 60) -> DataFrame:
-    """(kind, n, sample): the most frequent classes with one of their values."""
+def class_profile(rows: DataFrame, kind: str, value: str) -> DataFrame:
+    """(kind, n, sample): every class with its rows and one of their values, the most frequent first."""
     counts = rows.groupBy(kind).agg(F.count("*").alias("n"), F.min(value).alias("sample"))
-    return counts.orderBy(F.col("n").desc(), F.col(kind)).limit(top)
+    return counts.orderBy(F.col("n").desc(), F.col(kind))
 
 
 def extent(rows: DataFrame, day: str, key: str) -> DataFrame:

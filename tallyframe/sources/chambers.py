@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import text as X
 from tallyframe.functions.dates import compact_date, iso_prefix_date
+from tallyframe.operators.temporal import newest
 from tallyframe.operators.votes import decode_expression
 
 # Where identifiers sit in the sources' addresses.
@@ -45,7 +46,8 @@ def act_ref(uri: Column, description: Column) -> Column:
 
 
 def lower_ballots(rows: DataFrame, term: int) -> DataFrame:
-    """(row: map) to ballots of the lower chamber, one per address."""
+    """(row: map) to ballots of the lower chamber, one per address: sources double their rows, and a linked act multiplies
+    them. Of several rows the one with an act, then the smallest, is taken."""
     r = F.col("row")
     title, description = _filled(r["titolo"]), _filled(r["descr"])
     made = rows.select(
@@ -56,9 +58,10 @@ def lower_ballots(rows: DataFrame, term: int) -> DataFrame:
         _flag(r["fiducia"]).alias("is_confidence"), _flag(r["segreta"]).alias("is_secret"),
         *[F.expr(f"try_cast(row['{k}'] AS int)").alias(c) for k, c in (("fav", "n_for"), ("con", "n_against"), ("ast", "n_abstain"))],
         F.when(r["approvato"].isNotNull(), _flag(r["approvato"])).alias("approved"),
-        F.coalesce(F.nullif(r["url"], F.lit("")), r["v"]).alias("url"),
+        F.coalesce(F.nullif(r["url"], F.lit("")), r["v"]).alias("url"), r["v"].alias("_address"),
     )
-    return made
+    order = [F.col("act_ref").isNull(), F.to_json(F.struct([c for c in made.columns if c != "_address"]))]
+    return newest(made, ["_address"], order).drop("_address")
 
 
 def lower_votes(rows: DataFrame) -> DataFrame:
@@ -200,9 +203,8 @@ def members(rows: DataFrame, chamber: str, uri: str, pattern: str) -> DataFrame:
         F.lit(chamber).alias("chamber"), _found(r[uri], pattern).alias("person_ext_id"),
         F.initcap(r["nome"]).alias("first_name"), F.initcap(r["cognome"]).alias("last_name"),
     )
-    return made.groupBy("chamber", "person_ext_id").agg(
-        F.min("first_name").alias("first_name"), F.min("last_name").alias("last_name")
-    )
+    first = made.groupBy("chamber", "person_ext_id").agg(F.min(F.struct("last_name", "first_name")).alias("_n"))
+    return first.select("chamber", "person_ext_id", F.col("_n.first_name").alias("first_name"), F.col("_n.last_name").alias("last_name"))
 
 
 def group_memberships(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -29,18 +29,17 @@ def listing_links(pages: DataFrame, key: str, pattern: str) -> DataFrame:
 
 
 def sitemap_links(sitemaps: DataFrame, key: str, pattern: str) -> DataFrame:
-    """(key, link, published_at) of the urlset documents in column `xml`, matching addresses only, newest first rank."""
+    """(key, pos, link, published_at, rank) of the urlset documents in column `xml`, matching addresses only. An entry keeps its
+    own date, whichever entries have none; rank 1 is the newest of the document, undated entries are last, in their order."""
     from tallyframe.functions.dates import instant
 
-    locs = F.expr("xpath(xml, \"/*[local-name()='urlset']/*[local-name()='url']/*[local-name()='loc']/text()\")")
-    entries = F.expr("xpath(xml, \"/*[local-name()='urlset']/*[local-name()='url']/*[local-name()='lastmod']/text()\")")
-    whole = F.size(locs) == F.size(entries)
-    rows = sitemaps.select(
-        key, F.posexplode(locs).alias("pos", "link"), F.when(whole, entries).alias("_dates")
-    )
-    return rows.filter(F.trim("link").rlike(pattern)).select(
-        key, "pos", U.normal_url(F.col("link")).alias("link"), instant(F.get("_dates", F.col("pos"))).alias("published_at")
+    entries = F.from_xml("xml", "url array<struct<loc: string, lastmod: string>>", {"ignoreNamespace": "true"})["url"]
+    rows = sitemaps.select(key, F.posexplode(entries).alias("pos", "_e"))
+    dated = rows.filter(F.trim("_e.loc").rlike(pattern)).select(
+        key, "pos", U.normal_url(F.trim("_e.loc")).alias("link"), instant(F.col("_e.lastmod")).alias("published_at")
     )
+    newest_first = Window.partitionBy(key).orderBy(F.col("published_at").desc_nulls_last(), "pos")
+    return dated.withColumn("rank", F.row_number().over(newest_first))
 
 
 def sitemap_children(indexes: DataFrame, key: str, contains: str) -> DataFrame:
@@ -65,6 +64,7 @@ class _Visible(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []
         self.title: list[str] = []
+        self.heading: list[str] = []  # of the article
         self.main: list[str] = []
         self.rest: list[str] = []
         self.date: str | None = None
@@ -95,8 +95,11 @@ class _Visible(HTMLParser):
             self._put("\n")
 
     def handle_data(self, data):
-        if any(tag == "title" for tag, _, _ in self.stack[-1:]):
+        tags = [tag for tag, _, _ in self.stack]
+        if tags[-1:] == ["title"] and "svg" not in tags:
             self.title.append(data)
+        elif "h1" in tags and any(main for _, _, main in self.stack) and not self.stack[-1][1]:
+            self.heading.append(data)
         self._put(data)
 
     def _put(self, data):
@@ -112,7 +115,7 @@ def _read(html: str | None) -> tuple[str | None, str | None, str | None]:
     parser.feed(html)
     parser.close()
     body = "".join(parser.main)
-    return "".join(parser.title), body if body.strip() else "".join(parser.rest), parser.date
+    return "".join(parser.heading if "".join(parser.heading).strip() else parser.title), body if body.strip() else "".join(parser.rest), parser.date
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -145,8 +148,11 @@ def _decoded(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
             return None
         try:
             return bytes(body).decode(charset, "replace")
-        except LookupError:
-            return bytes(body).decode("cp1252", "replace")
+        except LookupError:  # a charset nobody knows
+            try:
+                return bytes(body).decode("utf-8")
+            except UnicodeDecodeError:
+                return bytes(body).decode("cp1252", "replace")
 
     return pd.Series([one(b, c) for b, c in zip(bodies, charsets, strict=True)], dtype=object)
 
@@ -156,8 +162,9 @@ def decode(body: Column) -> Column:
 
     Valid UTF-8, which nearly every page is, is decoded in the JVM; only the other bodies go through Python.
     """
-    head = F.decode(F.substring(body, 1, 4000), "ISO-8859-1")
-    declared = F.lower(F.regexp_extract(head, "(?i)<meta[^>]+charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    page = F.decode(body, "ISO-8859-1")
+    head = F.substring_index(F.lower(page), "</head", 1)
+    declared = F.regexp_extract(head, "<meta[^>]+charset=[\"']?([a-z0-9_-]+)", 1)
     plain = F.coalesce(F.is_valid_utf8(body.cast("string")), F.lit(False)) & declared.isin("", "utf-8", "utf8")
     charset = F.when(declared == "", "cp1252").otherwise(declared)
     other = _decoded(F.when(~plain, body), charset)

@@ -48,13 +48,15 @@ def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
 
 def with_health(path: str, source: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """Batch writer that also appends (batch_id, source, found) per source, one folder per batch so that a replayed batch
-    replaces its own counts instead of adding to them."""
+    replaces its own counts instead of adding to them. The batch is kept while both read it, so it is computed once."""
 
     def both(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         write(batch, batch_id)
         batch.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("found")).write.mode("overwrite").parquet(
             f"{path}/batch_id={batch_id}"
         )
+        batch.unpersist()
 
     return both
 

@@ -36,9 +36,10 @@ def screened(reports: DataFrame) -> DataFrame:
 
 
 def stored_columns() -> list[Column]:
+    """What is kept of a report: whole values, and a flag where one is longer than expected."""
     return [
-        "report_id", F.left("url", F.lit(MAX_URL)).alias("url"), F.left("text", F.lit(MAX_TEXT)).alias("text"),
-        F.nullif(F.left("contact", F.lit(MAX_CONTACT)), F.lit("")).alias("contact"), "origin", "created_at",
+        "report_id", "url", "text", F.nullif("contact", F.lit("")).alias("contact"), "origin", "created_at",
+        ((F.length("url") > MAX_URL) | (F.length("text") > MAX_TEXT) | (F.length("contact") > MAX_CONTACT)).alias("too_long"),
     ]
 
 

@@ -186,13 +186,21 @@ def test_decode(spark):
     assert read("perché".encode()) == "perché"
     assert read("perché".encode("cp1252")) == "perché"
     assert read('<meta charset="iso-8859-1">perché'.encode("latin1")).endswith("perché")
+    assert read('<meta charset="nobody-knows">perché'.encode()).endswith("perché")
+    assert read(b"<!--" + b"x" * 9000 + b'--><meta charset="latin1"></head>' + "perché".encode("latin1")).endswith("perché")
+
+
+def test_law_key_has_no_limit(spark):
+    a, b = "parola " * 40 + "uno", "parola " * 40 + "due"
+    got = spark.createDataFrame([(a,), (b,)], "t string").select(X.law_key(F.col("t"))).distinct().count()
+    assert got == 2
 
 
 def test_sitemap(spark, rows):
     xml = ('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://S.it/news/1?utm_x=1</loc><lastmod>2026-10-01</lastmod></url>'
-           "<url><loc>https://s.it/other</loc><lastmod>2026-10-02</lastmod></url></urlset>")
-    got = PG.sitemap_links(spark.createDataFrame([("s", xml)], "source string, xml string"), "source", "/news/").first()
-    assert (got.link, got.published_at) == ("https://s.it/news/1", datetime(2026, 10, 1))
+           "<url><loc>https://s.it/news/2</loc></url><url><loc>https://s.it/other</loc><lastmod>2026-10-02</lastmod></url></urlset>")
+    got = PG.sitemap_links(spark.createDataFrame([("s", xml)], "source string, xml string"), "source", "/news/").orderBy("rank").collect()
+    assert [(g.link, g.published_at) for g in got] == [("https://s.it/news/1", datetime(2026, 10, 1)), ("https://s.it/news/2", None)]
 
 
 ELEMENTS = ("source string, level string, channel string, ord int, url string, title string, summary string, text string, "
@@ -220,10 +228,10 @@ def test_collection_policy(spark):
     assert stored["b", "https://b/1"].text == "system prompt" and stored["b", "https://b/1"].suspicious == "system prompt"
 
 
-def test_limit_per_source(spark):
+def test_every_listed_element_is_judged(spark):
     made = [("s", "A", "site", i, f"https://s/{i}", f"t{i}", None, f"x{i}", None, False) for i in range(35)]
     judged = CO.judge_documents(spark.createDataFrame(made, ELEMENTS), spark.createDataFrame([], "url string"), CO.Names({"r": ["Mario Rossi"]}), F.current_timestamp())
-    assert judged.filter("outcome = 'over_limit'").agg(F.min("ord"), F.count("*")).first() == (30, 5)
+    assert judged.filter("outcome = 'stored'").count() == 35
 
 
 def test_retention_at_exactly_seven_days(spark):
