@@ -158,9 +158,22 @@ def greedy_batches(paragraphs: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def fixed_batches(items: DataFrame, key: str, order: list[Column], size: int) -> DataFrame:
-    """Adds `batch`: runs of `size` items within each key, in order."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return items.withColumn("batch", F.floor(place / size).cast("int"))
+    """Adds `batch`: runs of `size` items within each key, in order.
+
+    Items are numbered within each value of the first order column and shifted by the counts of the values before, so a
+    task sorts the items of one value, and a key's values only as one row each.
+    """
+    first, *rest = order
+    marked = items.withColumn("_first", first)
+    counts = marked.groupBy(key, "_first").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(F.struct(key, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).alias("_s"))
+    own = Window.partitionBy(key, "_first").orderBy(*(rest or [first]))
+    placed = marked.withColumn("_place", F.row_number().over(own) - 1).join(
+        shifts, F.col(key).eqNullSafe(F.col(f"_s.{key}")) & F.col("_first").eqNullSafe(F.col("_s._first"))
+    )
+    batch = F.floor((F.col("_place") + F.col("_s._before")) / size).cast("int")
+    return placed.withColumn("batch", batch).drop("_place", "_first", "_s")
 
 
 def batch_inputs(items: DataFrame, keys: list[str], template: str) -> DataFrame:
