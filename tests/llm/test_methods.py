@@ -97,7 +97,7 @@ def test_common_prefixes_of_the_merge():
     for a, b, c in zip(rows[:-1], rows[1:], common[1:], strict=True):
         if runs.block[a] and runs.block[b]:
             assert text(a)[:c] == text(b)[:c]
-            assert c == 200 or text(a)[: c + 40] != text(b)[: c + 40] or min(len(text(a)), len(text(b))) < c + 40
+            assert c == 200 or text(a)[: c + 50] != text(b)[: c + 50] or min(len(text(a)), len(text(b))) < c + 50
 
 
 def test_hot_anchor_takes_the_same_bytes(spark):
