@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("record", "rules", "texts", "checks", "streams", "published")
+MODULES = ("record", "rules", "texts", "checks", "streams", "published", "landed")
 
 
 def load() -> None:

@@ -254,3 +254,8 @@ def unreadable(records: DataFrame, required: list[str]) -> DataFrame:
         F.lit("unreadable").alias("check"), F.to_json(F.struct(*[F.col(c) for c in records.columns])).alias("key"),
         F.array_join("_missing", ",").alias("detail"),
     )
+
+
+def ballots_of_keys(ballots: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ballots whose (chamber, term, ext_id) is in the list; a key listed twice gives its ballot once."""
+    return ballots.join(keys.select("chamber", "term", "ext_id").distinct(), ["chamber", "term", "ext_id"], "left_semi")
