@@ -4,8 +4,8 @@ A document's tokens are the 64-bit hashes of its distinct shingles; documents wi
 tokens. A partner needs an overlap of t = ceil(n * threshold) at least, so with any order of all tokens both share k tokens
 among their first n - t + k (the prefix, extended by k - 1).
 
-1. Extended prefixes in hash order, sent as packed bytes by range of hashes, tell how many of a set's first tokens occur
-   anywhere else; a set with fewer than k of those has no partner. Most documents end here.
+1. Extended prefixes in hash order, sent as packed bytes by range of hashes, tell which sets can have k of their first
+   tokens in other sets. Most documents end here.
 2. The rest count their tokens exactly. In the order of frequency the first shared token of two sets lies in both plain
    prefixes. If it is rare it is indexed alone. If it is frequent all shared tokens are, and both share k tokens of their
    prefixes extended by k - 1: frequent tokens fall into k - 1 classes by hash, so some class holds two shared ones, and
@@ -35,7 +35,7 @@ from tallyframe.llm.registry import query
 SHINGLE = 5
 PERCENT = 75  # 100 * intersection >= PERCENT * union
 FREQUENT = 32  # sets in a list from which a token is indexed in pairs
-TOKENS_A_RANGE = 1 << 19  # extended-prefix tokens looked at by one task
+TOKENS_A_RANGE = 1 << 21  # extended-prefix tokens looked at by one task
 
 
 def token_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +120,10 @@ def _pack(ranges: int, text: str, row: str):
 
 
 def _repeated(group: pd.DataFrame) -> pd.DataFrame:
-    """How many of each set's tokens in this range occur in another row too. Equal low bytes in one range are taken as equal
-    tokens: that can only let a set pass."""
+    """(set_key, excess) of the sets with more than a third of their tokens in this range in other sets too: three times
+    those, less all. A set with a partner shares k of its K first tokens, so its excesses add up to 3 k - K, which is
+    positive, and those of the other ranges only lessen the sum. Equal low bytes in one range are taken as equal tokens:
+    that can only let a set pass."""
     tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in group["tokens"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]]).astype(np.int64)
     sets = np.concatenate([np.frombuffer(x, np.int64) for x in group["sets"]])
@@ -134,8 +136,9 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
     shared[order[1:]] |= same
     shared[order[:-1]] |= same
     hits = np.add.reduceat(shared, np.cumsum(counts) - counts, dtype=np.int64)
-    some = hits > 0
-    return pd.DataFrame({"set_key": sets[some], "hits": hits[some]})
+    excess = 3 * hits - counts
+    some = excess > 0
+    return pd.DataFrame({"set_key": sets[some], "excess": excess[some]})
 
 
 def classes_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,11 +149,13 @@ def classes_and_candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = written(docs.mapInArrow(_pack(ranges, "text", "doc_id"), PACKED), "packed")
     rows = packed.filter(F.col("range").isNull()).select("doc_id", "set_key", "n")
     blobs = packed.filter(F.col("range").isNotNull()).select("range", "tokens", "counts", "sets")
-    hits = blobs.groupBy("range").applyInPandas(_repeated, "set_key long, hits long").groupBy("set_key").agg(F.sum("hits").alias("hits"))
+    found = blobs.groupBy("range").applyInPandas(_repeated, "set_key long, excess long").groupBy("set_key").agg(F.sum("excess").alias("excess"))
     names = rows.groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id"))
     need = F.ceil(F.col("n") * PERCENT / 100)
-    enough = F.col("hits") >= F.least(F.floor((F.col("n") - need + 2) / 2), need)
-    return rows, hits.join(names, "set_key").filter(enough).select("set_key", "n", "doc_id")
+    short = F.col("n") - need + 1
+    shared = F.least(F.floor((short + 1) / 2), need)
+    enough = F.col("excess") >= 3 * shared - (short - 1 + shared)
+    return rows, found.join(names, "set_key").filter(enough).select("set_key", "n", "doc_id")
 
 
 # ---- 2: the index --------------------------------------------------------------------------------------------------
