@@ -10,9 +10,10 @@ among their first n - t + k (the prefix, extended by k - 1).
    prefixes. If it is rare it is indexed alone. If it is frequent all shared tokens are, and both share k tokens of their
    prefixes extended by k - 1: frequent tokens fall into k - 1 classes by hash, so some class holds two shared ones, and
    pairs of tokens of a class are indexed. k grows with the set, so that a set has about as many pairs as tokens.
-3. In each list of the index every set meets the smallest one, which is linear also in groups of thousands; verified
-   links give components. Then only sets of different components in one list meet. Nothing is capped: two sets that are
-   never compared are already in one component.
+3. In each list of the index every set meets the most common one, its head, which is linear also in groups of thousands;
+   verified links give components. Then sets of different components that met one head are compared, where the tokens they
+   have beside the head's allow a link. Nothing is capped: two sets that are never compared are in one component or cannot
+   be linked.
 """
 
 from __future__ import annotations

@@ -17,7 +17,6 @@ hashes instead, which any number of tasks share.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
