@@ -121,22 +121,31 @@ def host_verdicts(measured: DataFrame, host: str, measure: str, rules: Rules = R
     return out.select("host", "n", *[f"f_{r}" for r in SOFT], *[f"distrusted_{r}" for r in SOFT])
 
 
-def judged(docs: DataFrame, host: str, measure: str, verdict: str, rules: Rules = Rules()) -> DataFrame:
-    """The rows with the boolean column `verdict`: true for a document to keep. `measure` is the struct of `measures`."""
-    hosts = host_verdicts(docs, host, measure, rules)
-    joined = docs.join(hosts.select(F.struct("*").alias(name := free_name(docs, "host_verdict"))),
-                       docs[host].eqNullSafe(F.col(f"{name}.host")), "left")
+def _kept(measure: Column, verdicts: Column) -> Column:
     bad = F.lit(False)
     for r in SOFT:
-        bad = bad | (F.col(measure)[r] & F.col(name)[f"distrusted_{r}"])
-    return joined.withColumn(verdict, ~(F.col(measure)["base_failed"] | F.coalesce(bad, F.lit(False)))).drop(name)
+        bad = bad | (measure[r] & verdicts[f"distrusted_{r}"])
+    return ~(measure["base_failed"] | F.coalesce(bad, F.lit(False)))
+
+
+def _with_hosts(docs: DataFrame, host: str, hosts: DataFrame, name: str) -> DataFrame:
+    return docs.join(hosts.select(F.struct("*").alias(name)), docs[host].eqNullSafe(F.col(f"{name}.host")), "left")
+
+
+def judged(docs: DataFrame, host: str, measure: str, verdict: str, rules: Rules = Rules()) -> DataFrame:
+    """The rows with the boolean column `verdict`: true for a document to keep. `measure` is the struct of `measures`."""
+    name = free_name(docs, "host_verdict")
+    joined = _with_hosts(docs, host, host_verdicts(docs, host, measure, rules), name)
+    return joined.withColumn(verdict, _kept(F.col(measure), F.col(name))).drop(name)
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, with their columns as they were."""
-    measure, verdict = free_name(docs, "measure"), free_name(docs, "verdict")
-    with_measures = docs.withColumn(measure, measures(F.col("text")))
-    return judged(with_measures, "source", measure, verdict).filter(F.col(verdict)).select(*docs.columns)
+    """Pipeline stage: the documents that the rules keep, with their columns as they were. The texts are measured twice, for
+    the hosts and for the verdicts, and moved only if the table of hosts is too large to be sent to all."""
+    small = written(docs.select("source", measures(F.col("text")).alias("m")), "measures")
+    name = free_name(docs, "host_verdict")
+    joined = _with_hosts(docs, "source", host_verdicts(small, "source", "m"), name)
+    return joined.filter(let(measures(F.col("text")), lambda m: _kept(m, F.col(name)))).select(*docs.columns)
 
 
 KEPT_SQL = r"""
