@@ -1,7 +1,8 @@
 """License scans of documents: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line of the text) contains a template when at least `percent` of the template's distinct words are in it. The
-join: template words are ordered by their frequency over all documents, rarest first; a template of m words that needs o of
+A block contains a template when at least `percent` of the template's distinct words are in it. Blocks are windows of words,
+whatever line breaks stand between them: one from each word of the template on, as long as a passage of which the template
+is `percent`. A notice wrapped over lines is found, and words scattered over a long line are not. The join: template words are ordered by their frequency over all documents, rarest first; a template of m words that needs o of
 them must share one of its m - o + 1 rarest words with the block (prefix filter); the block must have o template words
 (length filter); and the words after the first shared one must still suffice on both sides (positional filter). The
 templates are a short list given as a parameter; their words go to the tasks as literals.
@@ -69,25 +70,61 @@ def _vocabulary() -> list[str]:
     return sorted({w for t in TEMPLATES.values() for w in t.split(" ")})
 
 
-def _least_overlap(scan: Scan) -> int:
-    return min(-(-len(set(t.split(" "))) * scan.percent // 100) for t in TEMPLATES.values())
+def _windows(words: Column, label: str, scan: Scan) -> Column:
+    """(label, block) of the word windows with as many template words as the template needs: from each of its words on, the
+    different ones in the window. `words` are the (at, word) of all templates' words in the text, in order."""
+    template = TEMPLATES[label].split(" ")
+    need = -(-len(set(template)) * scan.percent // 100)
+    length = len(template) * 100 // scan.percent
+    own = F.filter(words, lambda w: w["word"].isin(sorted(set(template))))
+
+    def from_each(hits: Column) -> Column:
+        # the need-th word from here on must still stand in the window
+        opens = F.filter(
+            F.transform(hits, lambda h, i: F.struct(h["at"].alias("at"), i.alias("i"))),
+            lambda o: F.coalesce(F.get(hits, o["i"] + (need - 1))["at"] < o["at"] + length, F.lit(False)),
+        )
+        inside = lambda o: F.filter(F.slice(hits, o["i"] + 1, length), lambda h: h["at"] < o["at"] + length)
+        blocks = F.transform(opens, lambda o: F.array_sort(F.array_distinct(F.transform(inside(o), lambda h: h["word"]))))
+        return F.transform(F.array_distinct(F.filter(blocks, lambda b: F.size(b) >= need)), lambda b: F.struct(F.lit(label).alias("label"), b.alias("block")))
+
+    return let(own, from_each)
+
+
+NO_BLOCKS = "array<struct<label:string,block:array<string>>>"
+
+
+def _blocks(words: Column, scan: Scan) -> Column:
+    """The windows of all templates. A template too few of whose words are in the text is not looked for, and without any such
+    template the text's words are not walked through."""
+    none = F.array().cast(NO_BLOCKS)
+    vocabulary = _vocabulary()
+    sets = {label: sorted(set(t.split(" "))) for label, t in TEMPLATES.items()}
+
+    def enough(found: Column, label: str) -> Column:
+        return F.size(F.array_intersect(F.array(*[F.lit(w) for w in sets[label]]), found)) * 100 >= len(sets[label]) * scan.percent
+
+    def walked(found: Column) -> Column:
+        at = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+        known = F.filter(at, lambda w: w["word"].isin(vocabulary))
+        parts = let(known, lambda k: F.concat(*[F.when(enough(found, label), _windows(k, label, scan)).otherwise(none) for label in TEMPLATES]))
+        return F.when(F.greatest(*[enough(found, label) for label in TEMPLATES]), parts).otherwise(none)
+
+    return let(F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), words), walked)
 
 
 def measured(docs: DataFrame, text: str, scan: Scan) -> DataFrame:
     """The other columns of the rows, with n_words, places (of phrases), vocabulary (template words in the text) and blocks:
-    of each line with enough template words, those words. Small next to the texts, and all that the join needs."""
+    of each window with enough template words, its template and those words. Small next to the texts, and all that the join
+    needs."""
     vocabulary = F.array(*[F.lit(w) for w in _vocabulary()])
     t = folded(F.col(text))
-    # a line without enough breaks between words cannot hold a template; most lines end at the count
-    lines = F.filter(
-        F.transform(F.split(t, "\n"), lambda x: F.array_intersect(vocabulary, F.split(x, BREAK))),
-        lambda b: F.size(b) >= _least_overlap(scan),
-    )
     counted = let(split_words(t), lambda w: F.struct(
-        F.size(w).cast("bigint").alias("n_words"), _phrase_places(w).alias("places"), F.array_intersect(vocabulary, w).alias("vocabulary")
+        F.size(w).cast("bigint").alias("n_words"), _phrase_places(w).alias("places"), F.array_intersect(vocabulary, w).alias("vocabulary"),
+        _blocks(w, scan).alias("blocks"),
     ))
     rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, counted.alias("counted"), lines.alias("blocks")).select(*rest, "counted.*", "blocks")
+    return docs.select(*rest, counted.alias("counted")).select(*rest, "counted.*")
 
 
 def template_matches(rows: DataFrame, row: str, scan: Scan) -> DataFrame:
@@ -102,11 +139,11 @@ def template_matches(rows: DataFrame, row: str, scan: Scan) -> DataFrame:
         "label", F.col("ws.word").alias("words"), "size", "need", F.posexplode(F.slice("ws", F.lit(1), F.col("size") - F.col("need") + 1)).alias("rank", "w")
     ).select("label", "words", "size", "need", "rank", F.col("w.word").alias("word"))
     order = counts.agg(F.map_from_entries(F.collect_list(F.struct("word", "docs"))).alias("docs"))  # one entry per template word
-    blocks = rows.select(row, F.explode("blocks").alias("block")).join(F.broadcast(order))
+    blocks = rows.select(row, F.inline("blocks")).join(F.broadcast(order))
     ranked = F.sort_array(F.transform("block", lambda w: F.struct(F.coalesce(F.try_element_at(F.col("docs"), w), F.lit(0)).alias("docs"), w.alias("word"))))
-    blocks = blocks.select(row, ranked["word"].alias("block"))
-    tokens = blocks.select(row, "block", F.posexplode("block").alias("place", "word"))
-    met = tokens.join(F.broadcast(prefixes), "word").filter(
+    blocks = blocks.select(row, "label", ranked["word"].alias("block"))
+    tokens = blocks.select(row, "label", "block", F.posexplode("block").alias("place", "word"))
+    met = tokens.join(F.broadcast(prefixes), ["label", "word"]).filter(
         (F.size("block") >= F.col("need")) & (F.least(F.col("size") - F.col("rank"), F.size("block") - F.col("place")) >= F.col("need"))
     )
     shared = F.size(F.array_intersect("block", "words"))

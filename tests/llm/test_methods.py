@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tallyframe.llm import decontamination, interpolation, jaccard, line_spread, mixing, sharding, shared_spans, transcripts
+from tallyframe.llm import decontamination, interpolation, jaccard, licenses, line_spread, mixing, sharding, shared_spans, transcripts
 from tallyframe.llm.components import components
 
 
@@ -219,6 +219,59 @@ def test_near_threshold_lines_are_counted_exactly(spark):
     assert {r["doc_id"] // 100: r["n_removed"] for r in out} == {i: int(i >= 10) for i in range(5, 16)}
 
 
+# ---- licenses
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+
+
+def test_notices_are_found_over_line_breaks_and_not_in_scattered_words(spark):
+    far = " filler words that say nothing at all"
+    scattered = "released" + far + " under" + far + " the" + far + " mit" + far + " license"
+    rows = [
+        (1, MIT), (2, BSD.replace("\n", "\n * ")), (3, MIT.replace("\n", " ")), (4, "x " * 5000 + MIT + " y" * 5000), (5, scattered), (6, scattered * 200),
+        (7, "Released under\nthe MIT\nLicense"), (8, "released under some mit license"), (9, "released under under mit license license"),
+        (10, "released a b mit license"), (11, " ".join(MIT.split()[:12])), (12, BSD + "\n\n" + MIT), (13, None),
+    ]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.with_licenses(docs(spark, rows, "doc_id long, text string")).collect()}
+    found = {1: "mit-notice", 2: "bsd-notice", 3: "mit-notice", 4: "mit-notice", 7: "mit", 8: "mit", 9: "mit", 12: "bsd-notice,mit-notice"}
+    assert {i: labels for i, (labels, _) in got.items() if labels} == found
+    assert got[1][1] == got[12][1] == 1.0 and got[8][1] == 0.8 and got[5][1] == 0.0
+
+
+def plain_windows(text: str, percent: int = 80) -> dict[str, float]:
+    words, out = text.split(), {}
+    for label, t in licenses.TEMPLATES.items():
+        own, n = set(t.split()), len(t.split()) * 100 // percent
+        share = max((len(own & set(words[i : i + n])) for i in range(len(words))), default=0)
+        if share * 100 >= len(own) * percent:
+            out[label] = share / len(own)
+    return out
+
+
+def test_windows_equal_a_plain_search(spark):
+    rng, rows = random.Random(8), []
+    for i in range(120):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            text += rng.choices(["the", "of", "x", "license", "under"], k=rng.randrange(0, 12))
+            words = [w for w in rng.choice(list(licenses.TEMPLATES.values())).split() if rng.random() < 0.93]
+            for _ in range(rng.randrange(0, 6)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["x", "the"]))
+            text += words
+        rows.append((i, " ".join(text)))
+    for r in licenses.with_licenses(docs(spark, rows, "doc_id long, text string")).collect():
+        want = plain_windows(rows[r["doc_id"]][1])
+        base = set(r["base_labels"].split(",")) - {""}
+        assert set(r["labels"].split(",")) - {""} == base | set(want)
+        assert base or r["score"] == max(want.values(), default=0.0)
+
+
 # ---- scores
 
 
