@@ -289,7 +289,8 @@ def set_components(sets: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, text: str = "text", row: str = "doc_id") -> DataFrame:
-    """(doc_id, set_key, n, component_id) of every row: its set's name and size, and the smallest id reachable by links.
+    """(doc_id, set_key, n, label, component_id) of every row: its set's name and size, the name of a set that stands for its
+    component, and the smallest id reachable by links.
 
     Words are folded A-Z and separated by blanks; a text of fewer words than a shingle is one token; a text without words
     (also NULL) has no token and is linked with nothing. Rows stay as they are, repeated ids included; a NULL id is
@@ -303,17 +304,20 @@ def near_classes(docs: DataFrame, text: str = "text", row: str = "doc_id") -> Da
     named = rows.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     ids = named.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return named.join(ids, "label", "left").select(
-        "doc_id", "set_key", "n", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+        "doc_id", "set_key", "n", "label", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id. Texts without words all stay; rows
-    with one id and one set of tokens are one document."""
-    name, chosen = free_name(docs, "set_key"), free_name(docs, "chosen")
-    kept = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("component_id", (F.col("n") == 0).alias("bare")).agg(F.min("set_key").alias("set_key"))
-    kept = written(kept.select(F.struct("component_id", "set_key").alias(chosen)), "kept")
+    """Pipeline stage: of each group of near-duplicates the document with the smallest id, a NULL one only where no other is.
+    Groups are told apart by their sets, never by ids: different texts of one id, or without one, all stay. Texts without
+    words all stay; rows with one id and one set of tokens are one document."""
+    name, chosen, apart = free_name(docs, "set_key"), free_name(docs, "chosen"), free_name(docs, "apart")
+    found = near_classes(docs)
+    least = F.min_by(F.struct("doc_id", "set_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "set_key"))
+    kept = found.filter("n > 0").groupBy("label").agg(least.alias(chosen)).select(chosen)
+    bare = found.filter("n = 0").select(F.struct("doc_id", "set_key").alias(chosen)).distinct()
+    kept = written(kept.unionByName(bare), "kept")
     first = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +326,10 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], [*batch.schema.names, name])
 
     rows = docs.mapInArrow(keyed, first)
-    return (
-        rows.join(kept, rows["doc_id"].eqNullSafe(F.col(f"{chosen}.component_id")) & (rows[name] == F.col(f"{chosen}.set_key")), "left_semi")
-        .dropDuplicates(["doc_id", name]).select(*docs.columns)
-    )
+    single = rows.join(kept, rows["doc_id"].eqNullSafe(F.col(f"{chosen}.doc_id")) & (rows[name] == F.col(f"{chosen}.set_key")), "left_semi")
+    # without an id and without words nothing tells that two rows are one
+    single = single.withColumn(apart, F.when(F.col("doc_id").isNull() & (F.col(name) == 0), F.monotonically_increasing_id()))
+    return single.dropDuplicates(["doc_id", name, apart]).select(*docs.columns)
 
 
 NEAR_SQL = r"""

@@ -66,6 +66,19 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
 
 
+def test_one_of_each_keeps_unrelated_texts_of_one_id_or_none(spark):
+    rng = random.Random(6)
+    text = [" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(7)]
+    rows = [
+        (None, text[0], "s"), (None, text[1], "s"), (None, text[2], "t"), (5, text[3], "s"), (5, text[4], "s"), (5, text[4], "s"),
+        (None, text[5], "s"), (7, text[5], "t"), (8, text[5] + " z", "t"), (None, text[6], "s"), (None, text[6], "s"),
+        (None, "", "s"), (None, None, "s"), (9, "", "s"),
+    ]
+    got = jaccard.one_of_each(spark, docs(spark, rows), "").collect()
+    want = [(None, text[0]), (None, text[1]), (None, text[2]), (5, text[3]), (5, text[4]), (7, text[5]), (None, text[6]), (None, ""), (None, None), (9, "")]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(want)
+
+
 # ---- repeated spans
 
 
