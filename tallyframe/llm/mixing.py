@@ -119,9 +119,10 @@ def mixed(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the words of each text, 0 for NULL."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(…, doc_id, source, size): the words of each text, 0 for NULL; `more` columns are kept."""
     return docs.select(
+        *more,
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.size(raw_words(F.col("text"))).cast("bigint").alias("size"),
     )
@@ -129,15 +130,13 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def take(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, each as often as it is taken begun: a document taken 2.4 times gives three
-    rows. The mix may leave documents of a source out altogether; that is what it is for."""
-    taken = mixed(written(sized(docs), "sizes")).filter("taken > 0")
-    times = free_name(docs, "times")
-    counts = taken.groupBy("doc_id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
-    key = counts.select(F.struct("*").alias(times))
-    return (
-        docs.join(key, docs["doc_id"].eqNullSafe(F.col(f"{times}.doc_id")))
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(f"{times}.{times}"))).alias(times)).drop(times)
-    )
+    rows. Each row is taken for itself, whatever other rows have its id. The mix may leave documents of a source out
+    altogether; that is what it is for."""
+    at, times = free_name(docs, "at"), free_name(docs, "times")
+    numbered = written(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    taken = mixed(written(sized(numbered, at), "sizes")).filter("taken > 0")
+    counts = taken.select(at, F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    return numbered.join(counts, at).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)
 
 
 MIX = Mix()

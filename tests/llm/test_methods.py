@@ -223,6 +223,21 @@ def test_quotas_are_highest_quotients_shard_by_shard(spark):
         before = seats
 
 
+def test_stage_takes_each_row_by_its_own_count(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randrange(20, 90), f"s{i % 3}") for i in range(60)]
+    rows += [(None, f"no id {i} " * 9, "s0") for i in range(12)] + [(3, "again and again " * 12, "s1")] * 6 + [(4, "other text " * 11, "s2")]
+    frame = docs(spark, rows)
+    taken = mixing.mixed(mixing.written(mixing.sized(frame), "sizes")).filter("taken > 0").collect()
+    want = Counter()
+    for r in taken:
+        want[r["doc_id"], r["source"], r["size"]] += -(-r["taken"] // r["size"])
+    got = mixing.take(spark, frame, "").collect()
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in got) == want
+    times = Counter(r["text"] for r in got)
+    assert all(n <= mixing.Mix().epochs * rows.count(next(x for x in rows if x[1] == text)) for text, n in times.items() if text.startswith(("no", "again", "other")))
+
+
 # ---- lines
 
 
