@@ -31,6 +31,8 @@ MARKERS = {
     "assistant": 3, "ai": 3, "a": 3, "bot": 3,
 }
 _MARKER = re.compile(r"\s*(?:\[?([A-Za-z]{1,12})\]?\s*[:\-]\s|([>#])\s)")
+# A line of these alone is blank, in SQL and in Python: what str.isspace() takes for blanks
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LENGTHS = 8
 SEEN = 4 * LENGTHS * 2
 
@@ -46,7 +48,7 @@ def observed(lines: list[str]) -> list[int]:
     """What is seen of each line that is not blank."""
     out, blank = [], False
     for line in lines:
-        if not line.strip():
+        if not line.strip(BLANKS):
             blank = True
             continue
         length = min(LENGTHS - 1, max(0, len(line).bit_length() - 3))
@@ -102,7 +104,7 @@ def viterbi(model: Model, seen: list[int]) -> list[int]:
 
 def turns(text: str, model: Model) -> tuple[list[str], list[tuple[str, str]]]:
     """(role of each line that is not blank, turns as role and content)."""
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in text.split("\n") if x.strip(BLANKS)]
     states = viterbi(model, observed(text.split("\n")))
     out: list[tuple[str, list[str]]] = []
     for line, s in zip(lines, states, strict=True):
@@ -181,7 +183,7 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     styles = F.lit([list(s) for s in STYLES])
     missing = F.pmod(number * 7 + F.coalesce("turn", F.lit(0)) * 3, F.lit(10)) == 0
     mark = F.when(missing, "").otherwise(F.element_at(F.element_at(styles, (F.pmod(number, F.lit(len(STYLES))) + 1).cast("int")), role))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     part = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.coalesce(F.floor(F.col("turn") / TURNS_A_PART), F.lit(-1)).cast("bigint"))
     said = conversations.select("conv_id", part.alias("part"), "turn", role.alias("role"), lines.alias("lines"), mark.alias("mark")).filter(F.size("lines") > 0)
     shown = said.select("conv_id", "part", F.struct(

@@ -376,3 +376,16 @@ def test_roles_are_recovered_and_rendered(spark):
     assert transcripts.rendered(found[:1]) == "<|user|>\nHi there\nmore\n<|end|>\n"
     assert found[1] == ("assistant", "Note: fine")
     assert transcripts.turns(" \n\n", model) == ([], [])
+
+
+def test_blank_lines_are_the_same_in_sql_and_python(spark):
+    said = [
+        (1, 0, "user", "Hello?\r\n\r\nmore\r"), (1, 1, "assistant", "Yes.\n\t\n\u00a0\nno"), (2, 0, "user", "\u00a0"), (2, 1, "user", "\x0b\n \u3000 \nx"),
+        (3, 0, "user", "\r\n\t"),
+    ]
+    made = transcripts.raw_transcripts(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    for r in made.collect():
+        assert len(transcripts.observed(r["text"].split("\n"))) == len(r["states"])
+    got = {r["conv_id"]: r["n_lines"] for r in transcripts.parsed(made, transcripts.fitted(made)).collect()}
+    assert got == {1: 4, 2: 1}
+    assert sorted(transcripts.BLANKS) == [chr(i) for i in range(0x110000) if chr(i).isspace()]
