@@ -90,7 +90,8 @@ def mixed(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     A source's documents stand end to end in the order of the seeded md5 of their ids and are cut into equal blocks; its
     quota takes whole passes and then the first blocks of one more. A document counts once per pass and its part in the
-    last one. Repeated rows stand one after the other. The rows must come from a written table.
+    last one. Repeated rows stand one after the other. Quotas are summed over the shards: none is dealt blocks of its own. The
+    rows must come from a written table.
     """
     plan = source_targets(rows.select("source", "size"), mix)
     plan = written(plan, "targets")
