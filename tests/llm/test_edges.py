@@ -15,12 +15,25 @@ import check_queries
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 ON_DOCUMENTS = [
     "op2_host_rules", "op3_sharding", "op4_mixing", "op5_licenses", "op7_line_spread", "op8_jaccard_join",
-    "op9_decontamination", "op10_shared_spans",
+    "op9_decontamination", "op10_shared_spans", "op13_personal_data",
 ]
 WITHOUT_SQL = ["op1_transcripts", "op6_interpolation"]
 VOCABULARY = ["ba", "Ka", "lo", "été", "mi9", "nu", "po", "ruß", "sa", "tö", "vi", "wo"]
 
 
+# Texts with personal data, and with what only looks like it
+PERSONAL = [
+    "mail a.b+c@mail.example.com, x@y, a@b.c@d.e and a@b.cc_x@d.ee. @x.yz q@-.- é@é.com", "@" * 50 + "a@b.c", "a" * 3000 + "@b.c" + ".d" * 3000,
+    "1.2.3.4.5.6.7.8 and 256.1.1.1 or 0001.002.03.4 1.2.3 01.02.03.999999999999999999999999 9.9.9.9", "1" * 5000 + ".2.3.4", "5.5.5.5",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111 1111 1111; 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4111111111111111", " 4111111111111111 ",
+    "x4111111111111111y 41111111111111111111111 5500005555555559", "1 " * 6000, "1" * 20000, "-4111111111111111-",
+    "+1 (958) 555-1150 +44 20 7946 0958. +12345678 +1 +((( ++49 (0)30 123456-78 +1()", "+1" + "(" * 3000, "+1 (999) 555-0000+1 (999) 555-0001",
+    "IBAN GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765432, GB82WEST12345698765431 and XGB82WEST12345698765432 DE89370400440532013000.",
+    "ssn 123-45-6789, 123-45-6789 of a test, social security 987-65-4321 and 000-12-3456", "ssn 123-45-67890 no 1123-45-6789", "123-45-6789",
+    "é 😀 a@b.cd 😀 +1 (958) 555-1150 ü", "NL91ABNA0417164300FR1420041010050500013M02606", "\n\n4111\n1111 1111 1111 1111",
+]
+
+
 def prose(rng: random.Random, n: int, line: int = 12) -> str:
     words = [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n)]
     return "\n".join(" ".join(words[i : i + line]) for i in range(0, n, line))
@@ -41,6 +54,7 @@ def awkward() -> list[tuple]:
         (1 << 40, prose(rng, 60), "sé"), (21, " non breaking  spaces", "s6"), (22, "nul\x00byte and \x1f control", "s6"),
         (23, "é combining ß ẞ İ ı", "s6"),
     ]
+    rows += [(300 + i, text, "pii") for i, text in enumerate(PERSONAL)]
     # the same line on many sites, and near copies of a group
     rows += [(100 + i, f"Shared footer line\nown words {i} " + prose(rng, 30), f"site{i}") for i in range(14)]
     base = prose(rng, 80).split(" ")
