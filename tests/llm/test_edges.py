@@ -15,7 +15,7 @@ import check_queries
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 ON_DOCUMENTS = [
     "op2_host_rules", "op3_sharding", "op4_mixing", "op5_licenses", "op7_line_spread", "op8_jaccard_join",
-    "op9_decontamination", "op10_shared_spans", "op13_personal_data",
+    "op9_decontamination", "op10_shared_spans", "op11_collocations", "op13_personal_data",
 ]
 WITHOUT_SQL = ["op1_transcripts", "op6_interpolation"]
 VOCABULARY = ["ba", "Ka", "lo", "été", "mi9", "nu", "po", "ruß", "sa", "tö", "vi", "wo"]
