@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("host_rules", "jaccard", "decontamination", "mixing", "sharding", "shared_spans", "licenses", "line_spread", "interpolation", "transcripts", "personal_data", "collocations")
+MODULES = ("host_rules", "jaccard", "decontamination", "mixing", "sharding", "shared_spans", "licenses", "line_spread", "interpolation", "transcripts", "personal_data", "collocations", "hard_negatives")
 
 
 def query(name: str, oracle: str | None = None):
