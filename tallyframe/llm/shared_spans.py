@@ -262,6 +262,8 @@ def repeated_rows(strings: list[bytes], times: np.ndarray, shards: int = SHARDS)
 
 def _covered(place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, start, end) of the maximal stretches covered by strings that start at the places, which rise per owner."""
+    if not len(place):
+        return owner, place, place
     new = np.ones(len(place), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (place[1:] > place[:-1] + SPAN)
     heads = np.flatnonzero(new)

@@ -35,6 +35,7 @@ _MARKER = re.compile(r"\s*(?:\[?([A-Za-z]{1,12})\]?\s*[:\-]\s|([>#])\s)")
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LENGTHS = 8
 SEEN = 4 * LENGTHS * 2
+ADDED = (0.01, 10, 1)  # to the counts of markers, lengths and blank lines: a marker says more of a role than a length does
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -59,7 +60,9 @@ def observed(lines: list[str]) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """Logarithms of the first state's, the transitions' and the emissions' probabilities, from counts with one added."""
+    """Logarithms of the first state's, the transitions' and the emissions' probabilities, from counts with a little added. What is
+    seen of a line is emitted as three independent parts, its marker, its length and the blank line before it: a length
+    that a state never had does not outweigh a marker."""
 
     start: np.ndarray
     move: np.ndarray
@@ -80,8 +83,13 @@ class Model:
                 for j in range(n):
                     if STATES[j][0] != STATES[k][0]:
                         move[j, k] = 0
+        cells = (emit - 1).reshape(n, -1, LENGTHS, 2)
+        logs = np.zeros_like(cells)
+        for axis, added in zip((1, 2, 3), ADDED, strict=True):
+            part = cells.sum(axis=tuple({1, 2, 3} - {axis}), keepdims=True) + added
+            logs = logs + np.log(part / part.sum(axis=axis, keepdims=True))
         with np.errstate(divide="ignore"):
-            return Model(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
+            return Model(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), logs.reshape(n, -1))
 
 
 def viterbi(model: Model, seen: list[int]) -> list[int]:

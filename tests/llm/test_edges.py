@@ -137,3 +137,35 @@ def test_pipeline_stages_keep_columns(spark, folder):
         assert out.columns == docs.columns, name
         assert out.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == docs.count()
+
+
+def plain_removed(texts: list[str]) -> list[tuple[int, int]]:
+    """(removed, spans) by looking at every string."""
+    from collections import Counter
+
+    size, raw = 200, [t.encode() for t in texts]
+    times = Counter(t[i : i + size] for t in raw for i in range(len(t) - size + 1))
+    out = []
+    for t in raw:
+        gone = [False] * len(t)
+        for i in range(len(t) - size + 1):
+            if times[t[i : i + size]] > 1:
+                gone[i : i + size] = [True] * size
+        out.append((sum(gone), sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))))
+    return out
+
+
+def test_shared_spans_without_and_around_the_limit(spark):
+    from tallyframe.llm import shared_spans
+
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abcdefg hij") for _ in range(n))
+    part = made(150)
+    for texts in (
+        [made(300) + part + made(300), made(300) + part + made(300)],  # anchors are shared, no string is
+        [made(700), made(650)],
+        *[[made(120) + "X" + shared + "Y" + made(90), made(60) + "Z" + shared + "W" + made(240)] for n in (198, 199, 200, 201) for shared in [made(n)]],
+        [made(40) + made(8) * 60 + made(400)],
+    ):
+        rows = shared_spans.without_shared_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+        assert [(r["n_removed"], r["n_spans"]) for r in rows] == plain_removed(texts)

@@ -378,6 +378,17 @@ def test_roles_are_recovered_and_rendered(spark):
     assert transcripts.turns(" \n\n", model) == ([], [])
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_markers_of_short_lines_are_read(spark, sf):
+    model = transcripts.fitted(transcripts.raw_transcripts(spark.read.parquet(f"/root/testdata/sf{sf}/conversations.parquet")))
+    for system, user, assistant in transcripts.STYLES:
+        for size in range(1, 9):
+            said = [(system, "system"), (user, "user"), (assistant, "assistant"), (user, "user"), (assistant, "assistant")]
+            said = said if assistant else said[:2]
+            text = "\n".join(m + "abcdefgh"[:size] for m, _ in said)
+            assert transcripts.turns(text, model)[0] == [role for _, role in said], text
+
+
 def test_blank_lines_are_the_same_in_sql_and_python(spark):
     said = [
         (1, 0, "user", "Hello?\r\n\r\nmore\r"), (1, 1, "assistant", "Yes.\n\t\n\u00a0\nno"), (2, 0, "user", "\u00a0"), (2, 1, "user", "\x0b\n \u3000 \nx"),
