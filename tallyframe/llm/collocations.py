@@ -27,7 +27,8 @@ from tallyframe.llm.common import total, written
 from tallyframe.llm.interpolation import packed, unpacked
 from tallyframe.llm.registry import query
 
-CHUNK_BYTES = 8 << 20
+READ_BYTES = 1 << 20  # texts cut into words together
+CHUNK = 3 << 19  # suffixes brought together before they move
 BUCKET = 1 << 20  # suffixes sorted together
 BUCKETS = 4096  # of the first deal
 LEADING = 2  # words that route a suffix
@@ -53,9 +54,9 @@ class Mine:
 # ---- suffixes ------------------------------------------------------------------------------------------------------
 
 
-def suffixes(batch: pa.RecordBatch, longest: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(keys, vocabulary) of a batch of texts: a row of word keys per suffix of two words or more, 0 beyond its piece; and
-    (key, first place, count) of the different words, with what is needed to read them."""
+def suffixes(batch: pa.RecordBatch, longest: int) -> tuple[np.ndarray, pa.Table]:
+    """A row of word keys for each suffix of two words or more, 0 beyond its piece; and (key, lang, word, times) of each
+    different word."""
     data, offsets = W.text_bytes(batch.column("text"))
     data = W.FOLD[data]
     w = W.Words(data, offsets, _INSIDE, False)
@@ -71,8 +72,12 @@ def suffixes(batch: pa.RecordBatch, longest: int) -> tuple[np.ndarray, np.ndarra
         going[: n - d] &= (piece[d:] == piece[: n - d]) & (w.doc[d:] == w.doc[: n - d])
         at = np.flatnonzero(going)
         keys[at, d] = own[at + d]
-    names, first, counts = np.unique(own, return_index=True, return_counts=True)
-    return keys[keys[:, 1] != 0], names, (data, w, first, counts)
+    names, first, times = np.unique(own, return_index=True, return_counts=True)
+    text = data.tobytes()
+    word = [text[i:j] for i, j in zip(w.start[first].tolist(), (w.start[first] + w.length[first]).tolist(), strict=True)]
+    lang = batch.column("lang").take(pa.array(w.doc[first], pa.int64()))
+    table = pa.table([pa.array(names.view(np.int64)), lang, pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], _WORD)
+    return keys[keys[:, 1] != 0], table
 
 
 def routed(keys: np.ndarray, words: int, parts: int, salt: int) -> np.ndarray:
@@ -98,7 +103,9 @@ def frames(keys: np.ndarray, weights: np.ndarray, part: np.ndarray) -> Iterator[
     edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
     for i, j in zip(edges, np.append(edges[1:], len(part)), strict=True):
         names, places = np.unique(keys[i:j].T.ravel(), return_inverse=True)
-        yield int(part[i]), int(j - i), packed(np.diff(names, prepend=np.uint64(0))), packed(places.astype(np.uint32)), packed(weights[i:j])
+        places = places.astype(np.uint32).reshape(keys.shape[1], -1)
+        order = np.lexsort(places[1::-1])  # equal beginnings together: smaller when packed
+        yield int(part[i]), int(j - i), packed(np.diff(names, prepend=np.uint64(0))), packed(places[:, order].ravel()), packed(weights[i:j][order])
 
 
 def unframed(batch: pa.RecordBatch | pa.Table, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +119,8 @@ def unframed(batch: pa.RecordBatch | pa.Table, longest: int) -> tuple[np.ndarray
 
 
 FRAME = "bucket long, n long, names binary, places binary, weights binary"
-CHUNK = f"key long, lang string, word string, times long, {FRAME}"
+_WORD = ["key", "lang", "word", "times"]
+ROWS = f"key long, lang string, word string, times long, {FRAME}"
 _FRAME = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("names", pa.binary()), ("places", pa.binary()), ("weights", pa.binary())])
 
 
@@ -121,26 +129,38 @@ def _framed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _chunks(longest: int, parts: int):
+    """Rows of two kinds: each word of a chunk, and the frames of its suffixes."""
+
+    def rows(keys: list[np.ndarray], words: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(words).combine_chunks()
+        names, first, which = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
+        times = np.bincount(which, weights=table.column("times").to_numpy(), minlength=len(names)).astype(np.int64)
+        table = table.take(pa.array(first))
+        own = [pa.array(names), table.column("lang").combine_chunks(), table.column("word").combine_chunks(), pa.array(times)]
+        yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(names), f.type) for f in _FRAME]], _ROWS)
+        joined = np.concatenate(keys)
+        made = list(frames(joined, np.ones(len(joined), np.int64), routed(joined, LEADING, parts, 1)))
+        if made:
+            empty = [pa.nulls(len(made), t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, *_framed(made).columns], _ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.chunks(batches, "text", CHUNK_BYTES):
-            keys, names, (data, w, first, counts) = suffixes(batch, longest)
-            text = data.tobytes()
-            starts, ends = w.start[first].tolist(), (w.start[first] + w.length[first]).tolist()
-            word = pa.array([text[i:j] for i, j in zip(starts, ends, strict=True)], pa.binary()).cast(pa.string())
-            lang = batch.column("lang").take(pa.array(w.doc[first], pa.int64()))
-            m = len(names)
-            nulls = [pa.nulls(m, f.type) for f in _FRAME]
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), lang, word, pa.array(counts, pa.int64()), *nulls], _CHUNK_NAMES)
-            rows = list(frames(keys, np.ones(len(keys), np.int64), routed(keys, LEADING, parts, 1)))
-            if rows:
-                own = _framed(rows)
-                empty = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*empty, *own.columns], _CHUNK_NAMES)
+        keys: list[np.ndarray] = []
+        words: list[pa.Table] = []
+        for batch in W.chunks(batches, "text", READ_BYTES):
+            k, w = suffixes(batch, longest)
+            keys.append(k)
+            words.append(w)
+            if sum(map(len, keys)) >= CHUNK:
+                yield from rows(keys, words)
+                keys, words = [], []
+        if words:
+            yield from rows(keys, words)
 
     return run
 
 
-_CHUNK_NAMES = [c.split(" ")[0] for c in CHUNK.split(", ")]
+_ROWS = [c.split(" ")[0] for c in ROWS.split(", ")]
 
 
 def _again(longest: int, words: int):
@@ -225,7 +245,7 @@ def counts(docs: DataFrame, mine: Mine) -> tuple[DataFrame, DataFrame]:
     the key being its words' keys; and (key, lang, word, times) of every word."""
     size = total(docs, F.sum(F.octet_length("text")).alias("n"))["n"] or 0
     parts = min(BUCKETS, max(1, math.ceil(size / 6 / BUCKET)))
-    chunks = written(docs.mapInArrow(_chunks(mine.longest, parts), CHUNK), "suffixes")
+    chunks = written(docs.mapInArrow(_chunks(mine.longest, parts), ROWS), "suffixes")
     words = chunks.filter("bucket IS NULL").groupBy("key", "lang", "word").agg(F.sum("times").alias("times"))
     rest = chunks.filter("bucket IS NOT NULL").select("bucket", "n", "names", "places", "weights")
     ready = []
