@@ -49,14 +49,29 @@ def stream_resume(d):
     return d.spark.read.parquet(f"{target}/table")
 
 
-@query("stream_rate_limit")
-def stream_rate_limit(d):
-    """Events as reports of their users; one in eleven fills the decoy field, one in thirteen is too short."""
-    with RP.state_store(d.spark):
-        return _limited_reports(d)
-
-
-def _limited_reports(d):
+# Each sender's reports in order, then all that passed in order, one row a step: how many were accepted in the span before.
+REPORTS_SQL = """
+reports AS (SELECT event_id AS report_id, ts AS created_at, epoch_us(ts) // 1000000 AS second, 'u' || user_id AS origin, 'reported: ' || props AS text,
+  CASE WHEN event_id % 11 = 0 THEN 'decoy' WHEN event_id % 13 = 0 THEN 'too_short' END AS screened FROM events),
+waiting AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY second, created_at, report_id) AS i FROM reports WHERE screened IS NULL),
+senders AS MATERIALIZED (WITH RECURSIVE s AS (
+  SELECT origin, i, report_id, second, [second] AS held, true AS ok FROM waiting WHERE i = 1
+  UNION ALL
+  SELECT origin, i, report_id, second, CASE WHEN len(h) < 5 THEN list_append(h, second) ELSE h END, len(h) < 5
+  FROM (SELECT w.*, list_filter(s.held, lambda x: x > w.second - 3600) AS h FROM s JOIN waiting w ON w.origin = s.origin AND w.i = s.i + 1))
+  SELECT report_id, second, ok FROM s),
+passed AS MATERIALIZED (SELECT report_id, second, row_number() OVER (ORDER BY second, created_at, report_id) AS k FROM senders JOIN reports USING (report_id, second) WHERE ok),
+days AS MATERIALIZED (WITH RECURSIVE t AS (
+  SELECT k, report_id, [second] AS held, true AS ok FROM passed WHERE k = 1
+  UNION ALL
+  SELECT k, report_id, CASE WHEN len(h) < 500 THEN list_append(h, second) ELSE h END, len(h) < 500
+  FROM (SELECT p.*, list_filter(t.held, lambda x: x > p.second - 86400) AS h FROM t JOIN passed p ON p.k = t.k + 1))
+  SELECT report_id, ok FROM t)
+"""
+
+
+def filled_reports(d):
+    """Events as reports of their users, stored: one in eleven fills the decoy field, one in thirteen is too short."""
     target = fresh_folder(d.spark, "stream-reports")
     key = F.col("event_id")
     reports = events(d).select(
@@ -65,15 +80,20 @@ def _limited_reports(d):
         F.lit("").alias("contact"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("origin"),
         F.when(key % 11 == 0, "x").alias("trap"), F.col("ts").alias("created_at"),
     )
-    first = RP.by_sender(reports).filter("accepted").select("report_id", F.timestamp_micros("at").alias("created_at"))
-    finish(
-        first.writeStream.format("parquet").option("path", f"{target}/senders").option("checkpointLocation", f"{target}/c1")
-        .trigger(availableNow=True).start()
-    )
-    passed = I.landed(d.spark, f"{target}/senders", "report_id bigint, created_at timestamp", "*.parquet")
-    finish(
-        RP.by_day(passed).filter("accepted").select("report_id", F.timestamp_micros("at").alias("created_at"))
-        .writeStream.format("parquet").option("path", f"{target}/accepted").option("checkpointLocation", f"{target}/c2")
-        .trigger(availableNow=True).start()
-    )
-    return d.spark.read.schema("report_id bigint, created_at timestamp").parquet(f"{target}/accepted")
+    finish(I.run(reports, RP.into_reports(target), f"{target}/checkpoint"))
+    return target
+
+
+@query("stream_rate_limit", f"""
+    WITH {REPORTS_SQL}
+    SELECT report_id, '/page' AS url, text, NULL AS contact, origin, created_at, false AS too_long FROM days JOIN reports USING (report_id) WHERE ok""")
+def stream_rate_limit(d):
+    return d.spark.read.parquet(f"{filled_reports(d)}/accepted").drop("batch_id")
+
+
+@query("report_verdicts", f"""
+    WITH {REPORTS_SQL}
+    SELECT report_id, CASE WHEN screened IS NOT NULL THEN screened WHEN NOT s.ok THEN 'sender_limit' WHEN NOT t.ok THEN 'day_limit' ELSE 'accepted' END AS verdict
+    FROM reports LEFT JOIN senders s USING (report_id) LEFT JOIN days t USING (report_id)""")
+def report_verdicts(d):
+    return d.spark.read.parquet(f"{filled_reports(d)}/verdicts").drop("batch_id")

@@ -4,14 +4,14 @@ Order of the rules: a filled decoy field is answered 'ok' and not stored; a text
 with 5 accepted reports in the last hour is refused; after 500 accepted reports in the last day everyone is refused.
 Only accepted reports count. The text rules need no state and run before any shuffle.
 
-The sender limit is keyed by sender and keeps at most 5 times per key. The daily limit is one counter for everybody, so
-its stage has a single key; it sees only what the first stage lets through (5 per sender and hour) and keeps at most 500
-times. While the daily limit is exhausted, a report it refuses still counts for its sender during that hour.
+Limits are kept by whole seconds (see `limits`): the daily limit, which is for everybody, is decided on at most 86,400 counts
+a day however many reports arrive. It sees what the sender limit lets through; while it is exhausted, a report it refuses
+still counts for its sender during that hour.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyframe.streaming.limits import Limit
+from tallyframe.streaming.limits import limited as limited_by
+
 # Limits on reports.
 MIN_TEXT = 10
 PER_SENDER, SENDER_SPAN = 5, timedelta(hours=1)
@@ -92,8 +95,33 @@ def by_sender(reports: DataFrame) -> DataFrame:
     return limited(waiting, F.col("origin"), PER_SENDER, SENDER_SPAN)
 
 
-def by_day(accepted: DataFrame) -> DataFrame:
-    return limited(accepted, F.lit("all"), PER_DAY, DAY_SPAN)
+SENDER = Limit("sender_limit", PER_SENDER, int(SENDER_SPAN.total_seconds()))
+DAY = Limit("day_limit", PER_DAY, int(DAY_SPAN.total_seconds()))
+
+
+def into_reports(target: str, sender: Limit = SENDER, day: Limit = DAY) -> Callable[[DataFrame, int], None]:
+    """Batch writer: stores the accepted reports under `target`/accepted and what each sender is told, a verdict per report,
+    under `target`/verdicts, a folder per micro-batch. The state of the limits lies beside them."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        judged = screened(batch).withColumn("second", F.floor(F.unix_micros("created_at") / 1_000_000))
+        order = [F.col("created_at"), F.col("report_id")]
+        waiting = judged.filter(F.col("verdict").isNull())
+        passed = limited_by(waiting, F.col("origin"), sender, f"{target}/{sender.name}", batch_id, order)
+        accepted = limited_by(passed, F.lit("all"), day, f"{target}/{day.name}", batch_id, order)
+        accepted.select(*stored_columns()).write.mode("overwrite").parquet(f"{target}/accepted/batch_id={batch_id}")
+        spark = batch.sparkSession
+        let_through = passed.select("report_id", F.lit(True).alias("_passed")).join(
+            spark.read.parquet(f"{target}/accepted/batch_id={batch_id}").select("report_id", F.lit(True).alias("_stored")), "report_id", "left"
+        )
+        told = F.when(F.col("_stored"), "accepted").when(F.col("_passed"), day.name).otherwise(sender.name)
+        judged.join(let_through, "report_id", "left").select("report_id", F.coalesce("verdict", told).alias("verdict")).write.mode("overwrite").parquet(
+            f"{target}/verdicts/batch_id={batch_id}"
+        )
+        batch.unpersist()
+
+    return write
 
 
 @contextmanager

@@ -292,3 +292,32 @@ def test_sender_limit_equals_a_plain_loop(spark):
         run.awaitTermination()
     got = {r.report_id for r in spark.read.parquet(out).filter("accepted").collect()}
     assert got == accepted_by_hand([(m[4], m[0], m[6]) for m in made if m[0] < 900], RP.PER_SENDER, RP.SENDER_SPAN)
+
+
+def test_limits_over_several_batches_and_a_replay(spark):
+    from tallyframe.streaming.limits import Limit
+
+    rnd = random.Random(5)
+    start = datetime(2024, 1, 1)
+    made = []
+    for i in range(600):  # a third of all reports from one sender, many in one second
+        hot = i % 3 == 0
+        made.append((i, "/p", "long enough text", "me", "hot" if hot else f"o{rnd.randrange(40)}", None, start + timedelta(seconds=60 * i + (0 if hot else rnd.randrange(50)), microseconds=rnd.randrange(1000))))
+    made += [(1000 + j, "/p", "long enough text", "", None, None, made[300][6]) for j in range(9)]
+    kind = "report_id bigint, url string, text string, contact string, origin string, trap string, created_at timestamp"
+    sender, day = Limit("sender_limit", 3, 3600), Limit("day_limit", 20, 7200)
+    folder, out = fresh_folder(spark, "in"), fresh_folder(spark, "out")
+    write = RP.into_reports(out, sender, day)
+    made.sort(key=lambda m: m[6])
+    for batch, at in enumerate(range(0, len(made), 203)):
+        frame = spark.createDataFrame(made[at : at + 203], kind)
+        write(frame, batch)
+        write(frame.repartition(3), batch)  # a batch that runs again gives the same
+    second = lambda m: int((m[6] - start).total_seconds())
+    first = accepted_by_hand([(m[4], m[0], second(m)) for m in made], 3, 3600)
+    want = accepted_by_hand([("all", m[0], second(m)) for m in made if m[0] in first], 20, 7200)
+    got = spark.read.parquet(f"{out}/accepted")
+    assert {r.report_id for r in got.collect()} == want and got.count() == len(want)
+    told = {r.report_id: r.verdict for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    assert told == {m[0]: "accepted" if m[0] in want else "day_limit" if m[0] in first else "sender_limit" for m in made}
+    assert 0 < len(want) < len(first) < len(made)
