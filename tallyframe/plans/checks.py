@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe import sinks
+from tallyframe.operators import imports as IM
 from tallyframe.operators import quality as Q
 from tallyframe.operators import temporal as T
 from tallyframe.operators import votes as V
@@ -14,6 +15,8 @@ from tallyframe.plans import texts as TX
 from tallyframe.plans.registry import query
 from tallyframe.sources import bindings as B
 from tallyframe.sources import chambers as CH
+from tallyframe.storage import fresh_folder, written
+from tallyframe.tables import KeyedTable, Ledger
 
 # ---- landed rows ----------------------------------------------------------------------------------------------------
 
@@ -332,13 +335,55 @@ def import_gate(d):
 
 
 @query("insert_if_absent", """
-    WITH fresh AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2)
-    SELECT * FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 97 = 0 AND e.user_id = f.user_id
-      AND e.event_type = f.event_type)""")
+    SELECT user_id, date_trunc('day', ts)::date AS day, min_by(event_id, (event_type <> 'view', event_id)) AS event_id
+    FROM events GROUP BY 1, 2""")
 def insert_if_absent(d):
-    events = d.table("events").select("user_id", "event_type", "event_id")
-    stored = events.filter("event_id % 97 = 0")
-    return sinks.absent_rows(events, stored, ["user_id", "event_type"], [F.col("event_id")])
+    """A user's first view of each day, or else the day's first event: all views are appended, then all events, twice. Each key
+    stays as it was first stored."""
+    events = d.table("events").select("user_id", F.to_date("ts").alias("day"), "event_id", "event_type")
+    table = KeyedTable(d.spark, fresh_folder(d.spark, "keyed"), "user_id long, day date, event_id long", ["user_id", "day"])
+    for rows in (events.filter("event_type = 'view'"), events, events):
+        table.append(rows, [F.col("event_id")])
+    return table.read()
+
+
+LEDGER = {
+    "ballots": "ballot_id date, chamber string, term int, ext_id string, n_for long, n_against long, n_abstain long, coherent boolean",
+    "counts": "ballot_id date, group_id int, n_for long, n_against long, n_abstain long, n_other long",
+    "kept": "ballot_id date, person_id long, group_id int, expression string",
+    "unattributed": "ballot_id date, person_id long, reason string",
+}
+
+
+@query("ballot_import", """
+    WITH kept AS (
+      SELECT v.* FROM grouped_votes v JOIN persons p ON p.person_id = v.person_id WHERE p.slug LIKE 'person-%'
+        OR (SELECT count(*) FROM group_party g WHERE g.group_id = v.group_id AND v.on_date >= g.valid_from AND (g.valid_to IS NULL OR v.on_date <= g.valid_to)) > 1),
+    lost AS (SELECT v.* FROM votes v WHERE NOT EXISTS (SELECT 1 FROM persons p WHERE p.person_id = v.person_id))
+    SELECT 'ballots' AS stored, ballot_id, count(*) AS n, sum(n_for + n_against + n_abstain)::bigint AS total, bool_and(coherent) AS coherent FROM ballots GROUP BY 2
+    UNION ALL SELECT 'counts', ballot_id, count(*), sum(n_for + n_against + n_abstain + n_other)::bigint, NULL FROM group_counts GROUP BY 2
+    UNION ALL SELECT 'kept', ballot_id, count(*), sum(coalesce(group_id, 0) + person_id)::bigint, NULL FROM kept GROUP BY 2
+    UNION ALL SELECT 'unattributed', ballot_id, count(*), sum(person_id)::bigint, NULL FROM lost GROUP BY 2""")
+def ballot_import(d):
+    """All ballots, a term a block. The first block fails after two of its tables and is imported again; then everything once
+    more. What readers find is counted per table and ballot."""
+    ledger = Ledger(d.spark, fresh_folder(d.spark, "ledger"), LEDGER)
+    ballots = written(d.ballots, "declared")
+    given = written(d.votes, "votes"), d.shared("memberships"), d.shared("persons"), d.shared("group_party")
+    begun, version = IM.block_tables(ledger, ballots.filter("term = 18"), *given), ledger.begin()
+    for name in ("counts", "kept"):  # a writer that got no further
+        ledger.stage(version, name, begun[name]())
+    for block, rows in (("18", ballots.filter("term = 18")), ("19", ballots.filter("term = 19")), ("all", ballots)):
+        IM.import_block(ledger, block, rows, *given)
+
+    def told(name, total, coherent):
+        return ledger.read(name).groupBy("ballot_id").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("total"), coherent.alias("coherent")).select(F.lit(name).alias("stored"), "*")
+
+    sides, none = F.col("n_for") + F.col("n_against") + F.col("n_abstain"), F.first(F.lit(None).cast("boolean"))
+    return (
+        told("ballots", sides, F.bool_and("coherent")).unionByName(told("counts", sides + F.col("n_other"), none))
+        .unionByName(told("kept", F.coalesce("group_id", F.lit(0)) + F.col("person_id"), none)).unionByName(told("unattributed", F.col("person_id"), none))
+    )
 
 
 @query("reread_documents", """
