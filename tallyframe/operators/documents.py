@@ -6,7 +6,12 @@ texts is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -98,8 +103,11 @@ def without_reading_noise(paragraphs: DataFrame, dictionary: DataFrame) -> DataF
     reread = paragraphs.filter("reread").withColumn("text", stripped).filter(
         F.length(F.regexp_replace("text", r"[^\p{L}]", "")) >= 3
     )
+    found = measured(reread, spoken_words(F.col("text")), dictionary, 1)
+    if found is not None:
+        return paragraphs.filter("NOT reread").unionByName(found.filter("known > 0").select(*paragraphs.columns))
     keys = ["document_id", "page", "n"]
-    spoken = F.array_distinct(F.regexp_extract_all(X.base_letters(F.col("text")), F.lit(LONG_WORD), F.lit(1)))
+    spoken = F.array_distinct(spoken_words(F.col("text")))
     words_ = reread.select(*keys, F.explode(spoken).alias("word"))
     known = words_.join(dictionary.select("word"), "word", "left_semi").select(*keys).distinct()
     return paragraphs.filter("NOT reread").unionByName(reread.join(known, keys, "left_semi"))
@@ -188,46 +196,80 @@ def batch_inputs(items: DataFrame, keys: list[str], template: str) -> DataFrame:
 # ---- quotations -----------------------------------------------------------------------------------------------------
 
 
-def verify_quotes(claims: DataFrame, paragraphs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+QUOTES_A_PASS = 2000  # quotations searched for together
+
+
+def first_places(whole: str, quotes: list[str]) -> list[int]:
+    """Where each quotation first stands in the text, counted from 1, or 0: one pass over the text for all of them."""
+    automaton = ahocorasick.Automaton()
+    for i, quote in enumerate(quotes):
+        automaton.add_word(quote, i)
+    places, left = [0] * len(quotes), len(quotes)
+    if left:
+        automaton.make_automaton()
+        for end, i in automaton.iter(whole):
+            if not places[i]:
+                places[i], left = end - len(quotes[i]) + 2, left - 1
+                if not left:
+                    break
+    return places
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, quotes = batch.column("_whole").to_pylist(), batch.column("_quotes").to_pylist()
+        places = pa.array([first_places(t, q) for t, q in zip(texts, quotes, strict=True)], pa.list_(pa.int32()))
+        names = [c for c in batch.schema.names if c != "_whole"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], places], [*names, "_places"])
+
+
+def verify_quotes(claims: DataFrame, paragraphs: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Adds (outcome, para_from, para_to) to claims (document_id, ord, quote, measure).
 
     Outcome: 'kept'; 'measure_empty'; 'quote_not_found' (too short, or not verbatim in the document on the normal form);
-    'repeated' for the same quote and measure again. A quotation may run over several paragraphs.
+    'repeated' for the same quote and measure again. A quotation may run over several paragraphs. `keys` name what is searched
+    as one text, in claims and paragraphs: a document, or a batch of it.
+
+    A document meets the different quotations asked of it once (once per QUOTES_A_PASS of them) and is searched in one pass;
+    what moves on is where they stand.
     """
+    keys = list(keys)
     sorted_paras = F.array_sort(F.collect_list(F.struct("n", F.col("_t").alias("text"))))
     documents = (
-        paragraphs.withColumn("_t", X.nfkc(F.col("text"))).groupBy("document_id").agg(sorted_paras.alias("_paras"))
+        paragraphs.withColumn("_t", X.nfkc(F.col("text"))).groupBy(*keys).agg(sorted_paras.alias("_paras"))
         .withColumn("_pieces", _folded_pieces(F.col("_paras")))
         .select(
-            "document_id", F.transform("_pieces", lambda e: e["n"]).alias("_ns"), _piece_starts(F.col("_pieces")).alias("_starts"),
+            *keys, F.transform("_pieces", lambda e: e["n"]).alias("_ns"), _piece_starts(F.col("_pieces")).alias("_starts"),
             F.array_join(F.transform("_pieces", lambda e: F.concat(e["gap"], e["text"])), "").alias("_whole"),
         )
     )
     measure = F.trim(F.coalesce("measure", F.lit("")))
-    at = F.position(F.col("_quote"), F.col("_whole"))
-    begin = F.col("_at") - 1
-    end = begin + F.length("_quote")
-    searched = (
-        claims.withColumn("_quote", X.quote_form(X.bare_quote(F.col("quote"))))
-        .withColumn("_measure", X.quote_form(measure))
-        .join(documents, "document_id", "left")
-        .withColumn("_at", F.when((F.length("_quote") >= p.min_quote) & (F.col("_measure") != ""), at).otherwise(0))
-        .withColumn("_found", F.coalesce(F.col("_at") > 0, F.lit(False)))
-        .select(
-            *claims.columns, "_quote", "_measure", "_found",
-            F.get("_ns", F.size(F.filter("_starts", lambda s: s <= begin)) - 1).alias("para_from"),
-            F.get("_ns", F.size(F.filter("_starts", lambda s: s < end)) - 1).alias("para_to"),
-        )
+    asked = claims.withColumn("_quote", X.quote_form(X.bare_quote(F.col("quote")))).withColumn("_measure", X.quote_form(measure))
+    asked = written(asked, "asked")
+    wanted = asked.filter((F.length("_quote") >= p.min_quote) & (F.col("_measure") != "")).select(*keys, "_quote").distinct()
+    passes = wanted.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / QUOTES_A_PASS).alias("_passes"))
+    grouped = wanted.join(passes, keys).groupBy(*keys, F.pmod(F.xxhash64("_quote"), F.col("_passes")).alias("_pass")).agg(F.collect_list("_quote").alias("_quotes"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in claims.select(*keys).dtypes)
+    n = dict(paragraphs.dtypes)["n"]
+    searched = documents.join(grouped.drop("_pass"), keys).select(*keys, "_ns", "_starts", "_quotes", "_whole").mapInArrow(
+        _searched, f"{kinds}, _ns array<{n}>, _starts array<int>, _quotes array<string>, _places array<int>"
     )
-    again = F.row_number().over(
-        Window.partitionBy("document_id", "_found", "_quote", "_measure").orderBy("ord")
+    found = searched.select(*keys, "_ns", "_starts", F.explode(F.arrays_zip("_quotes", "_places")).alias("_f")).filter("_f._places > 0")
+    begin = F.col("_f._places") - 1
+    end = begin + F.length("_f._quotes")
+    places = found.select(
+        *keys, F.col("_f._quotes").alias("_quote"), F.lit(True).alias("_stands"),
+        F.get("_ns", F.size(F.filter("_starts", lambda s: s <= begin)) - 1).alias("para_from"),
+        F.get("_ns", F.size(F.filter("_starts", lambda s: s < end)) - 1).alias("para_to"),
     )
+    judged = asked.join(places, [*keys, "_quote"], "left").withColumn("_found", F.coalesce("_stands", F.lit(False)) & (F.col("_measure") != ""))
+    again = F.row_number().over(Window.partitionBy(*keys, "_found", "_quote", "_measure").orderBy("ord"))
     outcome = (
         F.when(F.col("_measure") == "", "measure_empty").when(~F.col("_found"), "quote_not_found")
         .when(again > 1, "repeated").otherwise("kept")
     )
     kept = F.col("outcome") == "kept"
-    return searched.withColumn("outcome", outcome).select(
+    return judged.withColumn("outcome", outcome).select(
         *claims.columns, "outcome", *[F.when(kept, F.col(c)).alias(c) for c in ("para_from", "para_to")]
     )
 
@@ -274,8 +316,7 @@ def document_words(documents: DataFrame, key: str) -> DataFrame:
     Letters are folded once per text, not once per word. Runs of letters are maximal, so a pattern of three letters or
     more finds exactly the words that are long enough.
     """
-    spoken = F.regexp_extract_all(X.base_letters(F.col("text")), F.lit(LONG_WORD), F.lit(1))
-    return documents.select(key, F.posexplode(spoken).alias("pos", "word"))
+    return documents.select(key, F.posexplode(spoken_words(F.col("text"))).alias("pos", "word"))
 
 
 def dictionary_of(documents: DataFrame, min_documents: int) -> DataFrame:
@@ -283,7 +324,7 @@ def dictionary_of(documents: DataFrame, min_documents: int) -> DataFrame:
 
     A text's words are made distinct inside its row, so the only shuffle carries one partial count per word and task.
     """
-    spoken = F.array_distinct(F.regexp_extract_all(X.base_letters(F.col("text")), F.lit(LONG_WORD), F.lit(1)))
+    spoken = F.array_distinct(spoken_words(F.col("text")))
     counts = documents.select(F.explode(spoken).alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
     return counts.filter(F.col("_n") >= min_documents).select("word")
 
@@ -309,6 +350,65 @@ def readability(words_: DataFrame, key: str, dictionary: DataFrame, p: Params =
     return per_text.select(key, "words", worst.alias("worst"), (den * worst >= num * length).alias("readable"))
 
 
+KNOWN_WORDS = 4_000_000  # words of a dictionary that is sent to all tasks, eight bytes each; a larger one is joined
+
+
+def spoken_words(text: Column) -> Column:
+    """The words of three letters or more of a text, in order, lower case without accents."""
+    return F.regexp_extract_all(X.base_letters(text), F.lit(LONG_WORD), F.lit(1))
+
+
+def _measured(known: np.ndarray, size: int, words_: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(words_)
+            ends = column.offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            hashes = column.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+            sums = np.append(0, np.cumsum(known[at] == hashes)) if len(known) else np.zeros(len(hashes) + 1, np.int64)
+            count = np.diff(ends)
+            total = sums[ends[1:]] - sums[ends[:-1]]
+            # known words in the run of `size` words that starts at each word, and the least of a text's whole runs
+            worst = total.copy()
+            long_ = np.flatnonzero(count >= size)
+            if len(long_):
+                starts = ends[:-1][long_]
+                runs = count[long_] - size + 1
+                first = np.cumsum(runs) - runs
+                place = np.repeat(starts - first, runs) + np.arange(int(runs.sum()))
+                worst[long_] = np.minimum.reduceat(sums[place + size] - sums[place], first)
+            names = [c for c in batch.schema.names if c != words_]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array(count), pa.array(total.astype(np.int64)), pa.array(worst.astype(np.int64))], [*names, "words", "known", "worst"]
+            )
+
+    return run
+
+
+def measured(texts: DataFrame, words_: Column, dictionary: DataFrame, size: int) -> DataFrame | None:
+    """The rows with `words`, how many of the words are `known`, and the least number known in `size` words on end (in all, if
+    there are fewer): worked out inside the row, so no word becomes a row. None when the dictionary, which is counted first, is
+    too large to be sent to all tasks."""
+    n = dictionary.count()
+    if n > KNOWN_WORDS:
+        return None
+    known = np.sort(np.array([r[0] for r in dictionary.select(F.xxhash64("word")).collect()], dtype=np.int64))
+    hashed = texts.withColumn("_hashes", F.transform(words_, lambda w: F.xxhash64(w)))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes)
+    return hashed.mapInArrow(_measured(known, size, "_hashes"), f"{kinds}, words long, known long, worst long")
+
+
+def readable_texts(texts: DataFrame, key: str, dictionary: DataFrame, p: Params = DEFAULT, text: str = "text") -> DataFrame:
+    """`readability` of whole texts; those without a word of three letters are left out."""
+    rows = measured(texts.select(key, text), spoken_words(F.col(text)), dictionary, p.readable_window)
+    if rows is None:
+        return readability(document_words(texts, key), key, dictionary, p)
+    num, den = p.readable_known
+    length = F.least(F.col("words"), F.lit(p.readable_window))
+    return rows.filter("words > 0").select(key, "words", "worst", (den * F.col("worst") >= num * length).alias("readable"))
+
+
 # ---- shared text ----------------------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from tallyframe.plans.registry import query
 from tallyframe.storage import fresh_folder
 from tallyframe.streaming import ingest as I
 from tallyframe.streaming import reports as RP
+from tallyframe.tables import KeyedTable
 
 
 def events(d):
@@ -46,7 +47,7 @@ def stream_resume(d):
     for attempt in ("first", "second"):
         rows = I.since(events(d), "ts", mark).select("event_id", "user_id")
         finish(I.run(rows, I.into_table(f"{target}/table", ["event_id"]), f"{target}/checkpoint-{attempt}"))
-    return d.spark.read.parquet(f"{target}/table")
+    return KeyedTable(d.spark, f"{target}/table", "event_id long, user_id long", ["event_id"]).read()
 
 
 # Each sender's reports in order, then all that passed in order, one row a step: how many were accepted in the span before.

@@ -292,18 +292,23 @@ def shingle_overlap(d):
     return D.shared_text(named)
 
 
-# Claims: a stretch of the document itself with other dashes and spacing, a benchmark passage, a short one, an empty
-# measure, and a repeat of the first.
+# Claims: a stretch from somewhere in the document with other dashes and spacing, a benchmark passage, a short one, an empty
+# measure, a repeat of the first, and a long one over several paragraphs.
 FOLD = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({0}, '–—‘’“”«»', '--' || repeat(chr(39), 2) || repeat(chr(34), 4)),
   '\s*-\s*', '-', 'g'), '\s+([,.;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '\s+', ' ', 'g')))"""
 
-CLAIMS_SQL = """
+_PLACE = "1 + (doc_id * 7919 + {0}) % greatest(length(text) - {1}, 1)"
+_PART = f"substr(text, {_PLACE.format(31, 80)}, 80)"
+_LONG = f"substr(text, {_PLACE.format(977, 600)}, 600)"
+
+CLAIMS_SQL = f"""
 claims AS (
-  SELECT doc_id AS document_id, 1 AS ord, '«' || replace(substr(text, 20, 80), ' ', '  ') || '»' AS quote, 'misura' AS measure FROM documents
+  SELECT doc_id AS document_id, 1 AS ord, '«' || replace({_PART}, ' ', '  ') || '»' AS quote, 'misura' AS measure FROM documents
   UNION ALL SELECT doc_id, 2, b.text, 'altra' FROM documents JOIN benchmark b ON b.item_id = doc_id % 40
-  UNION ALL SELECT doc_id, 3, substr(text, 1, 10), 'corta' FROM documents
-  UNION ALL SELECT doc_id, 4, substr(text, 20, 80), ' ' FROM documents
-  UNION ALL SELECT doc_id, 5, lower(substr(text, 20, 80)), 'Misura' FROM documents)"""
+  UNION ALL SELECT doc_id, 3, substr({_PART}, 1, 10), 'corta' FROM documents
+  UNION ALL SELECT doc_id, 4, {_PART}, ' ' FROM documents
+  UNION ALL SELECT doc_id, 5, lower({_PART}), 'Misura' FROM documents
+  UNION ALL SELECT doc_id, 6, {_LONG}, 'lunga' FROM documents)"""
 
 
 def claims(d):
@@ -313,14 +318,14 @@ def claims(d):
     def made(rows, ord_, quote, measure):
         return rows.select(key, F.lit(ord_).alias("ord"), quote.alias("quote"), F.lit(measure).alias("measure"))
 
-    part = F.substring("text", 20, 80)
+    part = F.expr(_PART)
     passage = d.table("benchmark").select((F.col("item_id")).alias("_item"), F.col("text").alias("_passage"))
     wide = F.concat(F.lit("«"), F.replace(part, F.lit(" "), F.lit("  ")), F.lit("»"))
     with_passage = docs.join(passage, F.col("doc_id") % 40 == F.col("_item"))
     return (
         made(docs, 1, wide, "misura").unionByName(made(with_passage, 2, F.col("_passage"), "altra"))
-        .unionByName(made(docs, 3, F.substring("text", 1, 10), "corta")).unionByName(made(docs, 4, part, " "))
-        .unionByName(made(docs, 5, F.lower(part), "Misura"))
+        .unionByName(made(docs, 3, F.substring(part, 1, 10), "corta")).unionByName(made(docs, 4, part, " "))
+        .unionByName(made(docs, 5, F.lower(part), "Misura")).unionByName(made(docs, 6, F.expr(_LONG), "lunga"))
     )
 
 
@@ -367,8 +372,7 @@ dictionary AS (SELECT word FROM (SELECT DISTINCT doc_id, word FROM words) GROUP
                  FROM sliding GROUP BY 1)
     SELECT doc_id, words, worst, 10 * worst >= 8 * least(words, 20) AS readable FROM per_text""")
 def readability_worst_window(d):
-    spoken = D.document_words(documents(d), "doc_id")
-    return D.readability(spoken, "doc_id", D.dictionary_of(documents(d), 20))
+    return D.readable_texts(documents(d), "doc_id", D.dictionary_of(documents(d), 20))
 
 
 # A conversation is a document and each of its turns a page.

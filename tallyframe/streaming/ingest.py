@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyframe import sinks
+from tallyframe.tables import KeyedTable
 
 
 def landed(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_trigger: int = 1000) -> DataFrame:
@@ -32,10 +32,11 @@ def since(stream: DataFrame, event_time: str, high_water: Column) -> DataFrame:
 
 
 def into_table(path: str, keys: list[str], order: list[Column] | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch writer: appends the rows whose key the table does not hold."""
+    """Batch writer: appends the rows whose key the table (see `tables.KeyedTable`) does not hold, looking for a batch's keys
+    only where they may be."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sinks.insert_if_absent(batch, path, keys, order)
+        KeyedTable(batch.sparkSession, path, batch.schema, keys).append(batch, order)
 
     return write
 

@@ -18,6 +18,7 @@ from tallyframe.sources import registry as RG
 from tallyframe.storage import fresh_folder
 from tallyframe.streaming import ingest as I
 from tallyframe.streaming import reports as RP
+from tallyframe.tables import KeyedTable, Ledger
 
 
 def d(text):
@@ -205,6 +206,43 @@ def test_insert_is_idempotent(spark):
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", 1), (None, 3)}
 
 
+def test_appends_open_only_the_folders_of_their_keys(spark):
+    schema = "k long, day date, v int"
+    table = KeyedTable(spark, fresh_folder(spark, "keyed"), schema, ["k", "day"])
+    many = spark.range(3000).selectExpr("id AS k", "IF(id % 7 = 0, NULL, date '2024-01-01') AS day", "cast(id AS int) AS v")
+    assert table.append(many) == 3000
+    few = spark.createDataFrame([(5, d("2024-01-01"), 9), (7, None, 9), (7, d("2024-01-01"), 9), (None, None, 1), (None, None, 2), (99999, None, 3)], schema)
+    touched = table.may_hold(few.withColumn("key_bucket", table.bucket()))
+    opened = touched.select(F.input_file_name()).distinct().count()
+    assert 0 < opened <= 6 and table.stored().select(F.input_file_name()).distinct().count() == 64
+    assert table.append(few, [F.col("v")]) == 3
+    assert table.append(few) == 0 and table.append(many.limit(0)) == 0
+    got = {tuple(r) for r in table.read().filter("k IS NULL OR k IN (5, 7, 99999)").collect()}
+    assert got == {(5, d("2024-01-01"), 5), (7, None, 7), (7, d("2024-01-01"), 9), (None, None, 1), (99999, None, 3)}
+    small = table.compact(fresh_folder(spark, "compact"))
+    assert small.read().count() == 3003 and len(small.stored().inputFiles()) <= 64
+    assert small.append(few) == 0
+
+
+def test_tables_become_visible_together(spark):
+    ledger = Ledger(spark, fresh_folder(spark, "ledger"), {"a": "x long", "b": "y string"})
+    assert ledger.read("a").count() == ledger.read("b").count() == 0
+    rows_a, rows_b = spark.range(3).toDF("x"), spark.range(2).selectExpr("cast(id AS string) AS y")
+
+    def broken():
+        raise RuntimeError("source closed")
+
+    with pytest.raises(RuntimeError):
+        ledger.write("one", {"a": lambda: rows_a, "b": broken})
+    with pytest.raises(ValueError):
+        ledger.commit(ledger.begin(), "one", ["a"])
+    assert ledger.read("a").count() == 0
+    ledger.write("one", {"a": lambda: rows_a, "b": lambda: rows_b})
+    ledger.write("two", {"b": lambda: rows_b, "a": lambda: rows_a.filter("x > 5")})
+    assert (ledger.read("a").count(), ledger.read("b").count()) == (3, 4)
+    assert {(r.block, tuple(r.tables)) for r in ledger.commits().collect()} == {("one", ("a", "b")), ("two", ("a", "b"))}
+
+
 def test_ballot_days_replace_themselves(spark):
     path = fresh_folder(spark, "t")
     df = spark.createDataFrame([("x", d("2024-01-01")), ("y", d("2024-01-02"))], "ballot_id string, ballot_date date")

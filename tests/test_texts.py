@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 from datetime import datetime
 
@@ -242,3 +243,47 @@ def test_retention_at_exactly_seven_days(spark):
     got = {r.id: (r.text, r.text_cleared_at) for r in once.collect()}
     assert got == {1: (None, datetime(2026, 10, 8)), 2: ("b", None), 3: (None, datetime(2026, 1, 1))}
     assert sorted(map(tuple, CO.retention(once, now).collect()), key=repr) == sorted(map(tuple, once.collect()), key=repr)
+
+
+def test_quotations_of_a_document_in_one_pass(spark):
+    rnd = random.Random(11)
+    words_ = [rnd.choice(["alfa", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(400)]
+    pars = [" ".join(words_[i : i + 20]) for i in range(0, 400, 20)]
+    whole = " ".join(pars)
+    starts = [sum(len(x) + 1 for x in pars[:k]) for k in range(len(pars))]
+    claims = []
+    for i in range(300):
+        at = rnd.randrange(len(whole) - 40)
+        size = rnd.choice([16, 30, 200])
+        claims.append(("doc", i, whole[at : at + size], f"m{i}"))
+    claims += [("doc", 900 + i, "omega " * 4 + str(i), "m") for i in range(5)] + [("other", 1, whole[:50], "m"), (None, 1, whole[:50], "m")]
+    frame = spark.createDataFrame(claims, "document_id string, ord int, quote string, measure string")
+    paragraphs = spark.createDataFrame([("doc", n, t) for n, t in enumerate(pars)] + [("second", 0, "nothing asked of it")], "document_id string, n int, text string")
+    before, D.QUOTES_A_PASS = D.QUOTES_A_PASS, 50  # several passes over one document
+    try:
+        got = {(r.document_id, r.ord): (r.outcome, r.para_from, r.para_to) for r in D.verify_quotes(frame, paragraphs).collect()}
+    finally:
+        D.QUOTES_A_PASS = before
+    assert len(got) == len(claims)
+    for doc, ord_, quote, _ in claims:
+        q = " ".join(quote.split())
+        at = whole.find(q) if doc == "doc" else -1
+        want = ("quote_not_found", None, None)
+        if at >= 0 and len(q) >= 15:
+            want = ("kept", max(k for k, s in enumerate(starts) if s <= at), max(k for k, s in enumerate(starts) if s < at + len(q)))
+        assert got[doc, ord_] == want, quote
+
+
+def test_readability_in_the_row_equals_the_join(spark, monkeypatch):
+    rnd = random.Random(2)
+    texts = [(i, " ".join(rnd.choice(["Parola", "città", "xyzzy", "di", "qwe", "perché"]) for _ in range(n))) for i, n in enumerate([0, 1, 5, 19, 20, 21, 60, 300])]
+    texts += [(90, None), (91, "a b c"), (92, "xyzzy " * 40)]
+    frame = spark.createDataFrame(texts, "doc_id int, text string")
+    for known in (["parola", "citta", "perche"], ["nessuna"], []):
+        dictionary = spark.createDataFrame([(w,) for w in known], "word string")
+        rows_ = sorted(map(tuple, D.readable_texts(frame, "doc_id", dictionary).collect()))
+        want = sorted(map(tuple, D.readability(D.document_words(frame, "doc_id"), "doc_id", dictionary).collect()))
+        assert rows_ == want
+        with monkeypatch.context() as m:
+            m.setattr(D, "KNOWN_WORDS", -1)
+            assert sorted(map(tuple, D.readable_texts(frame, "doc_id", dictionary).collect())) == want
