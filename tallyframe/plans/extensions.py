@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions.catalog import register_party_at_date
+from tallyframe import sinks
 from tallyframe.operators import asof as A
+from tallyframe.operators import bundle as BU
 from tallyframe.operators import identity as ID
+from tallyframe.operators import positions as P
+from tallyframe.operators import series as SE
 from tallyframe.operators import votes as V
+from tallyframe.plans import published as PB
+from tallyframe.plans import record as RE
+from tallyframe.plans import rules as RU
 from tallyframe.plans import texts as TX
 from tallyframe.plans.registry import QUERIES, query
+from tallyframe.storage import fresh_folder, written
 
 
 @query("party_at_date_sql", None)
@@ -119,3 +127,77 @@ def linked_identities(d):
       AND v.on_date >= m.valid_from AND (m.valid_to IS NULL OR v.on_date <= m.valid_to))""")
 def votes_outside_membership(d):
     return ID.votes_outside_membership(d.votes, d.shared("memberships")).select("ballot_id", "person_id", "expression")
+
+
+# ---- a whole release ------------------------------------------------------------------------------------------------
+
+
+def sections(d):
+    """All sections of a release from the tables; the votes are counted once for the four that start from them."""
+    party = lambda c: F.concat(F.lit("party-"), c.cast("string"))
+    d.group_counts = written(d.group_counts, "group-counts")
+    people = V.tracked_people(d.shared("persons")).select(F.col("slug").alias("id"), F.lit("person").alias("kind"), party(F.col("person_id") % 5).alias("party_id"))
+    parties = d.table("region").select(party(F.col("r_regionkey")).alias("id"), F.lit("party").alias("kind"), F.lit(None).cast("string").alias("party_id"))
+    metrics = TX.programme_metrics(d)
+    return {
+        "subjects": parties.unionByName(people),
+        "questions": d.shared("statements").select(F.col("statement_id").alias("id"), "theme", F.col("ballot_date").alias("date"), "chamber"),
+        "positions": P.position_of(RU.evidence(d)),
+        "series": RE.trend(d).withColumn("party_id", party(F.col("party_id"))),
+        "seats": RU.seats(d),
+        "programmes": metrics.withColumn("party_id", party(F.col("document_id") % 5)),
+        "corrections": PB.corrections(d),
+    }
+
+
+BUNDLE_SQL = f"""
+{RU.POSITIONS_SQL}, {RE.TREND_SQL}, {RU.SEATS_SQL}, {TX.PROMISES_SQL},
+subjects AS (SELECT 'party-' || r_regionkey::varchar AS id, 'party' AS kind, NULL::varchar AS party_id FROM region
+  UNION ALL SELECT slug, 'person', 'party-' || (person_id % 5)::varchar FROM persons WHERE slug LIKE 'person-%'),
+metrics AS (SELECT DISTINCT party_id AS filed_by, 'party-' || (document_id % 5)::varchar AS party_id, document_id, coalesce(promises, 0) AS promises, coalesce(precise, 0) AS precise
+  FROM programmes LEFT JOIN (SELECT document_id, count(*) AS promises, count(*) FILTER (precise) AS precise FROM precise GROUP BY 1) USING (document_id)
+  WHERE election = (SELECT max(election) FROM programmes))"""
+
+
+@query("release", f"""
+    WITH {BUNDLE_SQL}
+    SELECT 'subjects' AS section, count(*) AS n_rows, '2024.1' AS version FROM subjects UNION ALL SELECT 'questions', count(*), '2024.1' FROM statements
+    UNION ALL SELECT 'positions', count(*), '2024.1' FROM positions WHERE status <> 'not_documented' UNION ALL SELECT 'series', count(*), '2024.1' FROM series
+    UNION ALL SELECT 'seats', count(*), '2024.1' FROM seat_counts UNION ALL SELECT 'programmes', count(*), '2024.1' FROM metrics
+    UNION ALL SELECT 'corrections', count(*), '2024.1' FROM events""")
+def release(d):
+    """The manifest of a release made of all sections, without its fingerprints (see `manifest`)."""
+    made = BU.publish(sections(d), fresh_folder(d.spark, "release"), "2024.1", {"positions": True}, TX.PROGRAMME_THEMES)
+    return made.select("section", "n_rows", "version")
+
+
+@query("release_violations", f"""
+    WITH {BUNDLE_SQL},
+    left_ AS (SELECT * FROM subjects WHERE id NOT IN ('party-3', 'person-11') UNION ALL SELECT * FROM subjects WHERE id = 'person-22')
+    SELECT 'repeated_subject' AS "check", id AS key, count(*)::varchar AS detail FROM left_ GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 'party_of_subject', party_id, count(*)::varchar FROM left_ WHERE party_id IS NOT NULL AND party_id NOT IN (SELECT id FROM left_) GROUP BY 2
+    UNION ALL SELECT 'subject_of_position', subject_id, count(*)::varchar FROM positions WHERE status <> 'not_documented' AND subject_id NOT IN (SELECT id FROM left_) GROUP BY 2
+    UNION ALL SELECT 'party_of_series', 'party-' || party_id::varchar, count(*)::varchar FROM series WHERE 'party-' || party_id::varchar NOT IN (SELECT id FROM left_) GROUP BY 2
+    UNION ALL SELECT 'party_of_seats', holder, count(*)::varchar FROM seat_counts WHERE holder NOT IN ('others', 'total') AND holder NOT IN (SELECT id FROM left_) GROUP BY 2
+    UNION ALL SELECT 'party_of_programme', party_id, count(*)::varchar FROM metrics WHERE party_id NOT IN (SELECT id FROM left_) GROUP BY 2
+    UNION ALL SELECT 'precise_over_promises', party_id || '|' || document_id::varchar, (precise + 1)::varchar FROM metrics WHERE document_id % 10 = 4 AND precise + 1 > promises
+    UNION ALL SELECT 'correction_without_reason', 'ballot:' || event_id::varchar, '' FROM events WHERE event_type = 'error'""")
+def release_violations(d):
+    """The same release with a party and a person taken out, a person twice, precise promises counted too high, and corrections
+    without a reason."""
+    given = sections(d)
+    subjects = given["subjects"]
+    given["subjects"] = subjects.filter(~F.col("id").isin("party-3", "person-11")).unionByName(subjects.filter("id = 'person-22'"))
+    given["programmes"] = given["programmes"].withColumn("precise", F.col("precise") + F.when(F.col("document_id") % 10 == 4, 1).otherwise(0))
+    given["corrections"] = given["corrections"].withColumn("reason", F.when(F.col("before") == "error", "").otherwise(F.col("reason")))
+    return BU.violations(given, {"positions": True}, TX.PROGRAMME_THEMES)
+
+
+def _fingerprint_sql(name: str, table: str, **columns: str) -> str:
+    """The fingerprint of a table: each row as JSON, hashed, its hash read as three numbers, the numbers summed."""
+    row = ", ".join(f"{c} := {e}" for c, e in sorted(columns.items()))
+    sums = " || '|' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 10 * i}, 10))::bigint), 0)::varchar" for i in range(3))
+    return f"SELECT '{name}' AS section, count(*) AS n_rows, sha256({sums}) AS fingerprint FROM (SELECT sha256(to_json(struct_pack({row}))::varchar) AS h FROM {table})"
+
+
+QUERIES["manifest"] = type(QUERIES["manifest"])(QUERIES["manifest"].build, None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +81,11 @@ def manifest(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_release(sections: dict[str, DataFrame], folder: str, version: str) -> DataFrame:
-    """Writes each section as JSON lines under folder/version, then the manifest computed from what was written."""
+def write_release(
+    sections: dict[str, DataFrame], folder: str, version: str, check: Callable[[dict[str, DataFrame]], None] | None = None
+) -> DataFrame:
+    """Writes each section as JSON lines under folder/version, then the manifest computed from what was written. `check` sees
+    the written sections first and may raise, which leaves the release without a manifest."""
     if not sections:
         raise ValueError("a release needs at least one section")
     spark = next(iter(sections.values())).sparkSession
@@ -88,6 +93,8 @@ def write_release(sections: dict[str, DataFrame], folder: str, version: str) ->
     for name, df in sections.items():
         df.write.mode("errorifexists").json(f"{target}/{name}")
     written = {name: spark.read.schema(df.schema).json(f"{target}/{name}") for name, df in sections.items()}
+    if check:
+        check(written)
     rows = manifest(written).withColumn("version", F.lit(version))
     rows.write.mode("errorifexists").json(f"{target}/manifest")
     return spark.read.schema(rows.schema).json(f"{target}/manifest")
