@@ -416,8 +416,3 @@ def reused_answers(d):
         "input_sha", F.lit("m1").alias("model"), F.lit("p1").alias("prompt"), F.col("lang").alias("answer")
     )
     return sinks.reused_answers(docs.drop("lang"), done, "m1", "p1").select("doc_id", "answer")
-
-
-@query("manifest")
-def manifest(d):
-    return sinks.manifest({"series": RE.trend(d), "seats": RU.seats(d), "programmes": TX.programme_metrics(d)})

@@ -10,7 +10,6 @@ from tallyframe.operators import asof as A
 from tallyframe.operators import bundle as BU
 from tallyframe.operators import identity as ID
 from tallyframe.operators import positions as P
-from tallyframe.operators import series as SE
 from tallyframe.operators import votes as V
 from tallyframe.plans import published as PB
 from tallyframe.plans import record as RE
@@ -200,4 +199,19 @@ def _fingerprint_sql(name: str, table: str, **columns: str) -> str:
     return f"SELECT '{name}' AS section, count(*) AS n_rows, sha256({sums}) AS fingerprint FROM (SELECT sha256(to_json(struct_pack({row}))::varchar) AS h FROM {table})"
 
 
-QUERIES["manifest"] = type(QUERIES["manifest"])(QUERIES["manifest"].build, None)
+_OWN = {c: c for c in ("n", "d", "metric", "party_id", "in_government")}
+MANIFEST_SQL = f"""
+    WITH {RE.TREND_SQL}, {RU.SEATS_SQL}, {TX.PROMISES_SQL},
+    counts AS (SELECT document_id, count(*) AS promises, count(*) FILTER (precise) AS precise, {", ".join(f"count(*) FILTER (theme = '{t}') AS {t}" for t in TX.PROGRAMME_THEMES)}
+      FROM precise GROUP BY 1),
+    metrics AS (SELECT DISTINCT party_id, document_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("promises", "precise", *TX.PROGRAMME_THEMES))}
+      FROM programmes LEFT JOIN counts USING (document_id) WHERE election = (SELECT max(election) FROM programmes))
+    {_fingerprint_sql("series", "series", quarter="quarter::varchar", **_OWN)}
+    UNION ALL {_fingerprint_sql("seats", "seat_counts", chamber="chamber", holder="holder", seats="seats")}
+    UNION ALL {_fingerprint_sql("programmes", "metrics", **{c: c for c in ("party_id", "document_id", "promises", "precise", *TX.PROGRAMME_THEMES)})}"""
+
+
+@query("manifest", MANIFEST_SQL)
+def manifest(d):
+    """Row counts and fingerprints of three sections, each over its whole rows."""
+    return sinks.manifest({"series": RE.trend(d), "seats": RU.seats(d), "programmes": TX.programme_metrics(d)})

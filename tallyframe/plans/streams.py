@@ -50,6 +50,31 @@ def stream_resume(d):
     return KeyedTable(d.spark, f"{target}/table", "event_id long, user_id long", ["event_id"]).read()
 
 
+@query("stream_blocks", "SELECT event_id, user_id, event_type FROM events")
+def stream_blocks(d):
+    """Events delivered in eight blocks. The source breaks off in the third, after its rows are stored but before the block is
+    done, and once more in the fifth, before anything is stored; two restarts finish the work. Every row is there once."""
+    target = fresh_folder(d.spark, "stream-blocks")
+    I.land_blocks(d.table("events").select("event_id", "user_id", "event_type"), f"{target}/landed", "event_id", 8)
+    table = I.into_table(f"{target}/table", ["event_id"])
+    breaks = {2, 4}
+
+    def write(batch, batch_id):
+        if batch_id == 4 and batch_id in breaks:
+            breaks.discard(batch_id)
+            raise ConnectionError("blocked by the source")
+        table(batch, batch_id)
+        if batch_id in breaks:
+            breaks.discard(batch_id)
+            raise ConnectionError("blocked by the source")
+
+    rows = I.landed(d.spark, f"{target}/landed", "event_id long, user_id long, event_type string", "*.parquet", files_per_trigger=1)
+    for _ in range(3):
+        if I.run_blocks(rows, write, f"{target}/checkpoint") is None:
+            break
+    return KeyedTable(d.spark, f"{target}/table", "event_id long, user_id long, event_type string", ["event_id"]).read()
+
+
 # Each sender's reports in order, then all that passed in order, one row a step: how many were accepted in the span before.
 REPORTS_SQL = """
 reports AS (SELECT event_id AS report_id, ts AS created_at, epoch_us(ts) // 1000000 AS second, 'u' || user_id AS origin, 'reported: ' || props AS text,

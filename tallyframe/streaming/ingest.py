@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +21,25 @@ def landed(spark: SparkSession, folder: str, schema, pattern: str | None = None,
     return reader.parquet(folder)
 
 
+def land_blocks(rows: DataFrame, folder: str, order: str, blocks: int) -> None:
+    """Lands rows as block files, each a range of `order`: what a source delivers block by block."""
+    rows.repartitionByRange(blocks, order).write.parquet(folder)
+
+
+def run_blocks(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> str | None:
+    """Works off the blocks that have landed, one micro-batch each, until all are done or one fails.
+
+    Returns why it stopped, or None. Blocks that were done stay done; the next call with the same checkpoint begins with the
+    one that failed, whose rows may have been written already: the writer must take a row once (see `into_table`).
+    """
+    query = run(stream, write, checkpoint)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as stopped:
+        return str(stopped)
+    return None
+
+
 def once_within(stream: DataFrame, keys: list[str], event_time: str, delay: str) -> DataFrame:
     """Drops repeats of a key that arrive within the delay. State older than the delay is forgotten; the table's own
     anti join catches later repeats."""

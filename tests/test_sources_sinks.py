@@ -359,3 +359,53 @@ def test_limits_over_several_batches_and_a_replay(spark):
     told = {r.report_id: r.verdict for r in spark.read.parquet(f"{out}/verdicts").collect()}
     assert told == {m[0]: "accepted" if m[0] in want else "day_limit" if m[0] in first else "sender_limit" for m in made}
     assert 0 < len(want) < len(first) < len(made)
+
+
+def test_blocks_resume_where_they_stopped(spark):
+    folder = fresh_folder(spark, "blocks")
+    I.land_blocks(spark.range(100).toDF("x"), f"{folder}/landed", "x", 5)
+    rows_ = I.landed(spark, f"{folder}/landed", "x long", "*.parquet", files_per_trigger=1)
+    table, seen, fail = I.into_table(f"{folder}/table", ["x"]), [], [True]
+
+    def write(batch, batch_id):
+        seen.append(batch_id)
+        table(batch, batch_id)
+        if batch_id == 3 and fail:
+            fail.clear()
+            raise ConnectionError("gone")
+
+    assert "gone" in I.run_blocks(rows_, write, f"{folder}/c")
+    assert seen == [0, 1, 2, 3]
+    assert I.run_blocks(rows_, write, f"{folder}/c") is None
+    assert seen == [0, 1, 2, 3, 3, 4]
+    assert sorted(r.x for r in KeyedTable(spark, f"{folder}/table", "x long", ["x"]).read().collect()) == list(range(100))
+
+
+def test_a_broken_release_is_not_declared(spark):
+    from tallyframe.operators import bundle as BU
+
+    folder = fresh_folder(spark, "bundle")
+    made = {
+        "subjects": spark.createDataFrame([("p1", "party", None), ("m1", "person", "p1")], "id string, kind string, party_id string"),
+        "questions": spark.createDataFrame([("q1",)], "id string"),
+        "positions": spark.createDataFrame([("m1", "q1")], "subject_id string, statement_id string"),
+        "series": spark.createDataFrame([("p1", "m", d("2024-01-01"), 1, 2)], "party_id string, metric string, quarter date, n long, d long"),
+        "seats": spark.createDataFrame([("lower", "p1", 3), ("lower", "total", 3)], "chamber string, holder string, seats long"),
+        "programmes": spark.createDataFrame([("p1", 1, 4, 2, 3)], "party_id string, document_id long, promises long, precise long, t0 long"),
+        "corrections": spark.createDataFrame([("x", "typo")], "object string, reason string"),
+    }
+    assert BU.publish(made, folder, "v1", {"positions": True}, ["t0"]).count() == 7
+    bad = {
+        "subjects": ("party_of_subject", made["subjects"].filter("id = 'm1'")), "questions": ("section_without_rows", made["questions"].limit(0)),
+        "positions": ("subject_of_position", spark.createDataFrame([("zz", "q1")], "subject_id string, statement_id string")),
+        "seats": ("seats_vs_total", made["seats"].withColumn("seats", F.when(F.col("holder") == "total", 9).otherwise(3))),
+        "programmes": ("themes_over_promises", made["programmes"].withColumn("t0", F.lit(5))), "corrections": ("correction_without_reason", made["corrections"].withColumn("reason", F.lit(None).cast("string"))),
+    }
+    for i, (name, (check, rows_)) in enumerate(bad.items()):
+        with pytest.raises(BU.BrokenRelease):
+            BU.publish({**made, name: rows_}, folder, f"bad{i}", {"positions": True}, ["t0"])
+        assert check in {r.check for r in BU.violations({**made, name: rows_}, {"positions": True}, ["t0"]).collect()}
+        with pytest.raises(Exception):
+            spark.read.json(f"{folder}/bad{i}/manifest").count()
+    with pytest.raises(BU.BrokenRelease):
+        BU.publish({k: v for k, v in made.items() if k != "seats"}, folder, "short", {}, ["t0"])
