@@ -6,7 +6,9 @@ are split into the suffixes whose next word is less than, equal to and greater t
 the word after it. The size of an equal partition is the count of the phrase its suffixes begin with; a partition smaller
 than the least count is abandoned, however much of it is still unsorted.
 
-Equal suffixes of a task are one with a weight before they move. Buckets are measured before they are sorted: one that is
+Words are counted first. A phrase cannot be more frequent than its words, so a suffix ends before a word below the least
+count; tasks know such words by a table of bits of fixed size, which lets more of them pass the more words there are, and
+never stops another. Equal suffixes of a task are one with a weight before they move. Buckets are measured before they are sorted: one that is
 too large is dealt again by the same leading words, and if a hot beginning keeps it large, by all words, where the sums of
 its parts give the counts of the shorter phrases. Words are compared by 64-bit hashes that hold the language.
 """
@@ -23,15 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm import words as W
-from tallyframe.llm.common import total, written
+from tallyframe.llm.common import small_batches, total, written
 from tallyframe.llm.interpolation import packed, unpacked
 from tallyframe.llm.registry import query
 
 READ_BYTES = 1 << 20  # texts cut into words together
-CHUNK = 3 << 19  # suffixes brought together before they move
-BUCKET = 1 << 20  # suffixes sorted together
+CHUNK = 1 << 20  # suffixes brought together before they move
+BUCKET = 3 << 18  # suffixes sorted together
 BUCKETS = 4096  # of the first deal
 LEADING = 2  # words that route a suffix
+SIEVE_BITS = 24  # a word is looked up in a table of 2^SIEVE_BITS bits
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"] + [*range(0x0A, 0x0E)]] = True
@@ -54,30 +57,39 @@ class Mine:
 # ---- suffixes ------------------------------------------------------------------------------------------------------
 
 
-def suffixes(batch: pa.RecordBatch, longest: int) -> tuple[np.ndarray, pa.Table]:
-    """A row of word keys for each suffix of two words or more, 0 beyond its piece; and (key, lang, word, times) of each
-    different word."""
-    data, offsets = W.text_bytes(batch.column("text"))
-    data = W.FOLD[data]
-    w = W.Words(data, offsets, _INSIDE, False)
-    n = len(w.hash)
-    lang = batch.column("lang_hash").to_numpy(zero_copy_only=False).view(np.uint64)
-    own = W.mixed(w.hash ^ lang[w.doc]) | np.uint64(1)
-    piece = np.cumsum(_BREAK[data])[w.start] if n else np.empty(0, np.int64)
-    keys = np.zeros((n, longest), np.uint64)
-    keys[:, 0] = own
-    going = np.ones(n, bool)
-    for d in range(1, min(longest, max(n, 1))):
-        going[n - d :] = False
-        going[: n - d] &= (piece[d:] == piece[: n - d]) & (w.doc[d:] == w.doc[: n - d])
-        at = np.flatnonzero(going)
-        keys[at, d] = own[at + d]
-    names, first, times = np.unique(own, return_index=True, return_counts=True)
-    text = data.tobytes()
-    word = [text[i:j] for i, j in zip(w.start[first].tolist(), (w.start[first] + w.length[first]).tolist(), strict=True)]
-    lang = batch.column("lang").take(pa.array(w.doc[first], pa.int64()))
-    table = pa.table([pa.array(names.view(np.int64)), lang, pa.array(word, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], _WORD)
-    return keys[keys[:, 1] != 0], table
+class Cut:
+    """The words of a batch of texts with their keys, texts and pieces."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        data, offsets = W.text_bytes(batch.column("text"))
+        self.data = W.FOLD[data]
+        self.words = W.Words(self.data, offsets, _INSIDE, False)
+        lang = batch.column("lang_hash").to_numpy(zero_copy_only=False).view(np.uint64)
+        self.keys = W.mixed(self.words.hash ^ lang[self.words.doc]) | np.uint64(1)
+        self.batch = batch
+
+    def suffixes(self, longest: int, sieve: np.ndarray) -> np.ndarray:
+        """A row of word keys for each suffix of two words or more, 0 beyond its end."""
+        n = len(self.keys)
+        piece = np.cumsum(_BREAK[self.data])[self.words.start] if n else np.empty(0, np.int64)
+        going = sieve[self.keys >> np.uint64(64 - SIEVE_BITS)]
+        may = going.copy()
+        keys = np.zeros((n, longest), np.uint64)
+        keys[:, 0] = self.keys
+        for d in range(1, min(longest, max(n, 1))):
+            going[n - d :] = False
+            going[: n - d] &= (piece[d:] == piece[: n - d]) & (self.words.doc[d:] == self.words.doc[: n - d]) & may[d:]
+            at = np.flatnonzero(going)
+            keys[at, d] = self.keys[at + d]
+        return keys[keys[:, 1] != 0]
+
+    def vocabulary(self) -> pa.Table:
+        """(key, lang, word, times) of each different word."""
+        names, first, times = np.unique(self.keys, return_index=True, return_counts=True)
+        text, start, end = self.data.tobytes(), self.words.start[first], self.words.start[first] + self.words.length[first]
+        word = pa.array([text[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())
+        lang = self.batch.column("lang").take(pa.array(self.words.doc[first], pa.int64()))
+        return pa.table([pa.array(names.view(np.int64)), lang, word, pa.array(times, pa.int64())], ["key", "lang", "word", "times"])
 
 
 def routed(keys: np.ndarray, words: int, parts: int, salt: int) -> np.ndarray:
@@ -88,39 +100,47 @@ def routed(keys: np.ndarray, words: int, parts: int, salt: int) -> np.ndarray:
     return ((value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def frames(keys: np.ndarray, weights: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+def frames(keys: np.ndarray, weights: np.ndarray, words: int, parts: int, salt: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
     """(part, suffixes, names, places, weights) of each part: equal suffixes are one, and words are places in a dictionary."""
+    if not len(keys):
+        return
     value = np.zeros(len(keys), np.uint64)
     for d in range(keys.shape[1]):
         value = W.mixed(value * _GOLD + keys[:, d])
-    order = np.argsort((part.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
-    keys, weights, part = keys[order], weights[order], part[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (part[1:] != part[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)
-    heads = np.flatnonzero(new)
-    weights = np.add.reduceat(weights, heads) if len(heads) else weights
-    keys, part = keys[heads], part[heads]
-    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
+    value >>= np.uint64(20)
+    value |= routed(keys, words, parts, salt).astype(np.uint64) << np.uint64(44)
+    order = np.argsort(value)
+    part = (value[order] >> np.uint64(44)).astype(np.int32)
+    del value
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for i, j in zip(edges, np.append(edges[1:], len(part)), strict=True):
-        names, places = np.unique(keys[i:j].T.ravel(), return_inverse=True)
+        own, weight = keys[order[i:j]], weights[order[i:j]]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]).any(axis=1)
+        heads = np.flatnonzero(new)
+        own, weight = own[heads], np.add.reduceat(weight, heads)
+        names, places = np.unique(own.T.ravel(), return_inverse=True)
         places = places.astype(np.uint32).reshape(keys.shape[1], -1)
-        order = np.lexsort(places[1::-1])  # equal beginnings together: smaller when packed
-        yield int(part[i]), int(j - i), packed(np.diff(names, prepend=np.uint64(0))), packed(places[:, order].ravel()), packed(weights[i:j][order])
+        sort = np.argsort(places[0].astype(np.uint64) << np.uint64(32) | places[1])  # equal beginnings together: smaller when packed
+        yield int(part[i]), len(own), packed(np.diff(names, prepend=np.uint64(0))), packed(places[:, sort].ravel()), packed(weight[sort])
 
 
 def unframed(batch: pa.RecordBatch | pa.Table, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes and weights of some frames."""
-    keys, weights = [np.empty((0, longest), np.uint64)], [np.empty(0, np.int64)]
-    for names, places, weight in zip(*[batch.column(c).to_pylist() for c in ("names", "places", "weights")], strict=True):
+    sizes = batch.column("n").to_pylist()
+    keys, weights = np.empty((sum(sizes), longest), np.uint64), np.empty(sum(sizes), np.int64)
+    at = 0
+    for i, n in enumerate(sizes):
+        names, places, weight = (batch.column(c)[i].as_py() for c in ("names", "places", "weights"))
         names = np.cumsum(unpacked(names, np.uint64), dtype=np.uint64)
-        keys.append(names[unpacked(places, np.uint32)].reshape(longest, -1).T)
-        weights.append(unpacked(weight, np.int64))
-    return np.concatenate(keys), np.concatenate(weights)
+        keys[at : at + n] = names[unpacked(places, np.uint32)].reshape(longest, n).T
+        weights[at : at + n] = unpacked(weight, np.int64)
+        at += n
+    return keys, weights
 
 
 FRAME = "bucket long, n long, names binary, places binary, weights binary"
-_WORD = ["key", "lang", "word", "times"]
-ROWS = f"key long, lang string, word string, times long, {FRAME}"
+WORD = "key long, lang string, word string, times long"
 _FRAME = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("names", pa.binary()), ("places", pa.binary()), ("weights", pa.binary())])
 
 
@@ -128,39 +148,71 @@ def _framed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _FRAME, strict=True)], schema=_FRAME)
 
 
-def _chunks(longest: int, parts: int):
-    """Rows of two kinds: each word of a chunk, and the frames of its suffixes."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of some texts at a time, each once."""
 
-    def rows(keys: list[np.ndarray], words: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        table = pa.concat_tables(words).combine_chunks()
+    def together(held: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(held).combine_chunks()
         names, first, which = np.unique(table.column("key").to_numpy(), return_index=True, return_inverse=True)
         times = np.bincount(which, weights=table.column("times").to_numpy(), minlength=len(names)).astype(np.int64)
-        table = table.take(pa.array(first))
-        own = [pa.array(names), table.column("lang").combine_chunks(), table.column("word").combine_chunks(), pa.array(times)]
-        yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(names), f.type) for f in _FRAME]], _ROWS)
-        joined = np.concatenate(keys)
-        made = list(frames(joined, np.ones(len(joined), np.int64), routed(joined, LEADING, parts, 1)))
+        table = table.take(pa.array(first)).set_column(3, "times", pa.array(times))
+        return table.combine_chunks().to_batches()[0]
+
+    held: list[pa.Table] = []
+    for batch in W.chunks(batches, "text", READ_BYTES):
+        found = Cut(batch).vocabulary()
+        if len(found):
+            held.append(found)
+        if sum(map(len, held)) >= CHUNK // 3:
+            yield together(held)
+            held = []
+            W.trim()
+    if held:
+        yield together(held)
+    W.trim()
+
+
+def _chunks(longest: int, parts: int, bits: bytes):
+    """The frames of the suffixes of some texts at a time."""
+    sieve = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+
+    def joined(keys: list[np.ndarray]) -> np.ndarray:
+        n = sum(map(len, keys))
+        out = np.empty((n, longest), np.uint64)
+        while keys:
+            part = keys.pop()
+            n -= len(part)
+            out[n : n + len(part)] = part
+        return out
+
+    def rows(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        n = sum(map(len, keys))
+        made = list(frames(joined(keys), np.ones(n, np.int64), LEADING, parts, 1))
         if made:
-            empty = [pa.nulls(len(made), t) for t in (pa.int64(), pa.string(), pa.string(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*empty, *_framed(made).columns], _ROWS)
+            yield _framed(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
-        words: list[pa.Table] = []
         for batch in W.chunks(batches, "text", READ_BYTES):
-            k, w = suffixes(batch, longest)
-            keys.append(k)
-            words.append(w)
+            keys.append(Cut(batch).suffixes(longest, sieve))
             if sum(map(len, keys)) >= CHUNK:
-                yield from rows(keys, words)
-                keys, words = [], []
-        if words:
-            yield from rows(keys, words)
+                yield from rows(keys)
+                W.trim()
+        yield from rows(keys)
+        W.trim()
 
     return run
 
 
-_ROWS = [c.split(" ")[0] for c in ROWS.split(", ")]
+def _sieve(often: DataFrame) -> bytes:
+    """The bits of the words' keys: 2^SIEVE_BITS of them, whatever the number of words."""
+    bit = F.shiftrightunsigned("key", 64 - SIEVE_BITS) + 1
+    parts = often.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out, size = bytearray(1 << (SIEVE_BITS - 3)), 1 << 12
+    for r in parts:
+        at = (r["part"] - 1) * size
+        out[at : at + size] = r["bits"]
+    return bytes(out)
 
 
 def _again(longest: int, words: int):
@@ -168,7 +220,7 @@ def _again(longest: int, words: int):
 
     def deal(held: list[pa.RecordBatch], bucket: int, parts: int) -> pa.RecordBatch:
         keys, weights = unframed(pa.Table.from_batches(held), longest)
-        return _framed([((bucket + 1) * 8192 + 1 + r[0], *r[1:]) for r in frames(keys, weights, routed(keys, words, parts, words + bucket % 1009 + 2))])
+        return _framed([((bucket + 1) * 8192 + 1 + r[0], *r[1:]) for r in frames(keys, weights, words, parts, words + bucket % 1009 + 2)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -197,16 +249,18 @@ def quicksorted(keys: np.ndarray, weights: np.ndarray, least: int, whole: int) -
     All partitions are split at once, each by the median of three of its suffixes.
     """
     longest = keys.shape[1]
-    row = np.arange(len(keys))
-    size, depth = np.array([len(keys)]), np.array([0])
+    row = np.arange(len(keys), dtype=np.int32)
+    size, depth = np.array([len(keys)]), np.array([0], np.int8)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(row):
         start = np.cumsum(size) - size
-        of = np.repeat(np.arange(len(size)), size)
+        of = np.repeat(np.arange(len(size), dtype=np.int32), size)
         value = keys[row, depth[of]]
         three = np.sort(np.stack([value[start], value[start + size // 2], value[start + size - 1]]), axis=0)
         pivot = three[1]
-        side = (value > pivot[of]) * np.int8(2) + (value == pivot[of])
+        split = pivot[of]
+        side = (value > split) * np.int8(2) + (value == split)
+        del split, value
         counts = np.bincount(of * 3 + side, minlength=3 * len(size))
         offset = np.cumsum(counts) - counts
         moved = np.empty_like(row)
@@ -218,7 +272,7 @@ def quicksorted(keys: np.ndarray, weights: np.ndarray, least: int, whole: int) -
         weight = np.add.reduceat(weights[moved], offset[some])
         parent, equal = some // 3, some % 3 == 1
         ends = equal & (pivot[parent] == 0)
-        deep = depth[parent] + equal
+        deep = (depth[parent] + equal).astype(np.int8)
         phrase = equal & ~ends & (deep >= 2) & ((weight >= least) | (deep < whole))
         found.append((moved[offset[some[phrase]]], deep[phrase], weight[phrase]))
         # all phrases yet to come out of a partition have deep + 1 words or more, and two at least
@@ -232,9 +286,11 @@ def _counted(longest: int, least: int):
     def run(table: pa.Table) -> pa.Table:
         keys, weights = unframed(table, longest)
         row, words, weight = quicksorted(keys, weights, least, table.column("whole")[0].as_py())
+        del weights
         ends = np.cumsum(words)
         flat = keys[np.repeat(row, words), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - words, words)]
         split = pa.array(np.append(0, ends).astype(np.int32))
+        W.trim()
         return pa.table({"key": pa.ListArray.from_arrays(split, pa.array(flat.view(np.int64))), "a": pa.array(weight, pa.int64())})
 
     return run
@@ -245,9 +301,10 @@ def counts(docs: DataFrame, mine: Mine) -> tuple[DataFrame, DataFrame]:
     the key being its words' keys; and (key, lang, word, times) of every word."""
     size = total(docs, F.sum(F.octet_length("text")).alias("n"))["n"] or 0
     parts = min(BUCKETS, max(1, math.ceil(size / 6 / BUCKET)))
-    chunks = written(docs.mapInArrow(_chunks(mine.longest, parts), ROWS), "suffixes")
-    words = chunks.filter("bucket IS NULL").groupBy("key", "lang", "word").agg(F.sum("times").alias("times"))
-    rest = chunks.filter("bucket IS NOT NULL").select("bucket", "n", "names", "places", "weights")
+    words = docs.mapInArrow(_words, WORD).groupBy("key", "lang", "word").agg(F.sum("times").alias("times"))
+    words = written(words, "words")
+    bits = _sieve(words.filter(F.col("times") >= mine.least))
+    rest = written(docs.select("lang_hash", "text").mapInArrow(_chunks(mine.longest, parts, bits), FRAME), "suffixes")
     ready = []
     for leading in (LEADING, mine.longest):
         sizes = rest.groupBy("bucket").agg(F.sum("n").alias("all"))
@@ -268,7 +325,7 @@ def counts(docs: DataFrame, mine: Mine) -> tuple[DataFrame, DataFrame]:
         together = together.unionByName(more)
     found = together.groupBy("bucket").applyInArrow(_counted(mine.longest, mine.least), "key array<long>, a long")
     phrases = found.groupBy("key").agg(F.sum("a").alias("a")).filter(F.col("a") >= mine.least)
-    return written(phrases, "phrases"), written(words, "words")
+    return written(phrases, "phrases"), words
 
 
 # ---- scores --------------------------------------------------------------------------------------------------------
@@ -283,7 +340,8 @@ def collocations(docs: DataFrame, mine: Mine = Mine(), text: str = "text", lang:
     """
     named = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     rows = docs.select(named.alias("lang"), F.xxhash64(named).alias("lang_hash"), F.col(text).cast("string").alias("text")).filter("text != ''")
-    phrases, words = counts(rows, mine)
+    with small_batches(docs.sparkSession):
+        phrases, words = counts(rows, mine)
     n = words.groupBy("lang").agg(F.sum("times").alias("n"))
     often = words.filter(F.col("times") >= mine.least)
     sizes = phrases.unionByName(often.select(F.array("key").alias("key"), F.col("times").alias("a")))

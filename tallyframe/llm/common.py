@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import let
 from tallyframe.storage import written
 
-__all__ = ["SPACE", "folded", "free_name", "let", "offsets", "raw_words", "total", "written"]
+__all__ = ["SPACE", "folded", "free_name", "let", "offsets", "raw_words", "small_batches", "total", "written"]
 
 SPACE = r"[\x20\x09-\x0D]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,3 +49,16 @@ def offsets(sums: DataFrame, group: str, bucket: str, value: str, alias: str) ->
 def total(df: DataFrame, *columns: Column):
     """One row of aggregates of the whole frame."""
     return df.agg(*columns).first()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """While it lasts, Python is sent so many rows at a time: rows that hold whole texts are too large for the usual number,
+    which both sides keep in memory at once. The session's own setting is put back afterwards."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
