@@ -15,7 +15,7 @@ import check_queries
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 ON_DOCUMENTS = [
     "op2_host_rules", "op3_sharding", "op4_mixing", "op5_licenses", "op7_line_spread", "op8_jaccard_join",
-    "op9_decontamination", "op10_shared_spans", "op11_collocations", "op13_personal_data",
+    "op9_decontamination", "op10_shared_spans", "op12_hard_negatives", "op11_collocations", "op13_personal_data",
 ]
 WITHOUT_SQL = ["op1_transcripts", "op6_interpolation"]
 VOCABULARY = ["ba", "Ka", "lo", "été", "mi9", "nu", "po", "ruß", "sa", "tö", "vi", "wo"]
@@ -69,7 +69,7 @@ def awkward() -> list[tuple]:
 def tables(folder, rows: list[tuple], items: list[tuple], said: list[tuple]) -> str:
     ids, texts, sources = ([r[k] for r in rows] for k in range(3))
     documents = pa.table({
-        "doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(["xx"] * len(rows), pa.string()),
+        "doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array([(None, "und", "xx", "yy", "")[i % 5] for i in range(len(rows))], pa.string()),
         "source": pa.array(sources, pa.string()), "n_chars": pa.array([0] * len(rows), pa.int64()),
         # names that the operators might use for themselves
         **{c: pa.array([c] * len(rows), pa.string()) for c in ("measure", "verdict", "set_key", "hits", "times", "n_words", "size", "shard", "host_verdict", "kept")},
@@ -80,9 +80,26 @@ def tables(folder, rows: list[tuple], items: list[tuple], said: list[tuple]) ->
         "conv_id": pa.array([x[0] for x in said], pa.int64()), "turn": pa.array([x[1] for x in said], pa.int64()),
         "role": pa.array([x[2] for x in said], pa.string()), "text": pa.array([x[3] for x in said], pa.string()),
     }), f"{folder}/conversations.parquet")
+    vectors = VECTORS if rows else []
+    pq.write_table(pa.table({
+        "vec_id": pa.array([v[0] for v in vectors], pa.int64()), "label": pa.array([v[1] for v in vectors], pa.int32()),
+        "embedding": pa.array([v[2] for v in vectors], pa.list_(pa.float32())), "score": pa.array([0] * len(vectors), pa.int64()), "block": pa.array(["x"] * len(vectors)),
+    }), f"{folder}/embeddings.parquet")
     return str(folder)
 
 
+def vectors() -> list[tuple]:
+    rng = random.Random(12)
+    made = [(i, rng.randrange(4), [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    made += [(1000 + i, 1, made[0][2]) for i in range(40)]  # copies, ids divisible by 100 among them
+    made += [(200, 2, made[200][2]), (300, 3, [0.0] * 6), (None, 1, made[5][2]), (None, 0, made[5][2]), (-100, 1, [-x for x in made[0][2]])]
+    nan, inf = float("nan"), float("inf")
+    made += [(2000, None, [1.0] * 6), (2100, 1, None), (2200, 1, [1.0, None]), (2300, 1, [nan] * 6), (2400, 1, [inf] * 6), (2500, 1, []), (2600, 1, [1.5]), (2700, 1, [3e9] * 6)]
+    return [*made, (2800, 99, [1.0] * 6)]  # an anchor alone with its label
+
+
+VECTORS = vectors()
+
 ITEMS = [
     (1, "one two three four five six seven eight nine ten eleven twelve"), (2, "Short ITEM"), (3, ""), (4, None), (None, "no id here"),
     (11, "one two three four five six seven eight nine ten and other words"), (5, "..."),
@@ -105,7 +122,7 @@ def empty(tmp_path_factory):
 
 def wanted(folder: str, sql: str):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]

@@ -10,9 +10,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tallyframe.llm import decontamination, interpolation, jaccard, licenses, line_spread, mixing, sharding, shared_spans, transcripts
+from tallyframe.llm import collocations, decontamination, hard_negatives, interpolation, jaccard, licenses, line_spread, mixing, sharding, shared_spans, transcripts
 from tallyframe.llm.components import components
 
 
@@ -400,3 +402,150 @@ def test_blank_lines_are_the_same_in_sql_and_python(spark):
     got = {r["conv_id"]: r["n_lines"] for r in transcripts.parsed(made, transcripts.fitted(made)).collect()}
     assert got == {1: 4, 2: 1}
     assert sorted(transcripts.BLANKS) == [chr(i) for i in range(0x110000) if chr(i).isspace()]
+
+
+# ---- collocations ---------------------------------------------------------------------------------------------------
+
+
+def test_quicksort_counts_every_frequent_phrase():
+    rng = np.random.default_rng(5)
+    for n, words, whole in ((0, 3, 2), (1, 3, 2), (3000, 4, 2), (3000, 4, 3), (5000, 60, 2), (5000, 60, 3), (2000, 1, 3)):
+        keys = rng.integers(1, words + 1, (n, 3)).astype(np.uint64)
+        keys[rng.random(n) < 0.2, 2] = 0
+        keys[: n // 3, :2] = 1  # a hot beginning
+        weights = rng.integers(1, 4, n)
+        counts = Counter()
+        for row, weight in zip(keys.tolist(), weights.tolist(), strict=True):
+            for m in (2, 3):
+                if row[m - 1]:
+                    counts[tuple(row[:m])] += weight
+        row, size, weight = collocations.quicksorted(keys, weights, 10, whole)
+        got = {tuple(keys[r, :m].tolist()): int(x) for r, m, x in zip(row, size, weight, strict=True)}
+        assert len(got) == len(row)
+        assert got == {k: c for k, c in counts.items() if c >= 10 or len(k) < whole}
+
+
+def test_frames_keep_every_suffix():
+    rng = np.random.default_rng(6)
+    keys = rng.integers(1, 9, (4000, 3)).astype(np.uint64)
+    weights = rng.integers(1, 4, 4000)
+    held = list(collocations.frames(keys, weights, 2, 7, 1))
+    table = pa.table({c: [r[i] for r in held] for i, c in enumerate(("bucket", "n", "names", "places", "weights"))})
+    got_keys, got_weights = collocations.unframed(table, 3)
+    want = Counter()
+    for k, w in zip(keys.tolist(), weights.tolist(), strict=True):
+        want[tuple(k)] += w
+    got = Counter()
+    for k, w in zip(got_keys.tolist(), got_weights.tolist(), strict=True):
+        got[tuple(k)] += w
+    assert got == want
+
+
+def plain_collocations(rows, mine):
+    out = []
+    for lang in {r[0] for r in rows}:
+        f = Counter()
+        for language, text in rows:
+            if language == lang:
+                for piece in text.split("."):
+                    words = piece.split()
+                    for m in range(1, mine.longest + 1):
+                        f.update(tuple(words[i : i + m]) for i in range(len(words) - m + 1))
+        n = sum(c for k, c in f.items() if len(k) == 1)
+        cand = {k: c for k, c in f.items() if len(k) > 1 and c >= mine.least}
+        scored = []
+        for k, a in cand.items():
+            inside = any(len(o) > len(k) and any(o[i : i + len(k)] == k for i in range(len(o))) and 100 * b >= mine.inside * a for o, b in cand.items())
+            if not inside:
+                s, c = min((1000000 * a * a // (f[k[:c]] * f[k[c:]]), c) for c in range(1, len(k)))
+                scored.append((-s, -a, " ".join(k), f[k[:c]], f[k[c:]]))
+        for rank, (s, a, phrase, left, right) in enumerate(sorted(scored)[: mine.top], 1):
+            out.append((lang, rank, phrase, -a, left, right, n, -s))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("longest, bucket", [(3, 1 << 19), (3, 64), (4, 64), (2, 64)])
+def test_collocations_equal_a_plain_count(spark, monkeypatch, longest, bucket):
+    """With small buckets, which are dealt again, by two words and then by all: a third of all pairs is one pair."""
+    monkeypatch.setattr(collocations, "BUCKET", bucket)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        words = [rng.choice(vocabulary) for _ in range(40)]
+        for j in range(0, 36, 3):
+            words[j : j + 2] = ["very", "common"]
+        rows.append((("aa", "bb", "cc")[i % 3], " ".join(words[:20]) + ". " + " ".join(words[20:])))
+    mine = collocations.Mine(longest=longest, least=5, inside=60, top=150)
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    got = collocations.collocations(frame, mine).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+    assert sorted(map(tuple, got)) == plain_collocations(rows, mine)
+
+
+# ---- hard negatives -------------------------------------------------------------------------------------------------
+
+
+def test_hilbert_curve_visits_neighbours():
+    for dims, bits in ((2, 4), (3, 3), (4, 2), (1, 5)):
+        points = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+        place = hard_negatives.hilbert(points, bits)
+        assert sorted(place.tolist()) == list(range(len(points)))
+        assert (np.abs(np.diff(points[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_bounds_hold_all_products():
+    rng = np.random.default_rng(3)
+    for scale in (300, 1 << 25):
+        x, rows = rng.integers(-scale, scale, (20, 9)), rng.integers(-scale, scale, (50, 9))
+        low, high = hard_negatives.bounds(x, rows.min(0)[None], rows.max(0)[None])
+        exact = np.array([[sum(int(a) * int(b) for a, b in zip(p, q, strict=True)) for q in rows] for p in x])
+        assert (hard_negatives.product(x, rows.T) == exact).all()
+        assert (low <= exact).all() and (exact <= high).all()
+
+
+def test_hard_negatives_equal_a_plain_search(spark, monkeypatch):
+    """Small blocks and parts, clusters that zones tell apart, copies of one vector for a third of the rows."""
+    for name, value in (("BLOCK", 16), ("READ", 3), ("ZONES", 4)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rng = random.Random(2)
+    rows = []
+    for i in range(360):
+        centre = [40, 0, 0, 0] if i % 3 == 0 else [rng.choice([-60, 60]), rng.choice([-60, 60]), 10, 0]
+        spread = 0 if i % 3 == 0 else 20
+        rows.append((i, rng.randrange(3), [c + rng.randint(-spread, spread) for c in centre]))
+    mining = hard_negatives.Mining(positives=3, negatives=4, low=20, high=95)
+    frame = spark.createDataFrame(rows, "vec_id long, label long, vector array<long>")
+    got = sorted(map(tuple, hard_negatives.hard_negatives(frame, frame["vec_id"] % 9 == 0, mining).collect()))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = []
+    for i, label, v in rows[::9]:
+        scored = sorted((-dot(v, w), j, k) for j, k, w in rows if j != i)
+        for p, j, _ in [s for s in scored if s[2] == label][:3]:
+            found = [s for s in scored if s[2] != label and 20 * -p <= 100 * -s[0] <= 95 * -p][:4]
+            want += [(i, j, r, n, -p, -s) for r, (s, n, _) in enumerate(found, 1)]
+    assert got == sorted(want) and len(got) > 100
+
+
+# ---- personal data --------------------------------------------------------------------------------------------------
+
+
+def test_checksums_and_masks(spark):
+    from tallyframe.llm import personal_data as PD
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def mod97(a):
+        return int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1
+
+    rng = random.Random(1)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 20))) for _ in range(300)]
+    accounts = ["GB82WEST12345698765432", "DE89370400440532013000"] + ["".join(rng.choice("GBDE0123456789") for _ in range(22)) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in numbers], "x string").select("x", PD.luhn(F.col("x")).alias("ok"))
+    assert {r["x"]: r["ok"] for r in df.collect()} == {x: luhn(x) for x in numbers}
+    df = spark.createDataFrame([(x,) for x in accounts], "x string").select("x", PD.mod97(F.col("x")).alias("ok"))
+    assert {r["x"]: r["ok"] for r in df.collect()} == {x: mod97(x) for x in accounts}
+    texts = [("to a@b.cd or +1 (958) 555-1150!", "to [EMAIL] or [PHONE]!"), ("é 4111 1111 1111 1111", "é [CARD]"), ("none", "none"), ("", ""), (None, None)]
+    df = PD.with_spans(spark.createDataFrame([(t,) for t, _ in texts], "text string"))
+    got = {r["text"]: r["m"] for r in df.select("text", PD.masked(F.col("text"), F.col("spans")).alias("m")).collect()}
+    assert got == dict(texts)
