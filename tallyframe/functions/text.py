@@ -263,3 +263,21 @@ def forbidden_stems(text: Column, stems: list[str]) -> Column:
     """Stems of a lexicon that start a word of the text, sorted."""
     hit = [F.when(F.lower(text).rlike(rf"(^|[^\p{{L}}]){re.escape(s.lower())}"), F.lit(s)) for s in sorted(stems)]
     return F.array_compact(F.array(*hit))
+
+
+def any_case_in(value: Column, names: list[str]) -> Column:
+    """Whether a value is one of the names, letter case aside; false for NULL."""
+    return F.coalesce(F.lower(value).isin(*sorted({n.lower() for n in names})), F.lit(False))
+
+
+def starts_with_any(value: Column, prefixes: list[str]) -> Column:
+    """Whether a value begins with one of the prefixes, as written; false for NULL."""
+    hit = F.lit(False)
+    for p in prefixes:
+        hit = hit | value.startswith(p)
+    return F.coalesce(hit, F.lit(False))
+
+
+def unbound(value: Column) -> Column:
+    """Whether a source left a value out: NULL, or nothing but blanks."""
+    return F.trim(F.coalesce(value.cast("string"), F.lit(""))) == ""

@@ -203,3 +203,46 @@ def freshness(ballots: DataFrame) -> DataFrame:
     """Latest ballot per chamber, and how far all chambers reach together (the slowest one)."""
     latest = ballots.groupBy("chamber").agg(F.max("ballot_date").alias("last_ballot"))
     return latest.withColumn("votes_until", latest.select(F.min("last_ballot")).scalar())
+
+
+def out_of_range(df: DataFrame, column: str, low: float, high: float, keys: list[str]) -> DataFrame:
+    """Values outside low to high, both allowed; a missing value is outside."""
+    value = F.col(column)
+    return failing(df, f"range_{column}", keys, F.coalesce(~value.between(low, high), F.lit(True)), F.coalesce(value.cast("string"), F.lit("missing")))
+
+
+def bad_length(df: DataFrame, column: str, low: int, high: int, keys: list[str]) -> DataFrame:
+    """Texts, or lists, of fewer than `low` or more than `high` characters or members; NULL has none."""
+    kind = dict(df.dtypes)[column]
+    size = F.coalesce(F.size(column) if kind.startswith("array") else F.length(column), F.lit(0))
+    return failing(df, f"length_{column}", keys, ~F.greatest(size, F.lit(0)).between(low, high), F.greatest(size, F.lit(0)))
+
+
+def scale_of_levels(levels: DataFrame, key: str, order: str, value: str, size: int = 5) -> DataFrame:
+    """Scales that do not have `size` levels, or whose values do not rise from level to level."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    scale = levels.groupBy(key).agg(rows.alias("_r"))
+    rising = F.forall(F.sequence(F.lit(1), F.size("_r") - 1), lambda i: F.get("_r", i)["v"] > F.get("_r", i - 1)["v"])
+    return failing(scale, "scale_size", [key], F.size("_r") != size, F.size("_r")).unionByName(
+        failing(scale, "scale_order", [key], (F.size("_r") > 1) & ~F.coalesce(rising, F.lit(False)), F.size("_r"))
+    )
+
+
+def last_rule_is_default(rules_: DataFrame, key: str, order: str, condition: str) -> DataFrame:
+    """Rule lists whose last rule has a condition, or that have a rule without one before the last."""
+    lists = rules_.groupBy(key).agg(
+        F.max_by(F.col(condition).isNull(), order).alias("_last"), F.count_if(F.col(condition).isNull()).alias("_free")
+    )
+    bad = ~F.col("_last") | (F.col("_free") > 1)
+    return failing(lists, "default_rule", [key], bad, F.col("_free"))
+
+
+def verified_without_id(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups called verified that have no identifier of the source."""
+    bare = F.trim(F.coalesce("ext_id", F.lit(""))) == ""
+    return failing(groups, "verified_without_id", keys, (F.col("status") == "verified") & bare, F.col("status"))
+
+
+def other_term(rows: DataFrame, keys: list[str], term: int) -> DataFrame:
+    """Rows of another term than the one the rules refer to."""
+    return failing(rows, "other_term", keys, ~F.col("term").eqNullSafe(F.lit(term)), F.coalesce(F.col("term").cast("string"), F.lit("missing")))

@@ -75,3 +75,8 @@ def with_optional_parts(base: DataFrame, key: str, parts: dict[str, DataFrame])
     for name, part in parts.items():
         out = out.join(part.select(key, F.col("value").alias(name)), key, "left")
     return out
+
+
+def first_samples(rejected: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
+    """The first few rejected rows of all, for the head of a report; each task hands on so many at most."""
+    return rejected.orderBy(*order).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("record", "rules", "texts", "checks", "streams", "published", "landed", "extensions")
+MODULES = ("record", "rules", "texts", "checks", "streams", "published", "landed", "extensions", "stored")
 
 
 def load() -> None:

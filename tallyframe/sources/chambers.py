@@ -228,6 +228,29 @@ def component_memberships(rows: DataFrame, mapping: DataFrame) -> tuple[DataFram
     return periods, unknown
 
 
+def linked_components(periods: DataFrame, external_ids: DataFrame, parties: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Component periods tied to stored people: (rows to store, people missing, parties unknown).
+
+    periods: chamber, person_ext_id, party_id, valid_from, valid_to. external_ids: chamber, person_ext_id, person_id. parties:
+    party_id. stored: person_id, party_id, valid_from of the memberships there are. A period whose person, party and start are
+    stored is not a new one; a person or party that is not known is named once.
+    """
+    found = periods.join(external_ids, ["chamber", "person_ext_id"], "left")
+    missing = found.filter(F.col("person_id").isNull()).select("chamber", "person_ext_id").distinct()
+    unknown = periods.join(parties.select("party_id"), "party_id", "left_anti").select("party_id").distinct()
+    known = found.filter(F.col("person_id").isNotNull()).join(parties.select("party_id"), "party_id", "left_semi")
+    new = known.groupBy("person_id", "party_id", "valid_from").agg(F.max("valid_to").alias("valid_to"))
+    return new.join(stored.select("person_id", "party_id", "valid_from"), ["person_id", "party_id", "valid_from"], "left_anti"), missing, unknown
+
+
+def of_both_chambers(lower: DataFrame, upper: DataFrame, keys: list[str]) -> DataFrame:
+    """Memberships of two chambers as one table with the chamber they come from; a key repeated in a chamber is one row, that
+    with the latest end (an open end is the latest)."""
+    both = lower.withColumn("chamber", F.lit("lower")).unionByName(upper.withColumn("chamber", F.lit("upper")))
+    last = F.max(F.struct(F.col("valid_to").isNull().alias("open"), F.col("valid_to").alias("valid_to"))).alias("_e")
+    return both.groupBy("chamber", *keys).agg(last).select("chamber", *keys, F.col("_e.valid_to").alias("valid_to"))
+
+
 GROUP_LABEL = r"^(.*?) \(([^()]*(?:\([^()]*\)[^()]*)*)\) \((\d{2}\.\d{2}\.\d{4})"
 
 
