@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm import words as W
-from tallyframe.llm.common import total, written
+from tallyframe.llm.common import small_batches, total, written
 from tallyframe.llm.registry import query
 
 SPAN = 200
 STEP = 50  # SPAN is a multiple
 ANCHOR = 32
 SHARDS = 4
-GROUP_BYTES = 3 << 20  # of runs handled together
+GROUP_BYTES = 2 << 20  # of runs handled together
 HOT_BYTES = 2 << 20  # of runs with one anchor, beyond which they are counted by hash
 
 
@@ -175,12 +175,14 @@ class Runs:
         self.words = np.zeros(n + SPAN, np.uint64)  # eight bytes from each row on
         for i in range(8):
             self.words |= joined[i : i + n + SPAN].astype(np.uint64) << np.uint64(8 * i)
-        self.string = np.repeat(np.arange(len(strings)), rows)
+        self.string = np.repeat(np.arange(len(strings), dtype=np.int32), rows)
         self.end = (self.first + self.length)[self.string]
         row = np.arange(n)
         value = np.zeros(n, np.uint64)
         for i in (*range(0, STEP - 8, 8), STEP - 8):
-            value = W.mixed(value * np.uint64(3) + self.words[i : i + n] + np.uint64(salt))
+            value *= np.uint64(3)
+            value += self.words[i : i + n] + np.uint64(salt)
+            value = W.mixed(value)
         full = row + STEP <= self.end
         self.block = np.zeros(n, np.int64)
         self.block[full] = ranked(value[full]) + 1
@@ -332,6 +334,7 @@ def _merge_sorted(group_bytes: int, hot_bytes: int):
             whole.update(own)
         if whole:
             yield _merge_group(whole)
+        W.trim()
 
     return run
 
@@ -402,6 +405,11 @@ def without_shared_spans(docs: DataFrame, text: str = "text", row: str = "doc_id
     bytes that stay. A byte goes if a string of SPAN bytes over it starts at another place too, in any text; places are
     judged on the input. Repeated rows are copies of each other; NULL is the empty text; bytes that stay may split a
     character, so they are binary."""
+    with small_batches(docs.sparkSession):
+        return _without_shared_spans(docs, text, row, group_bytes, hot_bytes)
+
+
+def _without_shared_spans(docs: DataFrame, text: str, row: str, group_bytes: int, hot_bytes: int) -> DataFrame:
     docs = docs.select(F.col(row).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1).cast("bigint"))).withColumn("rid", F.xxhash64("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
     zipped = docs.mapInArrow(_zipped, "doc_id long, id long, rid long, crc long, text binary")
