@@ -102,9 +102,9 @@ def bare_quote(text: Column) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, derived from canonical decomposition."""
+    """Accented Latin, Greek and Cyrillic letters and their base letters, derived from canonical decomposition."""
     pairs = []
-    for code in range(0x00C0, 0x0250):
+    for code in (*range(0x00C0, 0x0250), *range(0x0370, 0x0500), *range(0x1E00, 0x2000)):
         base = unicodedata.normalize("NFD", chr(code))
         if len(base) > 1 and all(unicodedata.combining(c) for c in base[1:]):
             pairs.append((chr(code), base[0]))
@@ -265,6 +265,25 @@ def forbidden_stems(text: Column, stems: list[str]) -> Column:
     return F.array_compact(F.array(*hit))
 
 
+# What is no phrase (comments), quoted strings with a blank inside, and text after a tag.
+COMMENT = r"<!--[\s\S]*?-->|/\*[\s\S]*?\*/"
+LINE_COMMENT = r"(?m)(^|[ \t\r\n\f])//[ \t\r\f].*$"
+QUOTED = "|".join(rf"{q}(?:[^{q}\n]*\n[^{q}\n]*|[^{q} \t\r\n\f]*[ \t\r\f][^{q}\n]*){q}" for q in ('"', "'")) + r"|`[^`]*[ \t\r\n\f][^`]*`"
+TAG_TEXT = r"(?:<[A-Za-z][A-Za-z0-9_-]*(?:[ \t\r\n\f][^<>]*)?>|</[A-Za-z][A-Za-z0-9_-]*>)([^<>{}]*[A-Za-zàèéìòùÀÈÉÌÒÙ][^<>{}]*)"
+
+
+def visible_phrases(source: Column) -> Column:
+    """The phrases of a source text that a visitor may read, in two runs: quoted strings with a blank inside, without their
+    quotes, then the text that follows a tag. Comments are taken out first; a NULL has none."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(source, F.lit("")), COMMENT, " "), LINE_COMMENT, " ")
+
+    def found(t: Column) -> Column:
+        quoted = F.transform(F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+        return F.concat(quoted, F.regexp_extract_all(t, F.lit(TAG_TEXT), F.lit(1)))
+
+    return let(bare, found)
+
+
 def any_case_in(value: Column, names: list[str]) -> Column:
     """Whether a value is one of the names, letter case aside; false for NULL."""
     return F.coalesce(F.lower(value).isin(*sorted({n.lower() for n in names})), F.lit(False))

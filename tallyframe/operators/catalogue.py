@@ -109,6 +109,34 @@ def catalogue_report(tests: DataFrame) -> DataFrame:
     )
 
 
+def full_report(judged: DataFrame, generated: DataFrame, tests: DataFrame, exclusions: DataFrame, themes: list[str]) -> DataFrame:
+    """The catalogue report as rows (part, name, n): candidates and what the data discarded, by reason; what was generated,
+    discarded by the model, verified and excluded by hand; tests passed and failed of what is left; passed statements of
+    every theme, zero included.
+
+    judged: reason (NULL: a candidate). generated: statement_id, discard. tests: as `statement_tests` gives them, with the ballot_id. exclusions:
+    ballot_id, reason (without one it does not count).
+    """
+    def rows(df: DataFrame, part: str, **counts: Column) -> DataFrame:
+        one = df.agg(*[c.alias(n) for n, c in counts.items()])
+        return one.unpivot([], list(counts), "name", "n").select(F.lit(part).alias("part"), "name", "n")
+
+    every = F.count(F.lit(1))
+    left = without_excluded(tests, exclusions)
+    counts = left.agg(*[F.count_if(F.col("passed") & (F.col("theme") == t)).alias(t) for t in themes])
+    discarded = judged.filter(F.col("reason").isNotNull()).groupBy(F.col("reason").alias("name")).agg(every.alias("n"))
+    flags = F.coalesce("discard", F.lit(False))
+    return (
+        rows(judged, "data", candidates=F.count_if(F.col("reason").isNull()))
+        .unionByName(discarded.select(F.lit("discarded_by_data").alias("part"), "name", "n"))
+        .unionByName(rows(generated, "model", generated=F.count_if(~flags), discarded=F.count_if(flags)))
+        .unionByName(rows(tests, "statements", verified=every))
+        .unionByName(rows(left, "statements", left=every, passed=F.count_if("passed")))
+        .unionByName(rows(left, "failed", theme=F.count_if(~F.col("theme_ok")), sensitivity=F.count_if(~F.col("sensitivity_ok")), polarity=F.count_if(~F.col("polarity_ok"))))
+        .unionByName(counts.unpivot([], themes, "name", "n").select(F.lit("passed_per_theme").alias("part"), "name", "n"))
+    )
+
+
 def passed_per_theme(tests: DataFrame, themes: list[str]) -> DataFrame:
     """Passed statements of every listed theme, zero included, and whether all themes have the same number."""
     counts = tests.agg(*[F.count_if(F.col("passed") & (F.col("theme") == t)).alias(t) for t in themes])

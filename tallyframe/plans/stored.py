@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe import sinks
 from tallyframe.functions import dates
 from tallyframe.functions import text as X
+from tallyframe.operators import catalogue as C
 from tallyframe.operators import quality as Q
 from tallyframe.operators import release as R
+from tallyframe.plans import rules as RU
 from tallyframe.plans import texts as TX
 from tallyframe.plans.registry import query
 from tallyframe.sources import chambers as CH
@@ -191,3 +194,74 @@ def registry_dimensions(d):
         return dims[name].select(F.lit(name).alias("dimension"), F.col(a).alias("a"), F.col(b).alias("b"), "valid_from")
 
     return told("party_roles", "party_id", "role").unionByName(told("group_party", "group_id", "party_id")).unionByName(told("memberships", "person_id", "party_id"))
+
+
+@query("full_report", f"""
+    WITH {RU.CANDIDATES_SQL}, {RU.DRAFTS_SQL}, {RU.TESTS_SQL},
+    whole AS (SELECT t.*, theme_ok AND sensitivity_ok AND polarity_ok AS passed, f.seq FROM tests t JOIN ballot_facts f ON 'd' || f.seq::varchar = t.statement_id),
+    kept AS (SELECT * FROM whole WHERE NOT (seq % 4 = 0 AND seq % 8 <> 0))
+    SELECT 'data' AS part, 'candidates' AS name, count(*) FILTER (reason IS NULL) AS n FROM judged
+    UNION ALL SELECT 'discarded_by_data', reason, count(*) FROM judged WHERE reason IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'model', 'generated', count(*) FILTER (text <> '') FROM drafts UNION ALL SELECT 'model', 'discarded', count(*) FILTER (text = '') FROM drafts
+    UNION ALL SELECT 'statements', 'verified', count(*) FROM whole UNION ALL SELECT 'statements', 'left', count(*) FROM kept UNION ALL SELECT 'statements', 'passed', count(*) FILTER (passed) FROM kept
+    UNION ALL SELECT 'failed', 'theme', count(*) FILTER (NOT theme_ok) FROM kept UNION ALL SELECT 'failed', 'sensitivity', count(*) FILTER (NOT sensitivity_ok) FROM kept
+    UNION ALL SELECT 'failed', 'polarity', count(*) FILTER (NOT polarity_ok) FROM kept
+    UNION ALL SELECT 'passed_per_theme', t.theme, count(k.theme) FROM (VALUES ('t0'), ('t1'), ('t2'), ('t3'), ('t4'), ('t5')) t(theme) LEFT JOIN kept k ON k.theme = t.theme AND k.passed GROUP BY 2""")
+def full_report(d):
+    facts = d.shared("ballot_facts").select("ballot_id", "seq")
+    drafts = RU.drafts(d)
+    excluded = facts.filter("seq % 4 = 0").select("ballot_id", F.when(F.col("seq") % 8 == 0, " ").otherwise("withdrawn").alias("reason"))
+    tests = RU.tests(d).join(drafts.select("statement_id", "ballot_id"), "statement_id")
+    return C.full_report(RU.judged(d), drafts.select("statement_id", (F.col("text") == "").alias("discard")), tests, excluded, RU.THEMES)
+
+
+@query("visible_phrases", r"""
+    WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->|/\*[\s\S]*?\*/', ' ', 'g'), '(?m)(^|[ \t\r\n\f])//[ \t\r\f].*$', ' ', 'g') AS t FROM pages),
+    found AS (SELECT page_id, list_transform(regexp_extract_all(t, '"(?:[^"\n]*\n[^"\n]*|[^" \t\r\n\f]*[ \t\r\f][^"\n]*)"|''(?:[^''\n]*\n[^''\n]*|[^'' \t\r\n\f]*[ \t\r\f][^''\n]*)''|`[^`]*[ \t\r\n\f][^`]*`'),
+        lambda q: substr(q, 2, length(q) - 2))
+      || regexp_extract_all(t, '(?:<[A-Za-z][A-Za-z0-9_-]*(?:[ \t\r\n\f][^<>]*)?>|</[A-Za-z][A-Za-z0-9_-]*>)([^<>{}]*[A-Za-zàèéìòùÀÈÉÌÒÙ][^<>{}]*)', 1) AS phrases FROM bare)
+    SELECT page_id, unnest(range(len(phrases)))::int AS place, unnest(phrases) AS phrase FROM found""")
+def visible_phrases(d):
+    return d.table("pages").select("page_id", F.posexplode(X.visible_phrases(F.col("html"))).alias("place", "phrase"))
+
+
+@query("party_order", """
+    WITH names AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name) WHEN 1 THEN 'É' || lower(n_name) WHEN 2 THEN 'e' || n_name ELSE n_name END AS name FROM nation)
+    SELECT k, name, row_number() OVER (ORDER BY name COLLATE it, k) AS place FROM names""")
+def party_order(d):
+    """The registry's names in the order of the language of the publication: a short list, numbered whole."""
+    kind = F.col("n_nationkey") % 4
+    name = F.when(kind == 0, F.lower("n_name")).when(kind == 1, F.concat(F.lit("É"), F.lower("n_name"))).when(kind == 2, F.concat(F.lit("e"), "n_name")).otherwise(F.col("n_name"))
+    named = d.table("nation").select(F.col("n_nationkey").alias("k"), name.alias("name"))
+    ordered = R.alphabetical(named, "name", "k")
+    return ordered.withColumn("place", F.row_number().over(Window.orderBy(F.collate(F.col("name"), "it"), "k")).cast("long"))
+
+
+@query("upper_ballot_rows", """
+    WITH t AS (SELECT o_orderkey AS k, o_orderdate::date AS day FROM orders)
+    SELECT 'upper' AS chamber, 19 AS term, '19-' || k::varchar || '-1' AS ext_id, day AS ballot_date,
+      CASE WHEN k % 3 = 0 THEN 'Votazione finale' WHEN k % 3 = 1 THEN 'Questione di fiducia' ELSE 'Articolo 1' END AS kind, k % 3 = 0 AS is_final, k % 3 = 1 AS is_confidence,
+      (k % 90)::int AS n_for, (k % 50)::int AS n_against, CASE WHEN k % 2 = 0 THEN (k % 7)::int ELSE 0 END AS n_abstain,
+      CASE k % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS approved, k % 11 = 0 AS is_secret,
+      CASE WHEN k % 4 = 0 THEN 'S.' || (k % 100)::varchar || ', S.' || (k % 100 + 1)::varchar WHEN k % 4 = 3 THEN NULL ELSE 'S.' || (k % 100)::varchar END AS act_ref,
+      CASE WHEN k % 4 IN (1, 2) THEN 'Titolo ' || (k % 100)::varchar END AS act_title FROM t""")
+def upper_ballot_rows(d):
+    """Rows of the upper chamber: one per linked bill, two for every fourth ballot, an absorbed one beside the only bill of others."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    phase = lambda n: F.concat(F.lit("S."), text(k % 100 + n))
+    bills = F.when(k % 4 == 0, F.array(F.lit(0), F.lit(1))).when(k % 4 == 1, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    flat = d.table("orders").select("o_orderkey", "o_orderdate", F.posexplode(bills).alias("i", "bill"))
+    bill = F.col("bill")
+    entries = {
+        "v": F.concat(F.lit("http://x/votazione/19-"), text(k), F.lit("-1")), "data": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "label": F.when(k % 3 == 0, "Votazione finale").when(k % 3 == 1, "Questione di fiducia").otherwise("Articolo 1"),
+        "fav": text(k % 90), "con": text(k % 50), "ast": F.when(k % 2 == 0, text(k % 7)),
+        "esito": F.when(k % 5 == 0, "approvato").when(k % 5 == 1, "Respinto").when(k % 5 == 2, "non approvato").otherwise("rinviato"),
+        "tipoVot": F.when(k % 11 == 0, "Segreta").otherwise("Palese"),
+        "ddl": F.when(k % 4 != 3, F.concat_ws("-", text(k), text(bill))), "fase": F.when(k % 4 != 3, phase(bill)),
+        "stato": F.when(bill == 2, "assorbito").otherwise("approvato"), "titolo": F.when(k % 4 != 3, F.concat(F.lit("Titolo "), text(k % 100 + bill))),
+    }
+    row = F.map_filter(F.create_map(*[x for n, c in entries.items() for x in (F.lit(n), text(c))]), lambda _, v: v.isNotNull())
+    found = CH.upper_ballots(flat.select((k * 2 + F.col("i")).alias("ord"), row.alias("row")), 19)
+    return found.select("chamber", "term", "ext_id", "ballot_date", "kind", "is_final", "is_confidence", "n_for", "n_against", "n_abstain", "approved", "is_secret", "act_ref", "act_title")
