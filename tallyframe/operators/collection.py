@@ -138,3 +138,19 @@ def retention(documents: DataFrame, now: Column) -> DataFrame:
             for c in documents.columns
         ]
     )
+
+
+def with_quota(elements: DataFrame, source: str, order: list[str], quota: int = 30) -> DataFrame:
+    """Adds `now`: the element is among the first `quota` of its source in discovery order, the rest wait for the next pass
+    and stay in the table. `order` must tell the elements of a source apart.
+
+    The first ones are found by rank, which each task cuts to the quota before anything moves; a source with very many new
+    pages is not gathered.
+    """
+    first = newest(elements.select(source, *order), [source], [F.col(c) for c in order], quota).withColumn("_now", F.lit(True))
+    same = elements[source].eqNullSafe(F.col("_source"))
+    first = first.withColumnRenamed(source, "_source")
+    for c in order:
+        same = same & elements[c].eqNullSafe(F.col(f"_{c}"))
+        first = first.withColumnRenamed(c, f"_{c}")
+    return elements.join(first, same, "left").select(*elements.columns, F.coalesce("_now", F.lit(False)).alias("now"))

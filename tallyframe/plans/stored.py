@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyframe import sinks
 from tallyframe.functions import dates
 from tallyframe.functions import text as X
+from tallyframe.functions import urls as U
 from tallyframe.operators import catalogue as C
+from tallyframe.operators import collection as CO
 from tallyframe.operators import quality as Q
 from tallyframe.operators import release as R
 from tallyframe.plans import rules as RU
@@ -265,3 +267,12 @@ def upper_ballot_rows(d):
     row = F.map_filter(F.create_map(*[x for n, c in entries.items() for x in (F.lit(n), text(c))]), lambda _, v: v.isNotNull())
     found = CH.upper_ballots(flat.select((k * 2 + F.col("i")).alias("ord"), row.alias("row")), 19)
     return found.select("chamber", "term", "ext_id", "ballot_date", "kind", "is_final", "is_confidence", "n_for", "n_against", "n_abstain", "approved", "is_secret", "act_ref", "act_title")
+
+
+@query("source_quota", """
+    SELECT page_id, source, row_number() OVER (PARTITION BY source ORDER BY page_id) <= 30 AS now
+    FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS source FROM pages)""")
+def source_quota(d):
+    """Thirty new pages of each source a pass; the others are listed as waiting."""
+    pages = d.table("pages").select("page_id", U.host(F.col("url")).alias("source"))
+    return CO.with_quota(pages, "source", ["page_id"], 30)
