@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import rules
+from tallyframe.functions.dates import date_in_words
 from tallyframe.functions.text import clean_title, law_key
 from tallyframe.operators.temporal import newest
 from tallyframe.params import DEFAULT, Params
@@ -164,6 +165,37 @@ def statement_key(chamber: Column, ext_id: Column) -> Column:
     return F.concat(F.lit("e-"), F.replace(F.lower(F.concat_ws("-", chamber, ext_id)), F.lit("_"), F.lit("-")))
 
 
+# How the origin of a statement is told.
+CHAMBER_PLACE = {"lower": "alla Camera", "upper": "al Senato"}
+VOTED = ("approvata", "respinta", "votata")
+
+
+def origin_fact(chamber: Column, day: Column, approved: Column) -> Column:
+    """The vote a statement comes from, in a sentence without figures."""
+    place = F.when(chamber == "lower", CHAMBER_PLACE["lower"]).otherwise(CHAMBER_PLACE["upper"])
+    outcome = F.when(approved, VOTED[0]).when(~approved, VOTED[1]).otherwise(VOTED[2])
+    return F.concat(F.lit("Se n'è votato "), place, F.lit(" il "), date_in_words(day), F.lit(": la legge è stata "), outcome, F.lit("."))
+
+
+def statement_records(candidates_: DataFrame, answers: DataFrame, tests: DataFrame, model: str, prompt: str, version: int = 1) -> DataFrame:
+    """Statements as they are filed, one per candidate with an answer and tests: id, version, text, theme, status, context
+    (fact, pro, con), origin (the ballot, its act and day, direction, and what generated the text) and tests.
+
+    candidates_: ballot_id, chamber, term, ext_id, ballot_date, approved, act_ref, act_title, minority. answers: ballot_id,
+    statement, theme, pro, con. tests: ballot_id, theme_ok, sensitivity_ok, polarity_ok.
+    """
+    joined = candidates_.join(answers, "ballot_id").join(tests.select("ballot_id", "theme_ok", "sensitivity_ok", "polarity_ok"), "ballot_id")
+    return joined.select(
+        statement_key(F.col("chamber"), F.col("ext_id")).alias("id"), F.lit(version).alias("version"), F.trim("statement").alias("text"), "theme", F.lit("active").alias("status"),
+        F.struct(origin_fact(F.col("chamber"), F.col("ballot_date"), F.col("approved")).alias("fact"), F.trim("pro").alias("pro"), F.trim("con").alias("con")).alias("context"),
+        F.struct(
+            "chamber", "term", "ext_id", "act_ref", F.col("ballot_date").alias("date"), F.lit(1).alias("direction"),
+            F.struct(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), F.sha2("act_title", 256).alias("input_sha")).alias("generation"),
+        ).alias("origin"),
+        F.struct(F.col("minority"), F.col("theme_ok").alias("theme"), F.col("sensitivity_ok").alias("sensitivity"), F.col("polarity_ok").alias("polarity")).alias("tests"),
+    )
+
+
 def import_readiness(ballots: DataFrame, chambers: list[str], today, days: int = 30) -> DataFrame:
     """(chamber, last_ballot, ready) of every expected chamber: present and not older than `days`."""
     latest = ballots.agg(*[F.max(F.when(F.col("chamber") == c, F.col("ballot_date"))).alias(c) for c in chambers])

@@ -10,10 +10,11 @@ from tallyframe.operators.temporal import newest
 
 
 def active_questions(statements: DataFrame) -> DataFrame:
-    """Id, text, theme, origin day and chamber of the active statements; drafts and withdrawn ones are left out."""
+    """Id, text, theme, origin day and chamber of the active statements, with their context where they have one; drafts and
+    withdrawn ones are left out."""
     return statements.filter(F.col("status") == "active").select(
         F.col("statement_id").alias("id"), "text", "theme", F.col("origin.date").alias("date"),
-        F.col("origin.chamber").alias("chamber"),
+        F.col("origin.chamber").alias("chamber"), *[c for c in statements.columns if c == "context"],
     )
 
 

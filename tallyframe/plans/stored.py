@@ -276,3 +276,28 @@ def source_quota(d):
     """Thirty new pages of each source a pass; the others are listed as waiting."""
     pages = d.table("pages").select("page_id", U.host(F.col("url")).alias("source"))
     return CO.with_quota(pages, "source", ["page_id"], 30)
+
+
+MONTHS = "list_extract(['gennaio', 'febbraio', 'marzo', 'aprile', 'maggio', 'giugno', 'luglio', 'agosto', 'settembre', 'ottobre', 'novembre', 'dicembre'], month(ballot_date)::int)"
+
+
+@query("statement_records", f"""
+    WITH {RU.DRAFTS_SQL}, {RU.TESTS_SQL}
+    SELECT replace(lower('e-' || f.chamber || '-' || f.ext_id), '_', '-') AS id, 'Misura ' || f.seq::varchar AS text, d.theme,
+      'Se n''è votato ' || CASE f.chamber WHEN 'lower' THEN 'alla Camera' ELSE 'al Senato' END || ' il ' || day(f.ballot_date)::varchar || ' ' || {MONTHS.replace("ballot_date", "f.ballot_date")} || ' ' ||
+        year(f.ballot_date)::varchar || ': la legge è stata ' || CASE WHEN f.approved THEN 'approvata' WHEN NOT f.approved THEN 'respinta' ELSE 'votata' END || '.' AS fact,
+      'pro ' || d.theme AS pro, 'con ' || d.theme AS con, f.act_ref, sha256(f.act_title) AS input_sha, f.ballot_date AS date, theme_ok AND sensitivity_ok AND polarity_ok AS passed
+    FROM drafts d JOIN ballot_facts f USING (ballot_id) JOIN tests t USING (statement_id) WHERE f.seq % 3 <> 1""")
+def statement_records(d):
+    """Statements assembled, then published: the active ones with their context."""
+    facts, drafts = d.shared("ballot_facts"), RU.drafts(d)
+    answers = drafts.join(facts.select("ballot_id", "seq"), "ballot_id").filter("seq % 3 <> 1").select(
+        "ballot_id", F.concat(F.lit(" Misura "), F.col("seq").cast("string")).alias("statement"), "theme",
+        F.concat(F.lit("pro "), "theme").alias("pro"), F.concat(F.lit("con "), "theme", F.lit(" ")).alias("con"),
+    )
+    tests = RU.tests(d).drop("theme").join(drafts.select("statement_id", "ballot_id"), "statement_id")
+    made = C.statement_records(facts.join(drafts.select("ballot_id", "minority"), "ballot_id"), answers, tests, "m1", "p1")
+    cards = R.active_questions(made.withColumnRenamed("id", "statement_id"))
+    more = made.select("id", F.col("origin.act_ref").alias("act_ref"), F.col("origin.generation.input_sha").alias("input_sha"),
+                       (F.col("tests.theme") & F.col("tests.sensitivity") & F.col("tests.polarity")).alias("passed"))
+    return cards.join(more, "id").select("id", "text", "theme", "context.fact", "context.pro", "context.con", "act_ref", "input_sha", "date", "passed")
