@@ -373,7 +373,7 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<lo
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
         rows = {"n_bytes": [], "n_removed": [], "starts": [], "ends": [], "kept": []}
         for zipped, copies, spans in zip(batch.column("text"), batch.column("copies").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             text = zstandard.decompress(zipped.as_py())
