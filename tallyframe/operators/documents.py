@@ -388,12 +388,12 @@ def _measured(known: np.ndarray, size: int, words_: str):
 
 def measured(texts: DataFrame, words_: Column, dictionary: DataFrame, size: int) -> DataFrame | None:
     """The rows with `words`, how many of the words are `known`, and the least number known in `size` words on end (in all, if
-    there are fewer): worked out inside the row, so no word becomes a row. None when the dictionary, which is counted first, is
-    too large to be sent to all tasks."""
-    n = dictionary.count()
-    if n > KNOWN_WORDS:
+    there are fewer): worked out inside the row, so no word becomes a row. None when the dictionary, of which one word more than
+    may be sent is asked for, is too large for all tasks."""
+    found = dictionary.select(F.xxhash64("word").alias("w")).limit(KNOWN_WORDS + 1).toArrow().column("w")
+    if len(found) > KNOWN_WORDS:
         return None
-    known = np.sort(np.array([r[0] for r in dictionary.select(F.xxhash64("word")).collect()], dtype=np.int64))
+    known = np.sort(found.to_numpy())
     hashed = texts.withColumn("_hashes", F.transform(words_, lambda w: F.xxhash64(w)))
     kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes)
     return hashed.mapInArrow(_measured(known, size, "_hashes"), f"{kinds}, words long, known long, worst long")

@@ -285,5 +285,5 @@ def test_readability_in_the_row_equals_the_join(spark, monkeypatch):
         want = sorted(map(tuple, D.readability(D.document_words(frame, "doc_id"), "doc_id", dictionary).collect()))
         assert rows_ == want
         with monkeypatch.context() as m:
-            m.setattr(D, "KNOWN_WORDS", -1)
+            m.setattr(D, "KNOWN_WORDS", 0)
             assert sorted(map(tuple, D.readable_texts(frame, "doc_id", dictionary).collect())) == want
