@@ -37,6 +37,8 @@ def judge_documents(
     """One row per listed element with its outcome and, for 'stored', the stored columns.
 
     elements: source, level, channel, ord, url, title, summary, text, published_at, reserved (page opposes mining).
+    seen: url, and further columns of the elements if an address was seen in one place only; the same address in another
+    place is then judged.
     The texts are judged once and written; the rest starts from that table.
 
     Outcomes: 'seen' (address known), 'outside' (level C naming nobody tracked), 'duplicate' (address or content repeated),
@@ -44,8 +46,8 @@ def judge_documents(
     """
     order = [F.col("source"), F.col("ord")]
     listed = elements.withColumn("url", U.normal_url(F.col("url")))
-    known = seen.select("url").distinct().withColumn("_seen", F.lit(True))
-    listed = listed.join(known, "url", "left")
+    known = seen.distinct().withColumn("_seen", F.lit(True))
+    listed = listed.join(known, seen.columns, "left")
     filtered = F.col("level") == "C"
     title_first = filtered & (F.col("channel") == "rss")
     early = _all_texts(F.col("title"), F.col("summary"))
