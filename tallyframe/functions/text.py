@@ -171,6 +171,18 @@ def shingles(text: Column, p: Params = DEFAULT) -> Column:
     return let(words(text), runs)
 
 
+def shingle_hashes(text: Column, p: Params = DEFAULT) -> Column:
+    """`shingles` as numbers of 64 bits, made of the words' own."""
+    k = p.shingle_words
+
+    def runs(hashes: Column) -> Column:
+        last = F.size(hashes) - (k - 1)
+        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(hashes, i, k)))
+        return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), runs)
+
+
 # Phrases that address a language model rather than a reader, tried in this order.
 ADDRESSED = (
     r"ignora\s+(tutte\s+)?(le\s+)?istruzioni",

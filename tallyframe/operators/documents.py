@@ -427,40 +427,44 @@ def content_groups(documents: DataFrame) -> DataFrame:
 def shared_text(documents: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(document_id, party_id, partner): other parties with a different text that shares more than half of the shorter.
 
-    Share = common runs of six words / runs of the shorter text. Exact, without comparing all pairs:
+    Share = common runs of six words / runs of the shorter text. Without comparing all pairs; runs and contents are numbers of
+    64 bits, made once:
 
     1. Copies collapse to one content, so a group of copies is compared once.
     2. Runs are ordered from rare to common. If more than half of the shorter text A is in B, then at least one of the
        rarest half of A's runs is in B. Only that half of A looks for partners.
-    3. First pass: every (run, party) offers one representative content, so a content meets at most one candidate per
-       run and party however many near-copies exist. Most true pairs are settled here.
-    4. What is still open for a (content, party) goes through all contents that hold one of the rare runs. Nothing is
-       capped: the first pass only removes work that is already decided.
+    3. Every (run, party) offers one representative content, so a content meets at most one candidate per run and party
+       however many near-copies exist: first the longest, then, where a (content, party) is still open, the shortest.
+       Most true pairs are settled here.
+    4. What is open after that goes through all contents that hold one of the rare runs, where there is more than the
+       representative. Nothing is capped: the passes before only remove work that is already decided.
     """
-    hashed = documents.select("document_id", "party_id", "text", X.fingerprint(F.col("text")).alias("content"))
+    hashed = documents.select("document_id", "party_id", "text", F.xxhash64(X.fingerprint(F.col("text"))).alias("content"))
     holders = hashed.select("content", "party_id").distinct()
     contents = hashed.groupBy("content").agg(F.any_value("text").alias("text"))
-    grams = written(
-        contents.select("content", X.shingles(F.col("text"), p).alias("grams")).filter(F.size("grams") > 0), "grams"
+    grams = written(_rare_first(contents.select("content", X.shingle_hashes(F.col("text"), p).alias("grams")), p), "grams")
+    runs = grams.select("content", "size", "seeds", F.posexplode("grams").alias("_i", "gram")).select(
+        "content", "size", "gram", (F.col("_i") < F.col("seeds")).alias("seed")
     )
-    runs = written(_rare_first(grams, p), "runs")
     seeds = runs.filter("seed").select("gram", "content", "size")
     # (run, party) -> contents: each side of a possible pair, by the party that holds it.
     held = runs.join(holders, "content")
-    longest = held.groupBy("gram", "party_id").agg(F.max(F.struct("size", "content")).alias("_b"))
-    shortest = held.filter("seed").groupBy("gram", "party_id").agg(F.min(F.struct("size", "content")).alias("_a"))
+    several = F.count(F.lit(1)) > 1
+    longest = held.groupBy("gram", "party_id").agg(F.max(F.struct("size", "content")).alias("_b"), several.alias("_several"))
+    shortest = held.filter("seed").groupBy("gram", "party_id").agg(F.min(F.struct("size", "content")).alias("_a"), several.alias("_several"))
 
     upward = seeds.join(longest, "gram").filter(
         (F.col("_b.size") >= F.col("size")) & (F.col("_b.content") != F.col("content"))
-    ).select(F.col("content").alias("a"), F.col("_b.content").alias("b"))
+    ).select(F.col("content").alias("a"), F.col("_b.content").alias("b")).distinct()
+    known = _both_ways(written(_similar(upward, grams, p), "settled"), holders)
     downward = runs.join(shortest, "gram").filter(
         (F.col("_a.size") <= F.col("size")) & (F.col("_a.content") != F.col("content"))
-    ).select(F.col("_a.content").alias("a"), F.col("content").alias("b"))
-    settled = written(_similar(upward.unionByName(downward).distinct(), grams, p), "settled")
-    known = _both_ways(settled, holders)
+    ).select(F.col("_a.content").alias("a"), F.col("content"), "party_id").distinct()
+    downward = downward.join(known, ["content", "party_id"], "left_anti").select("a", F.col("content").alias("b")).distinct()
+    known = known.unionByName(_both_ways(written(_similar(downward, grams, p), "settled"), holders)).distinct()
 
     open_up = (
-        seeds.join(longest.filter(F.col("_b").isNotNull()).select("gram", "party_id"), "gram")
+        seeds.join(longest.filter("_several").select("gram", "party_id"), "gram")
         .join(known, ["content", "party_id"], "left_anti")
         .select("gram", "party_id", F.col("content").alias("a"), F.col("size").alias("_size"))
     )
@@ -468,7 +472,7 @@ def shared_text(documents: DataFrame, p: Params = DEFAULT) -> DataFrame:
         (F.col("size") >= F.col("_size")) & (F.col("a") != F.col("b"))
     ).select("a", "b")
     open_down = (
-        runs.join(shortest.select("gram", "party_id"), "gram")
+        runs.join(shortest.filter("_several").select("gram", "party_id"), "gram")
         .join(known, ["content", "party_id"], "left_anti")
         .select("gram", "party_id", F.col("content").alias("b"), F.col("size").alias("_size"))
     )
@@ -484,29 +488,26 @@ def shared_text(documents: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def _rare_first(grams: DataFrame, p: Params) -> DataFrame:
-    """(content, size, gram, seed) of the runs held by two contents or more; seed marks the rarest share of a content."""
+    """(content, size, grams, seeds): how many runs a content has, those it shares with other contents from rare to common,
+    and how many of them, from the first on, are among the rarest share of the content."""
     num, den = p.shared_text
-    exploded = grams.select("content", F.size("grams").alias("size"), F.explode("grams").alias("_g")).select(
-        "content", "size", F.xxhash64("_g").alias("gram")
-    )
-    common = exploded.groupBy("gram").agg(F.count("*").alias("_df")).filter(F.col("_df") > 1)
+    exploded = grams.select("content", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    common = exploded.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter(F.col("_df") > 1)
+    rare = F.array_sort(F.collect_list(F.struct("_df", "gram")))
+    listed = common.groupBy("content", "size").agg(F.transform(rare, lambda e: e["gram"]).alias("grams"))
     # A run of one content can never meet a partner. Such runs are the rarest, so they fill the first places and only
     # their number matters: size minus the shared ones.
-    mine = Window.partitionBy("content")
-    alone = F.col("size") - F.count("*").over(mine)
-    place = alone + F.row_number().over(mine.orderBy("_df", "gram"))
-    placed = exploded.join(common, "gram").withColumn("_place", place)
-    seed = F.col("_place") <= F.col("size") - F.floor(F.col("size") * num / den)
-    return placed.select("content", "size", "gram", seed.alias("seed"))
+    seeds = F.greatest(F.lit(0), F.size("grams") - F.floor(F.col("size") * num / den).cast("int"))
+    return listed.withColumn("seeds", seeds)
 
 
 def _similar(pairs: DataFrame, grams: DataFrame, p: Params) -> DataFrame:
-    """Pairs whose common runs are more than the given share of the shorter text's runs, counted on the runs themselves."""
+    """Pairs whose common runs are more than the given share of the shorter text's runs. Common runs are shared ones."""
     num, den = p.shared_text
-    left = grams.select(F.col("content").alias("a"), F.col("grams").alias("_ga"))
-    right = grams.select(F.col("content").alias("b"), F.col("grams").alias("_gb"))
+    left = grams.select(F.col("content").alias("a"), F.col("grams").alias("_ga"), F.col("size").alias("_sa"))
+    right = grams.select(F.col("content").alias("b"), F.col("grams").alias("_gb"), F.col("size").alias("_sb"))
     common = F.size(F.array_intersect("_ga", "_gb"))
-    shorter = F.least(F.size("_ga"), F.size("_gb"))
+    shorter = F.least("_sa", "_sb")
     return pairs.join(left, "a").join(right, "b").filter(den * common > num * shorter).select("a", "b")
 
 
