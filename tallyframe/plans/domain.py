@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyframe.operators import votes as V
+from tallyframe.storage import written
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -219,7 +220,8 @@ class Domain:
 
     @cached_property
     def group_counts(self) -> DataFrame:
-        return V.ballot_group_counts(self.votes, self.shared("memberships"))
+        """Written once: a few rows a ballot, from all votes, and most of what is built on them reads them several times."""
+        return written(V.ballot_group_counts(self.votes, self.shared("memberships")), "group-counts")
 
     @cached_property
     def dated_counts(self) -> DataFrame:

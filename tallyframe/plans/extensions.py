@@ -134,7 +134,6 @@ def votes_outside_membership(d):
 def sections(d):
     """All sections of a release from the tables; the votes are counted once for the four that start from them."""
     party = lambda c: F.concat(F.lit("party-"), c.cast("string"))
-    d.group_counts = written(d.group_counts, "group-counts")
     people = V.tracked_people(d.shared("persons")).select(F.col("slug").alias("id"), F.lit("person").alias("kind"), party(F.col("person_id") % 5).alias("party_id"))
     parties = d.table("region").select(party(F.col("r_regionkey")).alias("id"), F.lit("party").alias("kind"), F.lit(None).cast("string").alias("party_id"))
     metrics = TX.programme_metrics(d)
