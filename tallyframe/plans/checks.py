@@ -368,8 +368,9 @@ def ballot_import(d):
     """All ballots, a term a block. The first block fails after two of its tables and is imported again; then everything once
     more. What readers find is counted per table and ballot."""
     ledger = Ledger(d.spark, fresh_folder(d.spark, "ledger"), LEDGER)
+    d.votes = written(d.votes, "votes")
     ballots = written(d.ballots, "declared")
-    given = written(d.votes, "votes"), d.shared("memberships"), d.shared("persons"), d.shared("group_party")
+    given = d.votes, d.shared("memberships"), d.shared("persons"), d.shared("group_party")
     begun, version = IM.block_tables(ledger, ballots.filter("term = 18"), *given), ledger.begin()
     for name in ("counts", "kept"):  # a writer that got no further
         ledger.stage(version, name, begun[name]())
