@@ -358,9 +358,21 @@ def spoken_words(text: Column) -> Column:
     return F.regexp_extract_all(X.base_letters(text), F.lit(LONG_WORD), F.lit(1))
 
 
+WORDS_AT_ONCE = 200_000  # words whose sums a task holds at a time; a longer text is taken alone
+
+
+def _pieces(batch: pa.RecordBatch, words_: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most WORDS_AT_ONCE words, or of one row."""
+    ends, at = batch.column(words_).offsets.to_numpy(), 0
+    while at < batch.num_rows:
+        last = max(int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, "right")) - 1, at + 1)
+        yield batch.slice(at, last - at)
+        at = last
+
+
 def _measured(known: np.ndarray, size: int, words_: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole, words_)):
             column = batch.column(words_)
             ends = column.offsets.to_numpy().astype(np.int64)
             ends -= ends[0]
@@ -386,22 +398,22 @@ def _measured(known: np.ndarray, size: int, words_: str):
     return run
 
 
-def measured(texts: DataFrame, words_: Column, dictionary: DataFrame, size: int) -> DataFrame | None:
-    """The rows with `words`, how many of the words are `known`, and the least number known in `size` words on end (in all, if
-    there are fewer): worked out inside the row, so no word becomes a row. None when the dictionary, of which one word more than
-    may be sent is asked for, is too large for all tasks."""
+def measured(texts: DataFrame, words_: Column, dictionary: DataFrame, size: int, keep: list[str] | None = None) -> DataFrame | None:
+    """The rows (of them the columns `keep`, if given) with `words`, how many of the words are `known`, and the least number known
+    in `size` words on end (in all, if there are fewer): worked out inside the row, so no word becomes a row. None when the
+    dictionary, of which one word more than may be sent is asked for, is too large for all tasks."""
     found = dictionary.select(F.xxhash64("word").alias("w")).limit(KNOWN_WORDS + 1).toArrow().column("w")
     if len(found) > KNOWN_WORDS:
         return None
     known = np.sort(found.to_numpy())
-    hashed = texts.withColumn("_hashes", F.transform(words_, lambda w: F.xxhash64(w)))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes)
+    hashed = texts.select(*keep or texts.columns, F.transform(words_, lambda w: F.xxhash64(w)).alias("_hashes"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in hashed.dtypes if c != "_hashes")
     return hashed.mapInArrow(_measured(known, size, "_hashes"), f"{kinds}, words long, known long, worst long")
 
 
 def readable_texts(texts: DataFrame, key: str, dictionary: DataFrame, p: Params = DEFAULT, text: str = "text") -> DataFrame:
     """`readability` of whole texts; those without a word of three letters are left out."""
-    rows = measured(texts.select(key, text), spoken_words(F.col(text)), dictionary, p.readable_window)
+    rows = measured(texts.select(key, text), spoken_words(F.col(text)), dictionary, p.readable_window, [key])
     if rows is None:
         return readability(document_words(texts, key), key, dictionary, p)
     num, den = p.readable_known
