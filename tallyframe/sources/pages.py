@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -118,22 +119,25 @@ def _read(html: str | None) -> tuple[str | None, str | None, str | None]:
     return "".join(parser.heading if "".join(parser.heading).strip() else parser.title), body if body.strip() else "".join(parser.rest), parser.date
 
 
+PAGES_AT_ONCE = 100  # pages a task holds as Python strings at a time
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+            piece = batch.slice(at, PAGES_AT_ONCE)
+            parts = zip(*[_read(h.as_py()) for h in piece.column("html")], strict=True)
+            read = [pa.array(p, pa.string()) for p in parts]
+            yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("reserved"), *read], ["page_id", "reserved", "title", "text", "date"])
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, title, text, date, reserved) of (page_id, url, html).
 
-    Parsing a page needs a parser, so it runs in Arrow batches; cleaning the result stays in the JVM.
+    Parsing a page needs a parser, so it runs in Arrow batches, a few pages at a time; cleaning the result stays in the JVM.
     """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [_read(h) for h in batch["html"]]
-            yield pd.DataFrame({
-                "page_id": batch["page_id"], "reserved": batch["reserved"],
-                "title": [x[0] for x in parts], "text": [x[1] for x in parts], "date": [x[2] for x in parts],
-            })
-
-    flagged = pages.select("page_id", "html", X.reserves_rights(F.col("html")).alias("reserved"))
-    rows = flagged.mapInPandas(read, "page_id bigint, reserved boolean, title string, text string, date string")
+    flagged = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html", X.reserves_rights(F.col("html")).alias("reserved"))
+    rows = flagged.mapInArrow(_read_pages, "page_id bigint, reserved boolean, title string, text string, date string")
     empty = F.lit("")
     return rows.select(
         "page_id", F.nullif(X.clean_text(F.col("title")), empty).alias("title"),
