@@ -453,7 +453,10 @@ def shared_text(documents: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """
     hashed = documents.select("document_id", "party_id", "text", F.xxhash64(X.fingerprint(F.col("text"))).alias("content"))
     holders = hashed.select("content", "party_id").distinct()
-    contents = hashed.groupBy("content").agg(F.any_value("text").alias("text"))
+    # Texts stay where they are read: a copy is told by the first row of its content, which only contents with copies have.
+    row = F.struct("document_id", "party_id")
+    copied = hashed.groupBy("content").agg(F.min(row).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    contents = hashed.join(written(copied, "copied"), "content", "left").filter(F.col("_first").isNull() | F.col("_first").eqNullSafe(row))
     grams = written(_rare_first(contents.select("content", X.shingle_hashes(F.col("text"), p).alias("grams")), p), "grams")
     runs = grams.select("content", "size", "seeds", F.posexplode("grams").alias("_i", "gram")).select(
         "content", "size", "gram", (F.col("_i") < F.col("seeds")).alias("seed")
@@ -505,7 +508,7 @@ def _rare_first(grams: DataFrame, p: Params) -> DataFrame:
     num, den = p.shared_text
     exploded = grams.select("content", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     common = exploded.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter(F.col("_df") > 1)
-    rare = F.array_sort(F.collect_list(F.struct("_df", "gram")))
+    rare = F.array_sort(F.collect_set(F.struct("_df", "gram")))  # a set: a row that stands twice in the table is read twice
     listed = common.groupBy("content", "size").agg(F.transform(rare, lambda e: e["gram"]).alias("grams"))
     # A run of one content can never meet a partner. Such runs are the rarest, so they fill the first places and only
     # their number matters: size minus the shared ones.
