@@ -43,12 +43,17 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
 
 
-# Characters that compatibility normalisation never changes; a text made of these skips the UDF.
-STABLE = "[^\\x00-\\x7F\\u00C0-\\u0131\\u2010\\u2012-\\u2015\\u2018-\\u201F\\u00AB\\u00BB\\u00BF\\u00A1-\\u00A7]"
+# Characters that compatibility normalisation may change; a text without any skips the UDF. The range of all that is not
+# ASCII stands first, so most characters are passed over by one comparison.
+UNSTABLE = "[\\x{80}-\\x{10FFFF}&&[^\\u00C0-\\u0131\\u2010\\u2012-\\u2015\\u2018-\\u201F\\u00AB\\u00BB\\u00BF\\u00A1-\\u00A7]]"
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
 
 
 def nfkc(text: Column) -> Column:
-    return F.coalesce(_nfkc(F.when(text.rlike(STABLE), text)), text)
+    return F.coalesce(_nfkc(F.when(beyond_ascii(text) & text.rlike(UNSTABLE), text)), text)
 
 
 def unescape(text: Column) -> Column:
@@ -83,22 +88,26 @@ def quote_form(text: Column) -> Column:
 
 
 def folded(normalised: Column) -> Column:
-    """`quote_form` of a text that is NFKC already."""
+    """`quote_form` of a text that is NFKC already. Blanks are made single spaces first; what follows looks for spaces alone,
+    and for a dash only where there is one."""
     signs = DASHES + APOSTROPHES + QUOTES + "\u00ad"
     plain = "-" * len(DASHES) + "'" * len(APOSTROPHES) + '"' * len(QUOTES)
-    t = F.translate(normalised, signs, plain)
-    t = F.regexp_replace(t, r"(?U)\s*-\s*", "-")
-    t = F.regexp_replace(t, r"(?U)\s+([,.;:!?)\]])", "$1")
-    t = F.regexp_replace(t, r"(?U)([(\[])\s+", "$1")
-    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.translate(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    signed = F.when(beyond_ascii(normalised), F.translate(normalised, signs, plain)).otherwise(F.replace(normalised, F.lit("`"), F.lit("'")))
+    t = F.regexp_replace(signed, r"(?U)\s\s+|[\s&&[^ ]]", " ")
+    t = let(t, lambda e: F.when(F.contains(e, F.lit("-")), F.regexp_replace(e, " ?- ?", "-")).otherwise(e))
+    t = F.regexp_replace(t, r" ([,.;:!?)\]])", "$1")
+    t = F.trim(F.regexp_replace(t, r"([(\[]) ", "$1"))
+    return F.replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+# White space, and the signs put around a quotation.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+AROUND = "\"'«»“”‘’"
 
 
 def bare_quote(text: Column) -> Column:
     """Without the spaces and quotation marks put around a quotation."""
-    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    t = F.regexp_replace(t, "^[\"'«»“”‘’]+|[\"'«»“”‘’]+$", "")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.btrim(F.btrim(text, F.lit(BLANKS)), F.lit(AROUND)), F.lit(BLANKS))
 
 
 def _accent_table() -> tuple[str, str]:
