@@ -209,15 +209,29 @@ class Domain:
                 order.append(view)
 
         visit(name)
-        text = "WITH " + ", ".join(f"{v} AS ({SHARED[v]})" for v in order) + f" SELECT * FROM {name}"
+        bodies = {v: SHARED[v] for v in order}
+        held = {}
+        if "ballot_days" in bodies:
+            bodies["ballot_days"], held = "SELECT * FROM {ballot_days}", {"ballot_days": self.ballot_days}
+        text = "WITH " + ", ".join(f"{v} AS ({body})" for v, body in bodies.items()) + f" SELECT * FROM {name}"
         used = {t: self.table(t) for t in TABLES if f"{{{t}}}" in text}
-        return self.spark.sql(text, **used)
+        return self.spark.sql(text, **used, **held)
+
+    @cached_property
+    def ballot_days(self) -> DataFrame:
+        """Written once: a row a week, from all lines, and most views start from it."""
+        return written(self.spark.sql(SHARED["ballot_days"], lineitem=self.table("lineitem")), "ballot-days")
 
     @cached_property
     def votes(self) -> DataFrame:
         rows = self.shared("vote_rows")
         return V.one_vote_per_person(rows).withColumn("on_date", F.col("ballot_id"))
 
+    def votes_of(self, people: DataFrame) -> DataFrame:
+        """The votes of the people named (person_id); the rows of all others are left out before one is picked."""
+        rows = self.shared("vote_rows").join(people.select("person_id"), "person_id", "left_semi")
+        return V.one_vote_per_person(rows).withColumn("on_date", F.col("ballot_id"))
+
     @cached_property
     def group_counts(self) -> DataFrame:
         """Written once: a few rows a ballot, from all votes, and most of what is built on them reads them several times."""

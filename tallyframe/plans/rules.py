@@ -38,7 +38,8 @@ def subjects(d):
 def evidence(d):
     facts = d.shared("ballot_facts").select("ballot_id", "ballot_date", "term")
     anchors = d.shared("anchors").join(facts, "ballot_id")
-    people = V.tracked_positions_votes(d.votes, d.shared("persons"), anchors)
+    persons = d.shared("persons")
+    people = V.tracked_positions_votes(d.votes_of(V.tracked_people(persons)), persons, anchors)
     return P.party_evidence(anchors, by_party(d)).unionByName(P.person_evidence(anchors, people))
 
 
