@@ -141,10 +141,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stable_order(keys: np.ndarray) -> np.ndarray:
-    """The stable order of non-negative numbers, by 16 bits at a time: such sorts take linear time."""
+    """The stable order of non-negative numbers. Keys that leave room for their places are sorted with these, as one number
+    each; others by 16 bits at a time, which takes linear time."""
     keys = keys.astype(np.uint64, copy=False)
+    top, bits = int(keys.max()) if len(keys) else 0, len(keys).bit_length()
+    if top.bit_length() + bits <= 64:
+        return _with_places(keys, bits)
     order = np.argsort((keys & np.uint64(0xFFFF)).astype(np.uint16), kind="stable")
-    top = int(keys.max()) if len(keys) else 0
     for shift in range(16, 64, 16):
         if top >> shift == 0:
             break
@@ -153,15 +156,38 @@ def stable_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
+def _with_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The order of numbers by all but their first `bits` bits from the top, each sorted with its place below them."""
+    joined = keys << np.uint64(bits)
+    joined |= np.arange(len(keys), dtype=np.uint64)
+    joined.sort()
+    joined &= (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
+    return joined.view(np.int64)
+
+
 def ranked(keys: np.ndarray) -> np.ndarray:
     """The place of each number among the different ones."""
-    order = stable_order(keys)
+    return _ranked(keys, stable_order(keys))
+
+
+def _ranked(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     inside = keys[order]
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(np.append(False, inside[1:] != inside[:-1])) if len(keys) else 0
     return rank
 
 
+def named(hashes: np.ndarray) -> np.ndarray:
+    """A number for each different hash, from 0. Hashes are sorted by what their places leave room for; should two differ in
+    the rest alone, by all."""
+    bits = len(hashes).bit_length()
+    order = _with_places(hashes, bits)
+    inside = hashes[order]
+    differ = inside[1:] != inside[:-1]
+    alike = (inside[1:] << np.uint64(bits)) == (inside[:-1] << np.uint64(bits))
+    return ranked(hashes) if (differ & alike).any() else _ranked(hashes, order)
+
+
 class Runs:
     """Some byte strings, each with one more row than bytes: a row is a suffix, the last one empty. `block` names the STEP
     bytes from a row on, 0 where fewer are left."""
@@ -171,23 +197,31 @@ class Runs:
         rows = self.length + 1
         self.first = np.cumsum(rows) - rows
         n = int(rows.sum())
-        joined = np.frombuffer(b"\0".join(strings) + b"\0" * (SPAN + 8), np.uint8)
-        self.words = np.zeros(n + SPAN, np.uint64)  # eight bytes from each row on
-        for i in range(8):
-            self.words |= joined[i : i + n + SPAN].astype(np.uint64) << np.uint64(8 * i)
+        joined = b"\0".join(strings) + b"\0" * (SPAN + 9)
+        self.words = np.ndarray(n + SPAN, "<u8", joined, 0, (1,)).copy()  # eight bytes from each row on
         self.string = np.repeat(np.arange(len(strings), dtype=np.int32), rows)
-        self.end = (self.first + self.length)[self.string]
+        self.end = np.repeat(self.first + self.length, rows)
         row = np.arange(n)
-        value = np.zeros(n, np.uint64)
-        for i in (*range(0, STEP - 8, 8), STEP - 8):
-            value *= np.uint64(3)
-            value += self.words[i : i + n] + np.uint64(salt)
-            value = W.mixed(value)
         full = row + STEP <= self.end
         self.block = np.zeros(n, np.int64)
-        self.block[full] = ranked(value[full]) + 1
+        self.block[full] = named(self._hashes(n, salt)[full]) + 1
+        self.before = np.full(n, -1, np.int64)  # the block before each row, -1 at the head of a string
+        inside = np.flatnonzero(row[STEP:] - STEP >= np.repeat(self.first, rows)[STEP:])
+        self.before[STEP + inside] = self.block[inside]
         self.is_string = row + SPAN <= self.end
 
+    def _hashes(self, n: int, salt: int) -> np.ndarray:
+        """A hash of the STEP bytes from each row on: of eight bytes, doubled while they fit, the last piece overlapping."""
+        factors = W.spread(64, salt) | np.uint64(1)
+        value, width, k = W.mixed(self.words + np.uint64(salt)), 8, 0
+        while 2 * width <= STEP:
+            value = value[:-width] * factors[k] + value[width:] * factors[k + 1]
+            width, k = 2 * width, k + 2
+        if width < STEP:
+            value = W.mixed(value)
+            value = value[: width - STEP] * factors[k] + value[STEP - width :] * factors[k + 1]
+        return W.mixed(value[:n])
+
 
 def shard_order(runs: Runs, lo: int, hi: int) -> np.ndarray:
     """The rows lo to hi (whole strings) in the order of their blocks, SPAN bytes deep; rows without a block come first."""
@@ -198,15 +232,17 @@ def shard_order(runs: Runs, lo: int, hi: int) -> np.ndarray:
     def joined(rank: np.ndarray, then: np.ndarray, blocks: int) -> np.ndarray:
         key = rank * (int(then.max(initial=0)) + 1) + then[np.minimum(row + blocks * STEP, end)]
         key[block == 0] = 0
-        return ranked(key)
+        return key
 
-    rank, depth, ranks = block, 1, {1: block}
+    key, depth, ranks = block, 1, {1: block}
     while depth < SPAN // STEP:
         more = max(d for d in ranks if d + depth <= SPAN // STEP)
-        rank = joined(rank, ranks[more], depth)
+        rank = ranks.get(depth)
+        if rank is None:
+            rank = ranks[depth] = ranked(key)
+        key = joined(rank, ranks[more], depth)
         depth += more
-        ranks[depth] = rank
-    return lo + stable_order(rank)
+    return lo + stable_order(key)
 
 
 def merged_intervals(runs: Runs, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,33 +252,32 @@ def merged_intervals(runs: Runs, shards: int) -> tuple[np.ndarray, np.ndarray]:
     bounds = [*runs.first[cuts[:-1]].tolist(), len(runs.block)]
     orders = [shard_order(runs, lo, hi) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
     # the transform: the block before each row, -1 at the head of a string
-    before = []
-    for order in orders:
-        start = runs.first[runs.string[order]]
-        before.append(np.where(order - STEP >= start, runs.block[np.maximum(order - STEP, 0)], -1))
+    before = runs.before[np.concatenate(orders)] if orders else np.empty(0, np.int64)
+    heads, n = int((before < 0).sum()), len(before)
     ends = [int((runs.block[o] == 0).sum()) for o in orders]
     head = np.repeat(np.arange(len(orders), dtype=np.int16), ends)
     shard = np.repeat(np.arange(len(orders), dtype=np.int16), [len(o) for o in orders])
-    group = np.zeros(len(shard), np.int64)
-    common = np.zeros(len(shard), np.int64)
+    group = np.zeros(n, np.int32)
+    common = np.zeros(n, np.int64)
     for _ in range(SPAN // STEP):
-        seen = np.empty(len(shard), np.int64)
-        for k, blocks in enumerate(before):
-            seen[shard == k] = blocks
-        has = np.flatnonzero(seen >= 0)
-        dealt = has[stable_order(seen[has])]
+        seen = np.empty(n, np.int64)
+        seen[np.argsort(shard, kind="stable")] = before
+        dealt = stable_order(seen + 1)[heads:]
         blocks, source = seen[dealt], group[dealt]
-        new = np.ones(len(shard), bool)
+        new = np.ones(n, bool)
         new[1 : len(head)] = False
         new[len(head) + 1 :] = (blocks[1:] != blocks[:-1]) | (source[1:] != source[:-1])
         shard = np.concatenate([head, shard[dealt]])
-        group = np.cumsum(new) - 1
-        common += np.where(new, 0, STEP)
-    rows = np.empty(len(shard), np.int64)
-    for k, order in enumerate(orders):
-        rows[shard == k] = order
+        group = np.cumsum(new, dtype=np.int32)
+        common += ~new
+    common *= STEP
+    rows = np.empty(n, np.int64)
+    rows[np.argsort(shard, kind="stable")] = np.concatenate(orders) if orders else rows
     # ends are alike to the rounds, but no bytes
-    return rows, np.minimum(common, (runs.end[rows] - rows) // STEP * STEP)
+    shared = np.flatnonzero(common)
+    at = rows[shared]
+    common[shared] = np.minimum(common[shared], (runs.end[at] - at) // STEP * STEP)
+    return rows, common
 
 
 def repeated_rows(strings: list[bytes], times: np.ndarray, shards: int = SHARDS) -> tuple[Runs, np.ndarray]:

@@ -549,3 +549,13 @@ def test_checksums_and_masks(spark):
     df = PD.with_spans(spark.createDataFrame([(t,) for t, _ in texts], "text string"))
     got = {r["text"]: r["m"] for r in df.select("text", PD.masked(F.col("text"), F.col("spans")).alias("m")).collect()}
     assert got == dict(texts)
+
+
+def test_blocks_named_by_part_of_a_hash_stay_apart():
+    rnd = np.random.default_rng(4)
+    low = rnd.integers(0, 2**40, 3000, dtype=np.uint64)
+    hashes = np.concatenate([low, low[:50] | np.uint64(1 << 63), low[:20]])  # 50 differ in the highest bit alone, 20 repeat
+    names = shared_spans.named(hashes)
+    assert len(set(names.tolist())) == len(set(hashes.tolist())) == len(set(zip(names.tolist(), hashes.tolist(), strict=True)))
+    for keys in (rnd.integers(0, 9, 3000), hashes):
+        assert (shared_spans.stable_order(keys) == np.argsort(keys, kind="stable")).all()
