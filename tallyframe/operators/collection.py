@@ -32,22 +32,24 @@ def _all_texts(*texts: Column) -> Column:
 
 
 def judge_documents(
-    elements: DataFrame, seen: DataFrame, names: Names, now: Column, p: Params = DEFAULT
+    elements: DataFrame, seen: DataFrame, names: Names, now: Column, p: Params = DEFAULT, blank_is_text: bool = False
 ) -> DataFrame:
     """One row per listed element with its outcome and, for 'stored', the stored columns.
 
-    elements: source, level, channel, ord, url, title, summary, text, published_at, reserved (page opposes mining).
+    elements: source, level, channel, ord, url, title, summary, text, published_at, reserved (page opposes mining; NULL: no).
     seen: url, and further columns of the elements if an address was seen in one place only; the same address in another
-    place is then judged.
-    The texts are judged once and written; the rest starts from that table.
+    place is then judged. NULLs are alike.
+    blank_is_text: pages with an empty text have the same content; else such a page has no text, and its address stands for it.
+    The texts are judged once and written; the rest starts from that table. An element is a row of it, numbered there: its
+    source and place may be missing or stand on several rows.
 
     Outcomes: 'seen' (address known), 'outside' (level C naming nobody tracked), 'duplicate' (address or content repeated),
     'stored'. Every listed element is judged; how many pages a crawler may fetch is not this operator's business.
     """
-    order = [F.col("source"), F.col("ord")]
+    order = [F.col("source"), F.col("ord"), F.col("_row")]
     listed = elements.withColumn("url", U.normal_url(F.col("url")))
-    known = seen.distinct().withColumn("_seen", F.lit(True))
-    listed = listed.join(known, seen.columns, "left")
+    known = seen.distinct().select(*[F.col(c).alias(f"_{c}") for c in seen.columns], F.lit(True).alias("_seen"))
+    listed = listed.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in seen.columns], "left")
     filtered = F.col("level") == "C"
     title_first = filtered & (F.col("channel") == "rss")
     early = _all_texts(F.col("title"), F.col("summary"))
@@ -58,8 +60,9 @@ def judge_documents(
         ),
     )
     # Texts are looked at only for what the address and the title let through.
-    closed = F.col("reserved") & filtered
-    kept = F.nullif(F.coalesce("text", X.clean_text(F.col("summary"))), F.lit(""))
+    closed = F.coalesce("reserved", F.lit(False)) & filtered
+    kept = F.coalesce("text", X.clean_text(F.col("summary")))
+    kept = kept if blank_is_text else F.nullif(kept, F.lit(""))
     body = F.when(F.col("_step").isNull() & ~closed, kept)
     read = read.withColumn("body", body).withColumn(
         "_all", F.when(F.col("_step").isNull(), _all_texts(F.col("title"), F.col("body")))
@@ -73,13 +76,14 @@ def judge_documents(
         read.select(
             "source", "level", "channel", "ord", "url", "title", "published_at", "reserved", "body", "sha256", "_step",
             F.when(F.col("_step").isNull(), X.mentions(F.col("_all"), names.forms)).alias("_subjects"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "read",
     )
     open_rows = read.filter(F.col("_step").isNull())
     first_url = newest(open_rows, ["url"], order)
-    stored = newest(first_url, ["sha256"], order).select("source", "ord", F.lit(True).alias("_stored"))
-    done = read.join(stored, ["source", "ord"], "left").withColumn(
+    stored = newest(first_url, ["sha256"], order).select("_row", F.lit(True).alias("_stored"))
+    done = read.join(stored, "_row", "left").withColumn(
         "outcome", F.coalesce("_step", F.when(F.col("_stored"), "stored").otherwise("duplicate"))
     )
     is_stored = F.col("outcome") == "stored"
