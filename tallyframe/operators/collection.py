@@ -41,12 +41,12 @@ def judge_documents(
     place is then judged. NULLs are alike.
     blank_is_text: pages with an empty text have the same content; else such a page has no text, and its address stands for it.
     The texts are judged once and written; the rest starts from that table. An element is a row of it, numbered there: its
-    source and place may be missing or stand on several rows.
+    source and place may be missing, which puts it last, or stand on several rows.
 
     Outcomes: 'seen' (address known), 'outside' (level C naming nobody tracked), 'duplicate' (address or content repeated),
     'stored'. Every listed element is judged; how many pages a crawler may fetch is not this operator's business.
     """
-    order = [F.col("source"), F.col("ord"), F.col("_row")]
+    order = [F.col(c).asc_nulls_last() for c in ("source", "ord", "_row")]
     listed = elements.withColumn("url", U.normal_url(F.col("url")))
     known = seen.distinct().select(*[F.col(c).alias(f"_{c}") for c in seen.columns], F.lit(True).alias("_seen"))
     listed = listed.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in seen.columns], "left")
